@@ -1,0 +1,45 @@
+"""Connected components of a link table, as joins and aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+MAX_ROUNDS = 60
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` for every node of ``links`` (longs ``a``, ``b``); component is the smallest node.
+
+    Alternating stars: the large star hangs each node's larger neighbours on the smallest node it
+    sees, the small star does so with the smaller ones, until every link is (node, root). Each
+    round sums partial minima before it shuffles and is written to the shared folder; a root with
+    very many nodes is an ordinary skewed join, which adaptive execution splits. Self links are
+    kept out, repeated links and both directions are accepted, no links give no rows.
+    """
+    links = materialise(
+        links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    )
+    for _ in range(MAX_ROUNDS):
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = (
+            both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        )
+        large = materialise(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(
+            F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        )).alias("l")).select("l.a", "l.b").filter("a <> b").distinct()
+        links = materialise(small)
+        n, children = links.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == children and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            break  # every node has one parent, and no parent has one
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    roots = links.select(F.col("b").alias("node")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        roots.select("node", F.col("node").alias("component"))
+    )

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import contamination, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.query,
         "op5_hash_tree_sharding": sharding.query,
         "op8_source_mixing": mixing.query,
+        "op9_positional_index_decontamination": contamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.SQL}
+    return {"op8_source_mixing": mixing.SQL, "op9_positional_index_decontamination": contamination.SQL}
