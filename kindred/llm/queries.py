@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, sharding, simhash
+from . import chat_format, contamination, language_id, mixing, pitman_yor, quality, sharding, simhash, toxicity, training_order
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
+        "op2_robust_quality_rules": quality.query,
+        "op3_ordinal_toxicity": toxicity.query,
+        "op4_chat_formatting": chat_format.query,
         "op5_hash_tree_sharding": sharding.query,
+        "op6_recurrent_language_id": language_id.query,
+        "op7_pitman_yor_scoring": pitman_yor.query,
         "op8_source_mixing": mixing.query,
         "op9_positional_index_decontamination": contamination.query,
+        "op10_training_order": training_order.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.SQL, "op9_positional_index_decontamination": contamination.SQL}
+    return {
+        "op4_chat_formatting": chat_format.SQL,
+        "op8_source_mixing": mixing.SQL,
+        "op9_positional_index_decontamination": contamination.SQL,
+    }
