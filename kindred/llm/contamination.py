@@ -196,10 +196,11 @@ def _verdict(index: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns of ``docs``."""
-    index, verdicts = judge(docs, benchmark, docs.columns)
-    bad = _verdict(index.select("_con_row", "_con_n"), verdicts).filter("_con_bad").select("_con_row")
-    return index.join(materialise(bad), "_con_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The documents that are not contaminated, with the columns of ``docs``. A verdict is of the text, so its digest stands for it."""
+    keyed = docs.withColumn("_con_key", F.md5("text"))
+    index, verdicts = judge(keyed.select("text", "_con_key"), benchmark, ["_con_key"])
+    bad = _verdict(index.select("_con_row", "_con_key", "_con_n"), verdicts).filter("_con_bad").select("_con_key").distinct()
+    return keyed.join(materialise(bad), "_con_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialise
+from .common import SPACE, materialise
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -224,17 +224,19 @@ def estimates(rows: DataFrame) -> DataFrame:
     return materialise(names.join(best, "g").select("_q_lang", "_q_source", "e.*").drop("start"))
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """``statistics`` rows with ``_q_distance`` (null if the base rules failed) and ``_q_kept``."""
-    found = estimates(rows)
+def judge(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``statistics`` rows with ``_q_distance`` (null if the base rules failed) and ``_q_kept``. found: ``estimates``, if at hand."""
+    found = estimates(rows) if found is None else found
     joined = rows.join(found, rows["lang"].eqNullSafe(found["_q_lang"]) & rows["source"].eqNullSafe(found["_q_source"]), "left")
     measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), distance()))
     return measured.withColumn("_q_kept", ~F.col("_q_failed") & (F.coalesce("_q_distance", F.lit(0.0)) <= CUTOFF)).drop(*found.columns)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``."""
-    return judge(materialise(statistics(docs))).filter("_q_kept").select(*[f"`{c}`" for c in docs.columns])
+    """The documents that pass, with the columns of ``docs``. Only statistics are written; the texts are read a second time."""
+    needed = [*[f"_q_z{i}" for i in range(P)], "_q_failed", "lang", "source"]
+    found = estimates(materialise(statistics(docs).select(*needed)))
+    return judge(statistics(docs), found).filter("_q_kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,11 +209,11 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def grouped(marked: DataFrame) -> DataFrame:
-    """``fp, root, best`` per distinct fingerprint of ``marked`` (``doc_id, _sim_fp, _sim_row``).
+    """``fp, root, best`` per distinct fingerprint of ``marked`` (``doc_id, _sim_fp, _sim_key``).
 
-    ``root`` names the component; ``best`` is the fingerprint's first row, as (no id, id, row).
+    ``root`` names the component; ``best`` is the fingerprint's first row, as (no id, id, key).
     """
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("_sim_row").alias("row"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("_sim_key").alias("key"))
     fps = materialise(marked.groupBy(F.col("_sim_fp").alias("fp")).agg(F.min(first).alias("best")))
     roots = components(near_links(fps))
     return fps.join(roots, fps["fp"] == roots["node"], "left").select(
@@ -221,11 +221,14 @@ def grouped(marked: DataFrame) -> DataFrame:
     )
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, _sim_fp, _sim_key`` of every row, written; the key is the digest of the text."""
+    return materialise(fingerprints(docs.select("doc_id", "text")).select("doc_id", "_sim_fp", F.md5("text").alias("_sim_key")))
+
+
 def assign(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    marked = materialise(
-        fingerprints(docs.select("doc_id", "text")).select("doc_id", "_sim_fp", F.monotonically_increasing_id().alias("_sim_row"))
-    )
+    marked = _marked(docs)
     by_fp = materialise(grouped(marked))
     smallest = by_fp.groupBy("root").agg(F.min("best").alias("least"))
     named = by_fp.join(smallest, "root").select("fp", F.col("least.doc_id").alias("component_id"))
@@ -235,11 +238,27 @@ def assign(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The first row (smallest id) of each component, with the columns of ``docs``."""
-    marked = materialise(fingerprints(docs).withColumn("_sim_row", F.monotonically_increasing_id()))
-    by_fp = grouped(marked.select("doc_id", "_sim_fp", "_sim_row"))
-    keepers = materialise(by_fp.groupBy("root").agg(F.min("best").alias("least")).select(F.col("least.row").alias("_sim_row")))
-    return marked.join(keepers, "_sim_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    """The first row (smallest id) of each component, with the columns of ``docs``.
+
+    A row is known by its id and the digest of its text, so texts are not written but shuffled once, whatever the size. Rows
+    that share both are copies of one row: of a keeper that has some, one is kept by an aggregate that combines before it shuffles.
+    """
+    marked = _marked(docs)
+    first = grouped(marked).groupBy("root").agg(F.min("best").alias("least"))
+    rows = marked.groupBy("doc_id", "_sim_key").agg(F.count("*").alias("_sim_n"))
+    same = rows["doc_id"].eqNullSafe(F.col("least.doc_id")) & rows["_sim_key"].eqNullSafe(F.col("least.key"))
+    keepers = materialise(rows.join(first, same).select(F.col("doc_id").alias("_sim_id"), F.col("_sim_key").alias("_sim_text"), "_sim_n"))
+    keyed = docs.withColumn("_sim_key", F.md5("text"))
+
+    def of(found: DataFrame) -> DataFrame:
+        here = keyed["doc_id"].eqNullSafe(found["_sim_id"]) & keyed["_sim_key"].eqNullSafe(found["_sim_text"])
+        return keyed.join(found.hint("merge"), here, "left_semi")
+
+    out = of(keepers.filter("_sim_n = 1"))
+    copied = keepers.filter("_sim_n > 1")
+    if not copied.isEmpty():
+        out = out.union(of(copied).dropDuplicates(["doc_id", "_sim_key"]))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -110,3 +110,10 @@ def test_weights_move_rows_only_below_what_changed(spark):
             assert rack(a) == 1  # only the rack that got lighter gives rows away
     assert sum(b == 5 for _, b in both) < sum(a == 5 for a, _ in both)
     assert {region(a) for a, _ in both} == {0, 1}
+
+
+def test_proximity(spark):
+    rows = [(1, 0, 5), (1, 3, 6), (1, 9, 7), (2, 0, 5), (2, 1, 7), (2, 2, 6), (3, 4, 5), (3, 5, 5), (3, 6, 6)]
+    postings = spark.createDataFrame(rows, "row long, pos int, term int")
+    near = lambda terms, width: sorted(map(tuple, contamination.proximity(postings, terms, width).collect()))
+    assert near([5, 6, 7], 3) == [(2, 0)] and near([5, 6, 7], 10) == [(1, 0), (2, 0)] and near([5, 6], 2) == [(3, 5)]
