@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schema import FORMAT_NAMES, lookup
 from .text import natural_key
@@ -35,7 +36,7 @@ def column_title(column_id: str) -> str:
     return column_id[4:] if column_id.startswith("tag:") else SHORT_TITLES.get(column_id, COLUMNS[column_id])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed_digits(value: pd.Series, digits: pd.Series) -> pd.Series:
     """The exact binary value rounded half to even to so many digits, as C's printf does it; the JVM rounds the shortest decimal."""
     return pd.Series([None if pd.isna(v) else f"{v:.{int(d)}f}" for v, d in zip(value, digits, strict=True)], dtype="object")
