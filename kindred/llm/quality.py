@@ -130,6 +130,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.log(1 + 100 * F.col("_q_repeats") / some),
     )
     failed = (F.col("_q_words") < MIN_WORDS) | (100 * F.col("_q_repeats") > MAX_REPEAT_PERCENT * F.col("_q_words"))
+    # always false, but not deterministic: a filter on the verdict stays above this projection, else Catalyst would put the
+    # window search into the condition and sort a text's windows again for each of them
+    failed = failed | (F.monotonically_increasing_id() < 0)
     return base.select("*", failed.alias("_q_failed"), *[F.round(v * SCALE).cast("long").alias(f"_q_z{i}") for i, v in enumerate(vector)])
 
 
@@ -183,9 +186,9 @@ def distance(prefix: str = "") -> Column:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """MCD estimate for each (``lang``, ``source``) of ``rows`` (``statistics``): ``_q_lang, _q_source, m*, q*``."""
-    passed = rows.filter(~F.col("_q_failed")).select(
+    passed = materialise(rows.filter(~F.col("_q_failed")).select(
         F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *[f"_q_z{i}" for i in range(P)]
-    )
+    ))  # a few numbers a row, read once per step
     plain = reduce(lambda a, i: a & (F.col(f"_q_z{i}") == 0), range(2, P), F.lit(True))
     starts = F.explode(F.array(F.lit(0), F.lit(1)))
     raw = (
@@ -224,9 +227,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     return materialise(names.join(best, "g").select("_q_lang", "_q_source", "e.*").drop("start"))
 
 
-def judge(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``statistics`` rows with ``_q_distance`` (null if the base rules failed) and ``_q_kept``. found: ``estimates``, if at hand."""
-    found = estimates(rows) if found is None else found
+def judge(rows: DataFrame) -> DataFrame:
+    """``statistics`` rows with ``_q_distance`` (null if the base rules failed) and ``_q_kept``."""
+    found = estimates(rows)
     joined = rows.join(found, rows["lang"].eqNullSafe(found["_q_lang"]) & rows["source"].eqNullSafe(found["_q_source"]), "left")
     measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), distance()))
     return measured.withColumn("_q_kept", ~F.col("_q_failed") & (F.coalesce("_q_distance", F.lit(0.0)) <= CUTOFF)).drop(*found.columns)
@@ -234,9 +237,7 @@ def judge(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``. Only statistics are written; the texts are read a second time."""
-    needed = [*[f"_q_z{i}" for i in range(P)], "_q_failed", "lang", "source"]
-    found = estimates(materialise(statistics(docs).select(*needed)))
-    return judge(statistics(docs), found).filter("_q_kept").select(*[f"`{c}`" for c in docs.columns])
+    return judge(statistics(docs)).filter("_q_kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
