@@ -153,29 +153,40 @@ def _total(prefix: str = "") -> list[Column]:
     return [F.sum(prefix + m).alias(m) for m in MOMENTS]
 
 
+def _inverse(matrix: Column) -> Column:
+    """``a`` (inverse) and ``logdet`` of a positive definite P x P matrix, given row by row as an array: Gauss-Jordan steps in place."""
+    at = lambda a, i, j: F.get(a, i * P + j)
+
+    def step(acc: Column, k: Column) -> Column:
+        a, pivot = acc["a"], at(acc["a"], k, k)
+
+        def cell(x: Column, index: Column) -> Column:
+            i, j = F.floor(index / P).cast("int"), index % P
+            return (
+                F.when((i == k) & (j == k), 1 / pivot).when(i == k, x / pivot).when(j == k, -x / pivot)
+                .otherwise(x - at(a, i, k) * at(a, k, j) / pivot)
+            )
+
+        return F.struct(F.transform(a, cell).alias("a"), (acc["logdet"] + F.log(pivot)).alias("logdet"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), F.struct(matrix.alias("a"), F.lit(0.0).alias("logdet")), step)
+
+
 def _estimate(sums: DataFrame, keys: list[str], consistency: float) -> DataFrame:
-    """``keys``, the means ``m``, the inverse scatter ``q`` and ``logdet`` from the moments, through a Cholesky factor."""
+    """``keys``, the means ``m``, the inverse scatter ``q`` and ``logdet`` from the moments."""
     n = F.col("n").cast("double")
-    mean = [F.col(f"s{i}") / n / SCALE for i in range(P)]
-    staged = sums.filter("n > 0").select(*keys, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[
-        (F.greatest(F.col(f"s{i}{j}") / n / SCALE / SCALE - mean[i] * mean[j], F.lit(0.0)) * consistency + FLOOR[i] ** 2 if i == j
-         else (F.col(f"s{i}{j}") / n / SCALE / SCALE - mean[i] * mean[j]) * consistency).alias(f"c{i}{j}")
-        for i, j in PAIRS
-    ])
-    for j in range(P):  # the factor, column by column
-        staged = staged.withColumn(f"l{j}{j}", F.sqrt(reduce(lambda a, k: a - F.col(f"l{j}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{j}{j}"))))
-        staged = staged.withColumns({
-            f"l{i}{j}": reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{j}{i}")) / F.col(f"l{j}{j}")
-            for i in range(j + 1, P)
-        }) if j + 1 < P else staged
-    for j in range(P):  # its inverse
-        staged = staged.withColumn(f"v{j}{j}", 1 / F.col(f"l{j}{j}"))
-        for i in range(j + 1, P):
-            total = reduce(lambda a, k, i=i, j=j: a + F.col(f"l{i}{k}") * F.col(f"v{k}{j}"), range(j, i), F.lit(0.0))
-            staged = staged.withColumn(f"v{i}{j}", -total / F.col(f"l{i}{i}"))
-    inverse = [reduce(lambda a, k, i=i, j=j: a + F.col(f"v{k}{i}") * F.col(f"v{k}{j}"), range(j, P), F.lit(0.0)).alias(f"q{i}{j}") for i, j in PAIRS]
-    logdet = reduce(lambda a, k: a + 2 * F.log(F.col(f"l{k}{k}")), range(P), F.lit(0.0))
-    return staged.select(*keys, F.col("n").alias("core_n"), *[f"m{i}" for i in range(P)], *inverse, logdet.alias("logdet"))
+    means = sums.filter("n > 0").select("*", *[(F.col(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(P)])
+
+    def scatter(i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
+        c = F.col(f"s{i}{j}") / n / SCALE / SCALE - F.col(f"m{i}") * F.col(f"m{j}")
+        return F.greatest(c, F.lit(0.0)) * consistency + FLOOR[i] ** 2 if i == j else c * consistency
+
+    matrix = F.array(*[scatter(i, j) for i in range(P) for j in range(P)])
+    return means.withColumn("v", _inverse(matrix)).select(
+        *keys, F.col("n").alias("core_n"), *[f"m{i}" for i in range(P)],
+        *[F.get("v.a", F.lit(i * P + j)).alias(f"q{i}{j}") for i, j in PAIRS], F.col("v.logdet").alias("logdet"),
+    )
 
 
 def distance(prefix: str = "") -> Column:
