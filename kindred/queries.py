@@ -143,6 +143,16 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal.plan(document_tracks(spark, sf_dir).filter("id % 3 = 0"), "/removed")
 
 
+def _selected_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for the copies that ``auto_select`` marks."""
+    groups, tracks = _views(spark, sf_dir)
+    return removal.plan(tracks.join(keepers.auto_select(groups, tracks, _PATH_RULES), "id", "left_semi"), "/removed")
+
+
+def _inside_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal.moves_into_folders(_selected_plan(spark, sf_dir), ["/elsewhere", "/removed/lib/src1"]).select("track_id", "destination")
+
+
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal.moves_into_folders(_plan(spark, sf_dir), ["/elsewhere", "/removed/lib/src1"]).select("track_id", "destination")
 
@@ -211,7 +221,17 @@ def _normalised(options):
 
 
 def _token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", "p_name")
+    """The keys below 300 only, as in the SQL of ``similarity_token_sort``."""
+    return _token_sort_pairs(table(spark, sf_dir, "part").filter("p_partkey < 300"))
+
+
+def _token_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_sort_pairs(table(spark, sf_dir, "part"))
+
+
+def _token_sort_pairs(parts: DataFrame) -> DataFrame:
+    """Every pair of parts whose names begin alike."""
+    p = parts.select("p_partkey", "p_name")
     q = p.select(F.col("p_partkey").alias("q_partkey"), F.col("p_name").alias("q_name"))
     both = p.join(q, F.substring("p_name", 1, 1) == F.substring("q_name", 1, 1)).filter("p_partkey < q_partkey")
     return both.select("p_partkey", "q_partkey", F.round(S.token_sort_ratio(F.col("p_name"), F.col("q_name")), 6).alias("ratio"))
@@ -254,17 +274,17 @@ def queries() -> dict:
         "txt_brackets": _text(lambda c: F.array_join(F.transform(C.bracket_segments(c), lambda x: C.segment_text(c, x)), "|")),
         "txt_fold_diacritics": _text(X.fold_diacritics, document_tracks), "txt_natural_order": _natural, "txt_display": _display, "txt_sizes": _sizes,
         "normalise_dj": _normalised(DJ_LIBRARY), "normalise_aggressive": _normalised(LOOSE.normalisation),
-        "similarity_token_sort": _token_sort, "similarity_jaro_winkler": _jaro_winkler,
+        "similarity_token_sort": _token_sort, "similarity_token_sort_all": _token_sort_all, "similarity_jaro_winkler": _jaro_winkler,
         "match_pairs_standard": _pairs(STANDARD, document_tracks),
         "match_pairs_similar": _pairs(MatchCriteria(title=FieldRule("similar", 0.6), artist=FieldRule("same"), duration_tolerance=None), part_tracks),
         "match_pairs_constraints": _pairs(MatchCriteria(track_number="different", album="same", format="any", duration_tolerance=50.0, extra_fields=(ExtraFieldRule("year", FieldRule("ignore")),)), part_tracks),
         "match_components": _components, "match_bucket_split": _bucket_sizes,
         "match_groups_anchored": _match(STANDARD, document_tracks, flat=False), "match_groups_exact": _match(CLASSES, part_tracks, None),
-        "match_groups_dj": _match(DJ, _decorated), "match_groups_loose": _match(LOOSE, lambda s, d: _decorated(s, d).filter("id <= 400")),
+        "match_groups_dj": _match(DJ, _decorated), "match_groups_loose": _match(LOOSE, _decorated),
         "match_groups_components": _match(replace(STANDARD, require_anchor_match=False), document_tracks),
         "arrange_confidence": _arranged("confidence"), "arrange_copies": _arranged("copies"), "arrange_column": _arranged("bitrate", False), "filter_groups": _filtered, "diff_cells": _differences,
         "keepers_default": _keepers(keepers.DEFAULT_RULES), "keepers_path": _keepers(_PATH_RULES), "auto_select": _auto_select,
-        "marked_summary": _marked, "drop_copies": _dropped, "removal_plan": _plan, "removal_collisions": _inside, "tag_compare": _tag_compare,
+        "marked_summary": _marked, "drop_copies": _dropped, "removal_plan": _plan, "removal_collisions": _inside, "removal_plan_selected": _selected_plan, "removal_collisions_selected": _inside_selected, "tag_compare": _tag_compare,
         "waveform_rms": _waveform, "waveform_resample": _resample,
     }
 
@@ -353,6 +373,8 @@ def oracle_sql() -> dict[str, str]:
               SELECT pair_id, 0 AS pos, 'TITLE' AS key, 'Title' AS name, c_name AS source, CASE WHEN even THEN c_name ELSE '' END AS destination, NOT even AS can_copy, NOT even AS fills_gap FROM t
               UNION ALL SELECT pair_id, 1, 'GENRE', 'Genre', c_mktsegment, '', true, true FROM t UNION ALL SELECT pair_id, 2, 'MOOD', 'Mood', '', c_mktsegment, false, false FROM t
               UNION ALL SELECT pair_id, 3, 'ABC', 'ABC', '', 'a', false, false FROM t UNION ALL SELECT pair_id, 4, 'ZED', 'ZED', 'z', '', true, false FROM t) SELECT * FROM x""",
+        "removal_plan_selected": f"{_KEEP} SELECT tid AS track_id, path AS source, '/removed' || path AS destination FROM k JOIN tracks ON tid = id WHERE rn > 1",
+        "removal_collisions_selected": f"{_KEEP} SELECT tid AS track_id, '/removed' || path AS destination FROM k JOIN tracks ON tid = id WHERE rn > 1 AND path LIKE '/lib/src1/%' ORDER BY tid LIMIT 1",
         "waveform_rms": """WITH s AS (SELECT vec_id AS id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS f, len(embedding) AS n FROM embeddings)
             SELECT id, least(f * least(16, n) // n, least(16, n) - 1) AS slice, round(max(abs(x)), 5) AS peak, round(sqrt(avg(x::DOUBLE * x)), 5) AS level FROM s GROUP BY 1, 2""",
         "waveform_resample": """WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(greatest(least(x::DOUBLE, 1), 0) * 255) / 255) AS v FROM embeddings), i AS (SELECT id, v, unnest(range(10)) AS slice FROM s)
