@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .options import DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule,
 from .plans.normalise import normalise
 from .schema import EXTENSIONS, extension, format_of
 from .sources import scan
-from .sources.views import document_tracks, part_tracks, table
+from .sources.views import document_tracks, part_tracks, table, whole_document_tracks
 from .storage import materialise
 
 ASCII = r"^[\x00-\x7F]*$"
@@ -45,16 +46,18 @@ _D = """SELECT p_partkey AS id,
 _DOC = """SELECT doc_id AS id, coalesce(substr(text, 1, 60), '') AS title, coalesce(lang, '') AS artist, coalesce(source, '') AS album, n_chars::DOUBLE AS duration,
   ['mp3', 'aac', 'alac', 'flac', 'aiff', 'wav'][(doc_id % 6 + 1)::INT] AS format, (doc_id * 1009 % 5000000) AS file_size, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 320 END AS bitrate,
   '/lib/' || coalesce(source, '') || '/' || doc_id || '.' || ['mp3', 'aac', 'alac', 'flac', 'aiff', 'wav'][(doc_id % 6 + 1)::INT] AS path FROM documents"""
+# The same with the whole text as title.
+_WHOLE_DOC = _DOC.replace("substr(text, 1, 60)", "text")
 _FOLD = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 
 def _text(expression, source=_decorated, column="title"):
-    return lambda spark, sf: source(spark, sf).select("id", expression(F.col(column)).alias("result"))
+    return lambda spark, sf, source=source: source(spark, sf).select("id", expression(F.col(column)).alias("result"))
 
 
-def document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_groups(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
     """Groups of documents with equal folded title and artist, as views and keepers want them: anchor first, confidence by size."""
-    t = document_tracks(spark, sf_dir)
+    t = source(spark, sf_dir)
     keyed = t.select("id", X.fold(F.col("title"), STANDARD.normalisation).alias("t"), "artist").filter("t <> ''")
     lists = keyed.groupBy("t", "artist").agg(F.array_sort(F.collect_list("id")).alias("track_ids")).filter(F.size("track_ids") > 1)
     return lists.select(
@@ -68,12 +71,12 @@ _G = f"""g AS (SELECT min(id) AS gid, list_sort(list(id)) AS track_ids, round(1
 m AS (SELECT gid, unnest(track_ids) AS tid, generate_subscripts(track_ids, 1) - 1 AS pos FROM g)"""
 
 
-def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return materialise(document_groups(spark, sf_dir)), document_tracks(spark, sf_dir)
+def _views(spark: SparkSession, sf_dir: str, source=document_tracks) -> tuple[DataFrame, DataFrame]:
+    return materialise(document_groups(spark, sf_dir, source)), source(spark, sf_dir)
 
 
 def _pairs(criteria, source, keep=None):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, source=source) -> DataFrame:
         t = source(spark, sf_dir)
         prepared = materialise(engine.prepare(t.filter(keep) if keep is not None else t, criteria))
         return engine.edges(prepared, criteria).select("i", "j", F.round("score", 6).alias("score"), F.array_join(F.transform("reasons", lambda r: r.cast("string")), ",").alias("reasons"))
@@ -81,14 +84,14 @@ def _pairs(criteria, source, keep=None):
 
 
 def _match(criteria, source, max_bucket=blocking.MAX_BUCKET, flat=True):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, source=source) -> DataFrame:
         out = engine.match(source(spark, sf_dir), criteria, max_bucket)
         return out.select("id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"), F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons")) if flat else out
     return run
 
 
-def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = materialise(engine.prepare(document_tracks(spark, sf_dir), STANDARD))
+def _components(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    prepared = materialise(engine.prepare(source(spark, sf_dir), STANDARD))
     return components(engine.edges(prepared, STANDARD).select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
@@ -98,26 +101,26 @@ def _bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arranged(order, ascending=True):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        groups, tracks = _views(spark, sf_dir)
+    def run(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+        groups, tracks = _views(spark, sf_dir, source)
         out = views.arrange(groups, tracks, order, ascending)
         return out.select("rank", "id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
     return run
 
 
-def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir)
+def _filtered(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir, source)
     return views.filter_groups(groups, tracks, " SRC1 ", 0.5).select("id", "confidence")
 
 
-def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir)
+def _differences(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir, source)
     return views.differing_cells(groups, tracks, "album")
 
 
 def _keepers(rules):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        groups, tracks = _views(spark, sf_dir)
+    def run(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+        groups, tracks = _views(spark, sf_dir, source)
         return keepers.choices(groups, tracks, rules).select("group_id", "keeper", F.size("others").alias("n_others"))
     return run
 
@@ -125,17 +128,17 @@ def _keepers(rules):
 _PATH_RULES = tuple(keepers.KeeperRule(*r) for r in (("path_contains", "SRC1"), ("prefer_lossless",), ("higher_bitrate",), ("larger_file",)))
 
 
-def _auto_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.auto_select(*_views(spark, sf_dir), _PATH_RULES)
+def _auto_select(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    return keepers.auto_select(*_views(spark, sf_dir, source), _PATH_RULES)
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir)
+def _marked(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir, source)
     return views.marked_summary(groups, tracks, tracks.filter("id % 3 = 0").select("id"))
 
 
-def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir)
+def _dropped(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir, source)
     return views.drop_copies(groups, tracks.filter("id % 5 = 0").select("id")).select("id", F.size("track_ids").alias("n"))
 
 
@@ -143,14 +146,14 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal.plan(document_tracks(spark, sf_dir).filter("id % 3 = 0"), "/removed")
 
 
-def _selected_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _selected_plan(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
     """The plan for the copies that ``auto_select`` marks."""
-    groups, tracks = _views(spark, sf_dir)
+    groups, tracks = _views(spark, sf_dir, source)
     return removal.plan(tracks.join(keepers.auto_select(groups, tracks, _PATH_RULES), "id", "left_semi"), "/removed")
 
 
-def _inside_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal.moves_into_folders(_selected_plan(spark, sf_dir), ["/elsewhere", "/removed/lib/src1"]).select("track_id", "destination")
+def _inside_selected(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    return removal.moves_into_folders(_selected_plan(spark, sf_dir, source), ["/elsewhere", "/removed/lib/src1"]).select("track_id", "destination")
 
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +174,9 @@ def _tag_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "pos", "key", "name", F.array_join("source", "|").alias("source"), F.array_join("destination", "|").alias("destination"), "can_copy", "fills_gap")
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _snapshots(spark: SparkSession, sf_dir: str, source=document_tracks) -> tuple[DataFrame, DataFrame]:
     """Files now and the cache before: a tenth changed in size, an eighth new, some gone."""
-    t = document_tracks(spark, sf_dir)
+    t = source(spark, sf_dir)
     files = t.filter("id % 9 <> 0").select("path", "scan_root", F.when(F.col("id") % 10 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("size"), "modified")
     return files, t.filter("id % 8 <> 0").drop("id")
 
@@ -192,8 +195,8 @@ def _cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.evict(cache, ["/lib/src1", "/lib/src2"], files).select("path")
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, cache = _snapshots(spark, sf_dir)
+def _scan(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    files, cache = _snapshots(spark, sf_dir, source)
     def read(missing: DataFrame) -> DataFrame:
         p = F.map_from_arrays(F.array(F.lit("TITLE"), F.lit("TRACKNUMBER"), F.lit("DATE")), F.array(F.array(F.lit("read"), F.lit("again")), F.array(F.lit("03/12")), F.array(F.lit("05/01/2011"))))
         meta = missing.select("path", p.alias("properties"), F.lit(None).cast("struct<format:string,bitrate:int,sample_rate:int,bit_depth:int,channels:int>").alias("stream"), F.lit(None).cast("struct<duration:double,format:string,sample_rate:int,channels:int>").alias("decoded"), F.expr("cast(array() as array<string>)").alias("problems"))
@@ -242,8 +245,8 @@ def _jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.round(S.jaro_winkler(F.col("title"), F.reverse("title")), 6).alias("jw"), F.round(S.fuzzy_ratio(F.col("title"), F.col("artist")), 6).alias("fuzzy"))
 
 
-def _display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = document_tracks(spark, sf_dir)
+def _display(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    t = source(spark, sf_dir)
     return t.select("id", D.text_of("duration").alias("duration"), D.text_of("bitrate").alias("bitrate"), D.text_of("format").alias("format"), D.text_of("fileName").alias("file_name"), D.display_name(F.col("title"), F.col("artist"), F.col("path")).alias("name"))
 
 
@@ -262,7 +265,25 @@ def _natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.number_rows(o, [X.natural_key(F.col("x")), F.col("id")], "rank")
 
 
+# The queries whose results depend on the documents' titles: each has a second one, _whole, on whole texts.
+_ON_TITLES = (
+    "scan_tracks", "txt_collapse", "txt_fold_diacritics", "txt_display", "match_pairs_standard", "match_components", "match_groups_anchored", "match_groups_components",
+    "arrange_confidence", "arrange_copies", "arrange_column", "filter_groups", "diff_cells", "keepers_default", "keepers_path", "auto_select", "marked_summary", "drop_copies",
+    "removal_plan_selected", "removal_collisions_selected",
+)
+
+
 def queries() -> dict:
+    found = _queries()
+    return found | {f"{name}_whole": partial(found[name], source=whole_document_tracks) for name in _ON_TITLES}
+
+
+def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {f"{name}_whole": found[name].replace(_DOC, _WHOLE_DOC) for name in _ON_TITLES if name in found}
+
+
+def _queries() -> dict:
     dash = lambda c: F.array_join(X.split_spaced_dash(c), "|")
     return {
         "scan_tracks": _scan, "scan_supported_formats": _supported, "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_evict": _cache_evict,
@@ -303,7 +324,7 @@ _NEUTRAL = "(" + ", ".join(f"'{w}'" for w in C.NEUTRAL_WORDS) + ")"
 _DISTINCT = "[" + ", ".join(f"'{w}'" for w in C.DISTINCT_WORDS) + "]"
 
 
-def oracle_sql() -> dict[str, str]:
+def _oracle_sql() -> dict[str, str]:
     d = lambda e: f"SELECT id, {e} AS result FROM ({_D})"
     return {
         "scan_supported_formats": """SELECT p_partkey AS id, ['mp3', 'aac', 'flac', 'unknown', 'wav', 'aiff'][(p_partkey % 6 + 1)::INT] AS format, p_partkey % 6 <> 3 AS supported FROM part""",
