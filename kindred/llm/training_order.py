@@ -2,30 +2,33 @@
 
 Texts become token ids (a public vocabulary whose path is a parameter) closed by an end token, cut into sequences
 of ``SEQUENCE`` ids. Sequences are numbered 0 to n-1 and a keyed Feistel permutation with cycle walking
-gives each its slot in the training order: a bijection on [0, n) that needs no sort and no table. Slots
-are dealt to range partitions, in which rows lie in slot order; a shard holds ``SHARD_SLOTS`` slots of
-one stride each, so slot s starts at byte (s mod SHARD_SLOTS) x stride of shard s div SHARD_SLOTS, and a
-reader that stopped resumes with a filter on ``slot``, which file statistics prune.
+gives each its slot in the training order: a bijection on [0, n) that needs no sort and no table. Each
+range of ``SHARD_SLOTS`` slots is one partition, in which rows lie in slot order, and one file of fixed
+stride: slot s starts at byte (s mod SHARD_SLOTS) x stride of shard s div SHARD_SLOTS. ``with_shards``
+writes the files from the tasks while its rows are read, each under another name until it is whole;
+``read_slots`` reads on from any slot with one seek.
 
 Scale: texts are tokenised once; the written token table fixes each row's number (part of the scan, place
 in the part), and only the parts' counts are summed to offsets. The permutation is computed where the row is.
 
 Defined cases: null text has no tokens but the end; an empty text is one sequence; repeated rows are
-sequences of their own; texts are tokenised in pieces of ``PIECE`` characters, so memory does not grow
-with a text; an empty table gives an empty result; extra columns are not read.
+sequences of their own; texts are tokenised in pieces of about ``PIECE`` characters, cut where the
+tokenizer's pattern splits anyway (a run without such a place stays whole); an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shared_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50256
@@ -33,6 +36,7 @@ SEQUENCE = 512
 STRIDE = 2 * SEQUENCE  #: bytes: ids are 16 bits, little-endian, padded with END_ID
 SHARD_SLOTS = 1 << 16
 PIECE = 1 << 16
+MARGIN = 16  #: characters before a piece's end whose matches the text behind it may change
 ROUNDS = 4
 KEY = 20240817
 
@@ -51,9 +55,29 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces that have the same tokens apart: cut behind a match of the pattern that ends in no white space, since white space looks ahead."""
+    import public_tokenizers
+    import regex
+
+    at = 0
+    while at < len(text):
+        size, cut = PIECE, 0
+        while not cut:
+            part = text[at : at + size]
+            if at + size >= len(text):
+                cut = len(part)
+            else:
+                ends = (m.end() for m in regex.finditer(public_tokenizers.PATTERN, part))
+                cut = max((e for e in ends if e <= size - MARGIN and not part[e - 1].isspace()), default=0)
+            size *= 2
+        yield text[at : at + cut]
+        at += cut
+
+
 def ids_of(text: str | None, path: str = VOCABULARY) -> np.ndarray:
     encode = encoder(path).encode_ordinary
-    parts = [encode(text[at : at + PIECE]) for at in range(0, len(text or ""), PIECE)]
+    parts = [encode(p) for p in pieces(text or "")]
     return np.array([i for p in parts for i in p] + [END_ID], dtype="<u2")
 
 
@@ -112,7 +136,7 @@ def materialise_order(docs: DataFrame, path: str = VOCABULARY, key: int = KEY) -
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part of the scan
     offsets = materialise(counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count"))
     n = offsets.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, -(-n // SHARD_SLOTS))
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +148,67 @@ def materialise_order(docs: DataFrame, path: str = VOCABULARY, key: int = KEY) -
     padding = F.lit(END_ID.to_bytes(2, "little") * SEQUENCE)
     padded = F.substring(F.concat(F.col("ids"), padding), 1, STRIDE)
     return (
-        slotted.repartitionByRange(parts, "slot")
+        slotted.repartitionById(shards, F.floor(F.col("slot") / SHARD_SLOTS).cast("int"))
         .sortWithinPartitions("slot")
         .select("doc_id", "seq", "n_tokens", "slot", F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), (F.col("slot") % SHARD_SLOTS * STRIDE).alias("offset"), padded.alias("ids"))
     )
 
 
+def _file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+
+
+def with_shards(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` (``materialise_order``); reading them to the end writes ``shard-N.bin`` of every shard to ``folder``.
+
+    A task that runs twice writes the same bytes and renames them over the first ones.
+    """
+    shard_at, slot_at, ids_at = (rows.columns.index(c) for c in ("shard", "slot", "ids"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _file_system(folder)
+        files.create_dir(root)
+        now, out, temp, last = None, None, "", -1
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                files.move(temp, f"{root}/shard-{now}.bin")
+
+        for batch in batches:
+            shards, slots = batch.column(shard_at).to_numpy(), batch.column(slot_at).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if shards[a] != now:
+                    close()
+                    now, temp, last = int(shards[a]), f"{root}/.{uuid.uuid4().hex}", int(slots[a]) - 1
+                    out = files.open_output_stream(temp)
+                if slots[a] != last + 1 or (np.diff(slots[a:b]) != 1).any():
+                    raise ValueError(f"shard {now} lacks a slot after {last}")
+                out.write(b"".join(batch.column(ids_at).slice(a, b - a).to_pylist()))
+                last = int(slots[b - 1])
+            yield batch
+        close()
+
+    return rows.mapInArrow(write, rows.schema)
+
+
+def read_slots(folder: str, first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, padded ids) from slot ``first`` on, shard after shard."""
+    files, root = _file_system(folder)
+    slot = first
+    while files.get_file_info(path := f"{root}/shard-{slot // SHARD_SLOTS}.bin").type == pyarrow.fs.FileType.File:
+        with files.open_input_file(path) as f:
+            f.seek(slot % SHARD_SLOTS * STRIDE)
+            while block := f.read(STRIDE):
+                yield slot, np.frombuffer(block, "<u2")
+                slot += 1
+        if slot % SHARD_SLOTS:
+            return
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = materialise_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return with_shards(rows, f"{shared_folder(spark).rstrip('/')}/kindred-shards-{uuid.uuid4().hex}")

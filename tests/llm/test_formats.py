@@ -89,3 +89,21 @@ def test_training_order(spark):
     ids = np.concatenate([np.frombuffer(r.ids, "<u2")[: r.n_tokens] for r in sorted((r for r in got if r.doc_id == 50), key=lambda r: r.seq)])
     assert order.encoder(order.VOCABULARY).decode(ids[:-1].tolist()) == text and ids[-1] == order.END_ID
     assert order.materialise_order(docs.limit(0)).count() == 0
+
+
+def test_shard_files_resume(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order, "SHARD_SLOTS", 16)
+    docs = spark.createDataFrame([(i, f"some text number {i} " * (20 * i)) for i in range(40)], "doc_id long, text string").repartition(3)
+    out = order.with_shards(order.materialise_order(docs), f"file://{tmp_path}/shards")
+    rows = out.select("*", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) > 64 and len(rows) % 16
+    assert len({(r.p, r.shard) for r in rows}) == len({r.shard for r in rows}) == len({r.p for r in rows})
+    want = [bytes(r.ids) for r in sorted(rows, key=lambda r: r.slot)]
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted(f"shard-{k}.bin" for k in range(-(-len(rows) // 16)))
+    for first in (0, 16, 21, len(rows) - 1, len(rows)):
+        assert [(s, i.tobytes()) for s, i in order.read_slots(f"{tmp_path}/shards", first)] == list(enumerate(want))[first:]
+
+
+@pytest.mark.parametrize("text", ["wonderful  words\n\n of it's length " * 5000, "a" * 65530 + "bcdefgh ij" * 9, "x" + " \n" * 40000 + "y'll " * 20000, "é漢😀" * 30000])
+def test_pieces_keep_the_tokens(text):
+    assert order.ids_of(text).tolist() == [*order.encoder(order.VOCABULARY).encode_ordinary(text), order.END_ID]
