@@ -117,3 +117,23 @@ def test_proximity(spark):
     postings = spark.createDataFrame(rows, "row long, pos int, term int")
     near = lambda terms, width: sorted(map(tuple, contamination.proximity(postings, terms, width).collect()))
     assert near([5, 6, 7], 3) == [(2, 0)] and near([5, 6, 7], 10) == [(1, 0), (2, 0)] and near([5, 6], 2) == [(3, 5)]
+
+
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(8)
+    word = lambda low=2, high=9: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+    lines = lambda n, *size: [" ".join(word(*size) for _ in range(9)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(rng.randint(8, 16))), "en", "a") for i in range(120)]
+    again = lines(1)[0]
+    planted = [
+        (200, "\n".join(lines(2000)), "en", "a"),
+        (201, "\n".join(lines(12, 25, 30)), "en", "a"),
+        (202, "\n".join(lines(12)).replace("a", "#").replace("b", "%").replace("c", "|").replace("d", "#"), "en", "a"),
+        (203, "\n".join(x for line in lines(12) for x in (line, "see more here")), "en", "a"),
+        (204, "\n".join([f"first {again}", *lines(8), f"second {again}"]), "en", "a"),
+    ]
+    got = {r.doc_id: r for r in quality.judge(quality.statistics(frame(spark, rows + planted, False))).collect()}
+    assert not any(got[i]._q_failed for i, *_ in rows + planted)
+    assert [i for i, *_ in planted if got[i]._q_kept] == []
+    assert sum(got[i]._q_kept for i, *_ in rows) >= 0.97 * len(rows)
+    assert got[204]._q_repeats == 18 and got[204]._q_dup_lines == 0 and got[203]._q_repeats == 0
