@@ -12,7 +12,9 @@ Search: each phrase orders its terms from the rarest to the most common. The rar
 shifted by its offset, are the candidate starts; the remaining (term, offset) pairs of a candidate
 are looked up in the postings of that row, and a start whose every offset is found is an exact
 match. ``proximity`` answers the looser question: rows that hold all terms of a phrase, in any order,
-within a window of given width.
+within a window of given width. ``near`` answers it for all phrases, over an index that keeps every
+posting of the vocabulary: a row's postings lie in one array, so its rarest terms' places are looked
+around within the row; the phrases and their rarity are broadcast.
 
 Scale: the vocabulary of the benchmark is broadcast; its size is checked against ``MAX_TERMS`` and
 larger benchmarks are searched in slices of items, all against the same kind of index. A passage that
@@ -27,6 +29,7 @@ through ``remove`` untouched: internal columns carry the prefix ``_con_``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,7 @@ from .common import materialise
 PHRASE = 13
 MIN_SHARE = 20  #: contaminated if MIN_SHARE * n_hit >= n_words
 MAX_TERMS = 2_000_000
+WIDTH = 2 * PHRASE  #: words of a window that holds all terms of a phrase
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,10 +74,11 @@ def _runs(inside: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def build_index(docs: DataFrame, terms: list[tuple[bytes, bool, bool]], shortest: int) -> DataFrame:
+def build_index(docs: DataFrame, terms: list[tuple[bytes, bool, bool]], shortest: int, pruned: bool = True) -> DataFrame:
     """One row per document: the columns of ``docs``, ``_con_n`` words, and its postings as two arrays, ``_con_terms`` and ``_con_at``.
 
     terms: (word, is it in a full phrase, is it in a short one); a term's number is its place in the list.
+    pruned: only positions in runs that can hold a phrase.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast({w: (i << 2) | (full << 1) | short for i, (w, full, short) in enumerate(terms)})
@@ -89,7 +94,9 @@ def build_index(docs: DataFrame, terms: list[tuple[bytes, bool, bool]], shortest
                 codes = np.fromiter((number(w, -1) for w in words), dtype=np.int64, count=len(words))
                 known = codes >= 0
                 keep = _runs(known & ((codes & 2) > 0), PHRASE)
-                if shortest < PHRASE:
+                if not pruned:
+                    keep = known
+                elif shortest < PHRASE:
                     keep |= _runs(known & ((codes & 1) > 0), shortest)
                 where = np.flatnonzero(keep)
                 n.append(len(words))
@@ -146,6 +153,71 @@ def proximity(postings: DataFrame, terms: list[int], width: int) -> DataFrame:
     return hits.withColumn("near", F.size(F.collect_set("term").over(span))).filter(F.col("near") == len(set(terms))).select("row", F.col("pos").alias("start"))
 
 
+def near(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``doc_id, n_words, n_near`` (distinct phrases whose terms all lie within ``width`` consecutive words) ``, n_near_items, near_items_sha256``."""
+    wanted, terms, shortest = _plans(benchmark)
+    index = materialise(build_index(docs, terms, shortest, pruned=False).select("doc_id", "_con_n", "_con_terms", "_con_at"))
+    count = np.zeros(len(terms), dtype=np.int64)
+    for r in index.select(F.explode("_con_terms").alias("t")).groupBy("t").count().collect():
+        count[r.t] = r["count"]
+    rows = wanted.groupBy("phrase").agg(F.collect_set("term").alias("terms"), F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items")).collect()
+    rows = [(sorted(r.terms, key=lambda t: (count[t], t)), r.items) for r in rows]
+    rows = sorted((r for r in rows if count[r[0][0]]), key=lambda r: r[0])
+    sets = np.full((len(rows), PHRASE), -1, dtype=np.int64)
+    for i, (t, _) in enumerate(rows):
+        sets[i, : len(t)] = t
+    shared = docs.sparkSession.sparkContext.broadcast((sets, [items for _, items in rows]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, items = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = _near_rows(batch.column(1).to_numpy(), batch.column(2), batch.column(3), sets, width)
+                ids = [sorted({x for p in ps for x in items[p]}) for ps in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(map(len, found), type=pa.int64()), pa.array(map(len, ids), type=pa.int64()),
+                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], type=pa.string())],
+                    names=["doc_id", "n_words", "n_near", "n_near_items", "near_items_sha256"],
+                )
+
+    return index.mapInArrow(look, "doc_id long, n_words long, n_near long, n_near_items long, near_items_sha256 string")
+
+
+def _near_rows(n: np.ndarray, terms: pa.ListArray, at: pa.ListArray, sets: np.ndarray, width: int) -> list[set[int]]:
+    """The numbers of the phrases near each row; sets: a phrase's distinct terms, rarest first, -1 behind them, sorted by the first."""
+    base = width + np.cumsum([0, *(n + width)])  # rows side by side, further apart than a window
+    row = np.repeat(np.arange(len(n)), np.diff(terms.offsets.to_numpy()))
+    term, place = terms.flatten().to_numpy().astype(np.int64), at.flatten().to_numpy() + base[row]
+    span = int(base[-1]) + 2 * width
+    keys = np.sort(term * span + place)
+    first, last = np.searchsorted(sets[:, 0], term), np.searchsorted(sets[:, 0], term, side="right")
+    many = last - first
+    of = np.repeat(np.arange(len(term)), many)
+    phrase = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of]
+
+    def within(of: np.ndarray, phrase: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Which candidates have every term of their phrase between the places ``low`` and ``high`` from their own."""
+        live = np.arange(len(of))
+        for k in range(1, sets.shape[1]):
+            t, p = sets[phrase[live], k], place[of[live]]
+            i = np.searchsorted(keys, t * span + p + low)
+            live = live[(t < 0) | ((i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= t * span + p + high))]
+        return live
+
+    some = within(of, phrase, 1 - width, width - 1)
+    of, phrase = of[some], phrase[some]
+    out: list[set[int]] = [set() for _ in n]
+    for shift in range(width):
+        for i in within(of, phrase, -shift, width - 1 - shift):
+            out[row[of[i]]].add(int(phrase[i]))
+    return out
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _plans(benchmark: DataFrame) -> tuple[DataFrame, list[tuple[bytes, bool, bool]], int]:
     """The phrases with numbered terms, the vocabulary in number order, the shortest phrase."""
     found = materialise(phrases(benchmark))

@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_pitman_yor_scoring": pitman_yor.query,
         "op8_source_mixing": mixing.query,
         "op9_positional_index_decontamination": contamination.query,
+        "op9_positional_index_proximity": contamination.near_query,
         "op10_training_order": training_order.query,
     }
 

@@ -137,3 +137,20 @@ def test_each_statistic_rejects_alone(spark):
     assert [i for i, *_ in planted if got[i]._q_kept] == []
     assert sum(got[i]._q_kept for i, *_ in rows) >= 0.97 * len(rows)
     assert got[204]._q_repeats == 18 and got[204]._q_dup_lines == 0 and got[203]._q_repeats == 0
+
+
+def test_near_phrases(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(24)]
+    items = [(1, " ".join(words[:15])), (2, "w3 w9 w3"), (3, ""), (4, "w20")]
+    spread = " ".join(f"{w} other" if i % 3 == 0 else w for i, w in enumerate(words[:13]))
+    texts = [None, "", spread, " ".join(words[12::-1]), " ".join(f"{w} x y" for w in words[:13]), "w3 w9", "w9 " + "x " * 25 + "w3", "w9 " + "x " * 24 + "w3"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 120))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_words, r.n_near, r.n_near_items) for r in contamination.near(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    phrases = [(i, frozenset(w[k : k + 13])) for i, t in items for w in [t.split()] for k in range(max(len(w) - 12, 1 if w else 0))]
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        hit = [(item, k) for k, (item, p) in enumerate(phrases) if any(p <= set(w[s : s + 26]) for s in range(len(w)))]
+        assert got[i] == (len(w), len(hit), len({item for item, _ in hit})), (i, t)
+    assert got[2][1] == got[3][1] >= 1 and got[4][1] == 1 and got[6][1] == 0 and got[7][1] == 1
