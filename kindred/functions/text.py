@@ -133,7 +133,7 @@ def fold(s: Column, options) -> Column:
 
 
 def natural_key(s: Column) -> Column:
-    """A string whose binary order is case- and accent-insensitive with runs of digits as numbers: digits are padded to 20 places."""
+    """A string whose binary order is case- and accent-insensitive with runs of digits as numbers: a number is led by its length."""
     runs = F.regexp_extract_all(search_fold(s), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), 20, "0")).otherwise(r))
-    return F.array_join(padded, "")
+    bare = F.transform(runs, lambda r: F.regexp_replace(r, "^0+(?=[0-9])", ""))
+    return F.array_join(F.transform(bare, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(r).cast("string"), 6, "0"), r)).otherwise(r)), "")

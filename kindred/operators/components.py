@@ -15,15 +15,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating stars: the large star hangs each node's larger neighbours on the smallest node it sees, the small star
     does so with the smaller ones, until every link is (node, root). Minima are summed in part before each shuffle, and
-    each round is written to the shared folder. Self links are kept out, repeated links and both directions are
+    each round is written to the shared folder. The minima are written too: a join of two written tables is broadcast if one
+    is small and otherwise an exchange per side, which adaptive execution splits where a root has very many nodes. Self links are kept out, repeated links and both directions are
     accepted, no links give no rows.
     """
     links = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(MAX_ROUNDS):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(least)
         large = materialise(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
         links = materialise(large.join(least, "a").select(F.explode(F.array(pair("a"), pair("b"))).alias("l")).select("l.a", "l.b").filter("a <> b").distinct())
         n, children = links.agg(F.count("*"), F.count_distinct("a")).first()

@@ -88,10 +88,9 @@ def _strip_versions(df: DataFrame, options: NormalisationOptions, t: str, remove
         df = df.withColumn(aux, F.filter(part, lambda x: strips(C.segment_text(text, x))))
     df = df.withColumn(cut, C.without_segments(text, part))
     left = X.trim_separators(F.col(cut)) != ""
-    df = df.withColumns({
-        removed: F.when(left, F.concat(gone, F.transform(part, lambda x: C.segment_text(text, x)))).otherwise(gone),
-        t: F.when(left, F.col(cut)).otherwise(text),
-    })
+    # two projections: inside a lambda a name that the same projection replaces would be its new value
+    df = df.withColumn(removed, F.when(left, F.concat(gone, F.transform(part, lambda x: C.segment_text(text, x)))).otherwise(gone))
+    df = df.withColumn(t, F.when(left, F.col(cut)).otherwise(text))
     if by_class:
         df = df.withColumn(aux, X.split_spaced_dash(text))
         df = df.withColumn(cut, F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(part, lambda x, i: F.when(strips(x), 0).otherwise(i + 1))), F.lit(0))))

@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where a session names no shared folder (tests, notebooks on one machine).
-LOCAL_FALLBACK = "/tmp/checkpoints/kindred"
+_TABLES: list[str] = []
+_LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """``spark.checkpoint.dir`` of the session. Only a session that runs in one process may name none: it gets a folder of its own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="kindred-"))
+    return f"file://{_LOCAL[0].name}"
+
+
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Lineage ends there, so a lost executor costs a reread and not a recomputation, and later joins know the table's true
+    size (Spark then broadcasts it only below its own threshold).
+    """
+    path = f"{shared_folder(df.sparkSession)}/kindred-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(_at_exit, df.sparkSession)
+    _TABLES.append(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lost executor costs a reread, and joins know the size."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tables() -> list[str]:
+    """The folders of the tables that this process has written and not released."""
+    return list(_TABLES)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables that ``materialise`` wrote (all of them without ``paths``). What still reads them must have been written before."""
+    for path in tables() if paths is None else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by now
+        release(spark)

@@ -22,6 +22,8 @@ def library(spark, seed, n=70):
         if rng.random() < 0.15:
             title, artist = artist, title
         rows.append((i, title, artist, rng.choice(["x", "X", "y"]), rng.choice([None, 1, 2]), rng.choice([None, 100.0, 101.5, 103.0, 109.0]), rng.choice(["mp3", "flac"]), rng.choice([None, 1999, 2000])))
+    planted = [("blue star (Original Mix)", "x"), ("blue star", "y"), ("blue star", "X")]  # one group or more for every case
+    rows += [(n + k, title, "P & Q", album, 1, 100.0, "mp3", 1999) for k, (title, album) in enumerate(planted)]
     return conform(spark.createDataFrame(rows, "id long, title string, artist string, album string, track_number int, duration double, format string, year int")).repartition(3)
 
 

@@ -100,6 +100,8 @@ def test_display(spark):
     assert values(spark, lambda c: D.name_list(F.split(c, ",")), ["a", "a,b", "a,b,c", "a,b,c,d,e"]) == ["“a”", "“a” and “b”", "“a”, “b” and “c”", "“a”, “b”, “c” and 2 more"]
     order = values(spark, X.natural_key, ["track 10", "Track 2", "Träck 3", "track 002"])
     assert sorted(range(4), key=lambda i: order[i]) in ([1, 3, 2, 0], [3, 1, 2, 0])
+    long = values(spark, X.natural_key, ["t " + "9" * 25, "t 1" + "0" * 25, "t " + "0" * 30 + "1"])
+    assert long[2] < long[0] < long[1]
     keys = values(spark, D.version_key, ["1.10", "1.9", "1.2", "1.2.0"])
     assert keys[0] > keys[1] and keys[2] == keys[3]
     assert values(spark, lambda c: F.concat_ws("|", D.file_name(c), D.file_stem(c)), ["/a/b.c.mp3", "/a/.x", "/a/n"]) == ["b.c.mp3|b.c", ".x|.x", "n|n"]
