@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,25 +9,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Used only where a session names no shared folder (tests, notebooks on one machine).
-LOCAL_FALLBACK = "/tmp/checkpoints/kindred"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Lineage ends there, so a lost executor costs a reread and not a recomputation, and later
-    joins know the table's true size (Spark then broadcasts it only below its own threshold).
-    """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, unit_draw, word_count
+from ..storage import materialise
+from .common import row_key, unit_draw, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

@@ -35,7 +35,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise
+from ..storage import materialise
+from .common import SPACE
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20

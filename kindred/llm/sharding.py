@@ -2,8 +2,10 @@
 
 The tree has three levels: regions, racks, shards. A document descends it: at each level every
 child draws ``-ln(u) / weight`` with ``u`` hashed from the document's id and the child's name, and
-the smallest draw wins, so children are chosen in proportion to the weight below them. A change of
-weight moves rows only between the children whose weights changed and their subtrees. ``grow`` adds
+the smallest draw wins, so children are chosen in proportion to the weight below them. A child that
+gets lighter only loses rows: if a shard's weight falls, a row that moves leaves that shard, or its
+rack, or its region, for another child of the same parent; no row moves between two children whose
+weights stayed, and none comes in (a heavier child only gains, likewise). ``grow`` adds
 a shard in a region of its own: no older draw changes, so rows move into the new shard only (the
 law ``key``).
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from ..storage import materialise
 
 Tree = tuple[tuple[tuple[tuple[int, float], ...], ...], ...]  #: regions of racks of (shard, weight)
 

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .graph import components
+from ..operators.components import components
+from ..storage import materialise
 
 THRESHOLD = 4
 SHINGLE = 4
