@@ -1,19 +1,21 @@
 """Token ids in training order.
 
-Texts become token ids (a public vocabulary whose path is a parameter) closed by an end token, cut into sequences
-of ``SEQUENCE`` ids. Sequences are numbered 0 to n-1 and a keyed Feistel permutation with cycle walking
-gives each its slot in the training order: a bijection on [0, n) that needs no sort and no table. Each
-range of ``SHARD_SLOTS`` slots is one partition, in which rows lie in slot order, and one file of fixed
-stride: slot s starts at byte (s mod SHARD_SLOTS) x stride of shard s div SHARD_SLOTS. ``with_shards``
-writes the files from the tasks while its rows are read, each under another name until it is whole;
-``read_slots`` reads on from any slot with one seek.
+Texts become token ids (a public vocabulary whose path is a parameter), each closed by an end token. The
+documents of a part of the scan are packed: their ids follow one another and are cut into sequences of
+``SEQUENCE`` ids, so only a part's last sequence is padded. Sequences are numbered 0 to n-1 and a keyed
+Feistel permutation with cycle walking gives each its slot in the training order: a bijection on [0, n)
+that needs no sort and no table. ``SHARD_SLOTS`` slots are one file of fixed stride: slot s starts at byte
+(s mod SHARD_SLOTS) x stride of shard s div SHARD_SLOTS. Rows are dealt to tasks by ranges of shards and lie
+in slot order there. ``with_shards`` writes the files from the tasks while its rows are read, each under
+another name until it is whole; ``read_slots`` reads on from any slot with one seek.
 
 Scale: texts are tokenised once; the written token table fixes each row's number (part of the scan, place
 in the part), and only the parts' counts are summed to offsets. The permutation is computed where the row is.
+The number of tasks that write shards is the session's number of shuffle partitions, at most one per shard.
 
-Defined cases: null text has no tokens but the end; an empty text is one sequence; repeated rows are
-sequences of their own; texts are tokenised in pieces of about ``PIECE`` characters, cut where the
-tokenizer's pattern splits anyway (a run without such a place stays whole); an empty table gives an empty result; extra columns are not read.
+Defined cases: null text has no tokens but the end; an empty text likewise; repeated rows are packed each;
+texts are tokenised in pieces of about ``PIECE`` characters, cut where the tokenizer's pattern splits anyway
+(a run without such a place stays whole); an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -82,28 +84,52 @@ def ids_of(text: str | None, path: str = VOCABULARY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``doc_id, seq, n_tokens, ids, part, place``: one row per sequence, ids unpadded."""
+    """``n_tokens, doc_ids, starts, skipped, ids, part, place``: one row per sequence, ids unpadded.
+
+    ``doc_ids`` are the documents in it, ``starts`` the places where their ids begin; the first one may have begun before,
+    and ``skipped`` of its ids lie in earlier sequences.
+    """
+    names = ["n_tokens", "doc_ids", "starts", "skipped", "ids", "place"]
+
+    def rows(docs: pa.Array, starts: np.ndarray, ids: np.ndarray, place: int) -> pa.RecordBatch:
+        """All sequences of a stream of ids; starts: where each document's begin, below 0 if it began before the stream."""
+        edges = np.arange(0, len(ids), SEQUENCE)
+        ends = np.minimum(edges + SEQUENCE, len(ids))
+        first, last = np.searchsorted(starts, edges, side="right") - 1, np.searchsorted(starts, ends, side="left")
+        many = last - first
+        offsets = pa.array(np.cumsum([0, *many]), type=pa.int32())
+        of = np.repeat(np.arange(len(edges)), many)
+        doc = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ends - edges, type=pa.int32()), pa.ListArray.from_arrays(offsets, docs.take(pa.array(doc, type=pa.int64()))),
+                pa.ListArray.from_arrays(offsets, pa.array(np.maximum(starts[doc] - edges[of], 0), type=pa.int32())), pa.array(np.maximum(edges - starts[first], 0), type=pa.int64()),
+                pa.array([ids[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], type=pa.binary()), pa.array(np.arange(place, place + len(edges)), type=pa.int64()),
+            ],
+            names=names,
+        )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
-        for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for i, text in enumerate(batch.column(1)):
-                ids = ids_of(text.as_py(), path)
-                for seq, at in enumerate(range(0, len(ids), SEQUENCE)):
-                    part = ids[at : at + SEQUENCE]
-                    for column, x in zip(rows, (i, seq, len(part), part.tobytes()), strict=True):
-                        column.append(x)
-            ids = batch.column(0).take(pa.array(rows[0], type=pa.int64()))
-            n = len(rows[0])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(rows[1], type=pa.int32()), pa.array(rows[2], type=pa.int32()), pa.array(rows[3], type=pa.binary()), pa.array(np.arange(place, place + n))],
-                names=["doc_id", "seq", "n_tokens", "ids", "place"],
-            )
-            place += n
+        docs, starts, ids = pa.array([], type=pa.int64()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u2")  # of the sequence that is not full yet
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                new = [ids_of(t.as_py(), path) for t in batch.column(1)]
+                begin = len(ids) + np.cumsum([0, *map(len, new)])[:-1]
+                docs, starts, ids = pa.concat_arrays([docs, batch.column(0)]), np.concatenate([starts, begin]), np.concatenate([ids, *new])
+                full = len(ids) // SEQUENCE * SEQUENCE
+                if not full:
+                    continue
+                yield rows(docs, starts, ids[:full], place)
+                place += full // SEQUENCE
+                left = int(np.searchsorted(starts, full, side="right")) - 1 if full < len(ids) else len(starts)
+                docs, starts, ids = docs.slice(left), starts[left:] - full, ids[full:]
+        if len(ids):
+            yield rows(docs, starts, ids, place)
 
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    cut_rows = read.mapInArrow(cut, "doc_id long, seq int, n_tokens int, ids binary, place long")
+    cut_rows = read.mapInArrow(cut, "n_tokens int, doc_ids array<long>, starts array<int>, skipped long, ids binary, place long")
     return cut_rows.withColumn("part", F.spark_partition_id())
 
 
@@ -130,27 +156,29 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def materialise_order(docs: DataFrame, path: str = VOCABULARY, key: int = KEY) -> DataFrame:
-    """``doc_id, seq, n_tokens, slot, shard, offset, ids``: rows of a partition lie in slot order, ids are padded to one stride."""
-    rows = materialise(sequences(docs, path))
+    """``number, slot, shard, offset, n_tokens, doc_ids, starts, skipped, ids``: rows of a partition lie in slot order, ids are padded to one stride."""
+    rows = materialise(sequences(docs, path), "zstd")
     counts = rows.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part of the scan
     offsets = materialise(counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count"))
     n = offsets.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     shards = max(1, -(-n // SHARD_SLOTS))
+    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = ["n_tokens", "doc_ids", "starts", "skipped", "ids"]
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = feistel(batch.column("number").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(slot)], names=["doc_id", "seq", "n_tokens", "ids", "slot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], names=[*batch.schema.names, "slot"])
 
-    numbered = rows.join(offsets.drop("count"), "part").select("doc_id", "seq", "n_tokens", "ids", (F.col("first") + F.col("place")).alias("number"))
-    slotted = numbered.mapInArrow(permute, "doc_id long, seq int, n_tokens int, ids binary, slot long")
-    padding = F.lit(END_ID.to_bytes(2, "little") * SEQUENCE)
-    padded = F.substring(F.concat(F.col("ids"), padding), 1, STRIDE)
+    numbered = rows.join(offsets.drop("count"), "part").select(*held, (F.col("first") + F.col("place")).alias("number"))
+    slotted = numbered.mapInArrow(permute, numbered.withColumn("slot", F.col("number")).schema)
+    shard = F.floor(F.col("slot") / SHARD_SLOTS)
+    padded = F.substring(F.concat(F.col("ids"), F.lit(END_ID.to_bytes(2, "little") * SEQUENCE)), 1, STRIDE)
     return (
-        slotted.repartitionById(shards, F.floor(F.col("slot") / SHARD_SLOTS).cast("int"))
+        slotted.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int"))
         .sortWithinPartitions("slot")
-        .select("doc_id", "seq", "n_tokens", "slot", F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), (F.col("slot") % SHARD_SLOTS * STRIDE).alias("offset"), padded.alias("ids"))
+        .select("number", "slot", shard.alias("shard"), (F.col("slot") % SHARD_SLOTS * STRIDE).alias("offset"), *held[:-1], padded.alias("ids"))
     )
 
 
@@ -211,4 +239,4 @@ def read_slots(folder: str, first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return with_shards(rows, f"{shared_folder(spark).rstrip('/')}/kindred-shards-{uuid.uuid4().hex}")
+    return with_shards(rows, f"{shared_folder(spark)}/kindred-shards-{uuid.uuid4().hex}")
