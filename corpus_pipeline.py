@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred import storage
 from kindred.llm import contamination, mixing, quality, sharding, simhash
-from kindred.llm.common import materialise, table
+from kindred.llm.common import table
+from kindred.storage import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
+    for _, stage in STAGES[:-1]:
+        before = storage.tables()
         docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = materialise(docs)
-    return docs
+        made = storage.tables()
+        docs = materialise(docs)
+        storage.release(spark, [t for t in made if t not in before])  # what the stage wrote on its way
+    return STAGES[-1][1](spark, docs, sf_dir)
