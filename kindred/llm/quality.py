@@ -7,20 +7,23 @@ Outliers: per language and source, the minimum covariance determinant (MCD) esti
 scatter of a vector of transformed statistics; documents whose Mahalanobis distance is beyond a
 chi-squared quantile are rejected. The estimate uses the documents that pass the base rules:
 
-1. Two starts per group: all of its documents, and those without symbols, repeated lines or windows.
-2. ``STEPS`` concentration steps each: distances to the present estimate, keep the nearest
-   ``CORE`` share, estimate again. The determinant never rises.
+1. Two starts: all documents of the group, and those without symbols, repeated lines or windows.
+2. Concentration steps: distances to the present estimate, keep the nearest ``CORE`` share, estimate
+   again, until no core changes (or ``MAX_STEPS``).
 3. The start with the smaller determinant wins; its scatter is scaled to be consistent for normal
    data, and every coordinate gets a least variance (``FLOOR``): a ridge for the first three. Repeats are
    zero in nine of ten documents, so that the core has no spread of them at all; their least deviation is
    such that alone they reject from about 18 % of the lines or words, below the base rule's 20 %.
 
+This is done for all documents together first. The estimate of each language and source is then
+regularised towards that pooled one, by the same formula at every size: with n documents in the core its
+location and scatter weigh n / (n + ``PRIOR``), the pooled ones the rest.
+
 Everything is DataFrame operations. Statistics are rounded to 1/``SCALE`` and summed as integers,
 so the estimates do not depend on the order of rows. The nearest share is found from counts per
 distance bin (bins of 1/``BINS`` in the logarithm of the squared distance), with the moments of
 each bin summed in the same aggregate: a group with a third of all rows is summed in part by every
-task, and what is shuffled is one row per group and bin. Groups of fewer than ``MIN_GROUP`` documents
-are estimated together.
+task, and what is shuffled is one row per group and bin. The statistics are computed once and written.
 
 Defined cases: null text has no words and fails; null language or source is a group of its own;
 repeated rows count each; ties fall in one bin and are kept together; an empty table gives an empty
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .common import SPACE
+from .common import SPACE, WORD
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -45,8 +48,8 @@ REPEAT = 5
 SCALE = 256
 BINS = 32
 CORE = 0.75
-STEPS = 3
-MIN_GROUP = 50
+MAX_STEPS = 20
+PRIOR = 50
 TAIL = 1e-3
 #: Least standard deviations: log words, log word length, then log(1 + percent) of symbols, repeated lines, repeated words.
 FLOOR = (0.1, 0.05, 0.2, 0.65, 0.65)
@@ -85,32 +88,32 @@ CONSISTENCY = CORE / chi_squared_cdf(chi_squared_quantile(CORE, P), P + 2)
 def base_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_q_words, _q_chars, _q_symbols, _q_lines, _q_dup_lines, _q_repeats`` (long)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE + "+", "")) > 0)
     split = docs.select(
         "*",
         F.array_remove(F.split(text, SPACE + "+", -1), "").alias("_q_w"),
-        lines.alias("_q_l"),
-        count(r"[#*$%&|<>]").alias("_q_symbols"),
-        (F.length(text) - count(SPACE)).cast("long").alias("_q_chars"),
+        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("_q_l"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("_q_symbols"),
     )
-    n = F.size("_q_w")
-    hashes = F.when(n >= REPEAT, F.transform(F.sequence(F.lit(1), n - REPEAT + 1), lambda i: F.xxhash64(F.slice("_q_w", i, REPEAT))))
+    n, h = F.size("_q_w"), F.col("_q_h")
     hashed = split.select(
         "*",
         n.cast("long").alias("_q_words"),
+        F.length(F.array_join("_q_w", "")).cast("long").alias("_q_chars"),
         F.size("_q_l").cast("long").alias("_q_lines"),
         (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long").alias("_q_dup_lines"),
-        hashes.alias("_q_h"),
+        F.transform("_q_w", lambda x: F.xxhash64(x)).alias("_q_h"),
     ).drop("_q_l")
+    # a window's hash from those of its words
+    windows = F.transform(F.slice("_q_h", F.lit(1), F.greatest(n - REPEAT + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, REPEAT)]))
+    hashed = hashed.withColumn("_q_x", windows).drop("_q_h")
     # only a text in which some window repeats is sorted
-    h = F.col("_q_h")
-    order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-    ordered = hashed.withColumn("_q_o", F.when(F.size(F.array_distinct(h)) < F.size(h), order))
+    x = F.col("_q_x")
+    order = F.sort_array(F.transform(x, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    ordered = hashed.withColumn("_q_o", F.when(F.size(F.array_distinct(x)) < F.size(x), order)).drop("_q_x")
     o, w = F.col("_q_o"), F.col("_q_w")
     same = lambda x, y: (x["h"] == y["h"]) & (F.slice(w, x["at"] + 1, REPEAT) == F.slice(w, y["at"] + 1, REPEAT))
     repeated = F.filter(o, lambda x, i: ((i > 0) & same(x, F.get(o, i - 1))) | ((i < F.size(o) - 1) & same(x, F.get(o, i + 1))))
-    flagged = ordered.withColumn("_q_f", F.sort_array(F.transform(repeated, lambda x: x["at"]))).drop("_q_o", "_q_h", "_q_w")
+    flagged = ordered.withColumn("_q_f", F.sort_array(F.transform(repeated, lambda x: x["at"]))).drop("_q_o", "_q_w")
     covered = F.aggregate(
         "_q_f",
         F.struct(F.lit(0).alias("n"), F.lit(-REPEAT).alias("last")),
@@ -120,7 +123,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``base_statistics`` with ``_q_failed`` and the transformed vector ``_q_z0 ...`` in 1/SCALE."""
+    """``base_statistics`` with ``_q_failed``, the group ``_q_g`` and the transformed vector ``_q_z0 ...`` in 1/SCALE. Write it before it is judged."""
     base = base_statistics(docs)
     words, chars = (F.col(c).cast("double") for c in ("_q_words", "_q_chars"))
     some = F.greatest(words, F.lit(1.0))
@@ -132,10 +135,11 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.log(1 + 100 * F.col("_q_repeats") / some),
     )
     failed = (F.col("_q_words") < MIN_WORDS) | (100 * F.col("_q_repeats") > MAX_REPEAT_PERCENT * F.col("_q_words"))
-    # always false, but not deterministic: a filter on the verdict stays above this projection, else Catalyst would put the
-    # window search into the condition and sort a text's windows again for each of them
-    failed = failed | (F.monotonically_increasing_id() < 0)
-    return base.select("*", failed.alias("_q_failed"), *[F.round(v * SCALE).cast("long").alias(f"_q_z{i}") for i, v in enumerate(vector)])
+    none = F.lit("")
+    group = F.concat(
+        F.coalesce(F.length("lang"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("lang", none), F.coalesce(F.concat(F.lit("="), "source"), none)
+    )  # the length of the language, or -1, says where the source begins
+    return base.select("*", failed.alias("_q_failed"), group.alias("_q_g"), *[F.round(v * SCALE).cast("long").alias(f"_q_z{i}") for i, v in enumerate(vector)])
 
 
 def _sums(where: Column) -> list[Column]:
@@ -174,21 +178,26 @@ def _inverse(matrix: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), F.struct(matrix.alias("a"), F.lit(0.0).alias("logdet")), step)
 
 
-def _estimate(sums: DataFrame, keys: list[str], consistency: float) -> DataFrame:
-    """``keys``, the means ``m``, the inverse scatter ``q`` and ``logdet`` from the moments."""
+def _estimate(sums: DataFrame, consistency: float, pool: dict | None) -> DataFrame:
+    """``g, start, n, m0 ..., q00 ..., logdet, mark`` (means, inverse scatter, a digest of the moments) from the moments of cores.
+
+    pool: the pooled means ``m0 ...`` and scatter ``c00 ...`` to regularise towards.
+    """
     n = F.col("n").cast("double")
-    means = sums.filter("n > 0").select("*", *[(F.col(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(P)])
+    own = n / (n + PRIOR) if pool else F.lit(1.0)
+    raw = sums.filter("n > 0").select("*", *[(F.col(f"s{i}") / n / SCALE).alias(f"r{i}") for i in range(P)])
 
     def scatter(i: int, j: int) -> Column:
-        i, j = min(i, j), max(i, j)
-        c = F.col(f"s{i}{j}") / n / SCALE / SCALE - F.col(f"m{i}") * F.col(f"m{j}")
-        return F.greatest(c, F.lit(0.0)) * consistency + FLOOR[i] ** 2 if i == j else c * consistency
-
-    matrix = F.array(*[scatter(i, j) for i in range(P) for j in range(P)])
-    return means.withColumn("v", _inverse(matrix)).select(
-        *keys, F.col("n").alias("core_n"), *[f"m{i}" for i in range(P)],
-        *[F.get("v.a", F.lit(i * P + j)).alias(f"q{i}{j}") for i, j in PAIRS], F.col("v.logdet").alias("logdet"),
-    )
+        c = F.col(f"s{i}{j}") / n / SCALE / SCALE - F.col(f"r{i}") * F.col(f"r{j}")
+        c = F.greatest(c, F.lit(0.0)) * consistency + FLOOR[i] ** 2 if i == j else c * consistency
+        return c * own + pool[f"c{i}{j}"] * (1 - own) if pool else c
+
+    mean = lambda i: F.col(f"r{i}") * own + pool[f"m{i}"] * (1 - own) if pool else F.col(f"r{i}")
+    found = raw.select("g", "start", F.xxhash64(*MOMENTS).alias("mark"), "n", *[mean(i).alias(f"m{i}") for i in range(P)], *[scatter(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
+    matrix = F.array(*[F.col(f"c{min(i, j)}{max(i, j)}") for i in range(P) for j in range(P)])
+    return found.withColumn("v", _inverse(matrix)).select(
+        "*", *[F.get("v.a", F.lit(i * P + j)).alias(f"q{i}{j}") for i, j in PAIRS], F.col("v.logdet").alias("logdet")
+    ).drop("v")
 
 
 def distance(prefix: str = "") -> Column:
@@ -197,60 +206,49 @@ def distance(prefix: str = "") -> Column:
     return reduce(lambda a, ij: a + F.col(f"{prefix}q{ij[0]}{ij[1]}") * d[ij[0]] * d[ij[1]] * (1 if ij[0] == ij[1] else 2), PAIRS, F.lit(0.0))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """MCD estimate for each (``lang``, ``source``) of ``rows`` (``statistics``): ``_q_lang, _q_source, m*, q*``."""
-    passed = materialise(rows.filter(~F.col("_q_failed")).select(
-        F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *[f"_q_z{i}" for i in range(P)]
-    ))  # a few numbers a row, read once per step
+def _concentrate(rows: DataFrame, pool: dict | None) -> DataFrame:
+    """The MCD estimate of each ``g`` of ``rows`` (``g, _q_z0 ...``), one row each: the columns of ``_estimate``."""
     plain = reduce(lambda a, i: a & (F.col(f"_q_z{i}") == 0), range(2, P), F.lit(True))
-    starts = F.explode(F.array(F.lit(0), F.lit(1)))
-    raw = (
-        passed.groupBy("_q_lang", "_q_source")
-        .agg(F.count("*").alias("rows"), F.struct(*_sums(F.lit(True))).alias("a"), F.struct(*_sums(plain)).alias("b"))
-    )
-    raw = materialise(raw)  # one row per language and source
-    small = F.col("rows") < MIN_GROUP
-    group = F.when(small, F.lit("")).otherwise(F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in ("_q_lang", "_q_source")]), 256))
-    names = materialise(raw.select("_q_lang", "_q_source", group.alias("g"), "rows"))
-    sizes = names.groupBy("g").agg(F.sum("rows").alias("size"))
-    first = raw.join(names.select("_q_lang", "_q_source", "g"), raw["_q_lang"].eqNullSafe(names["_q_lang"]) & raw["_q_source"].eqNullSafe(names["_q_source"]))
-    sums = first.select("g", F.explode(F.array(
-        F.struct(F.lit(0).alias("start"), F.col("a").alias("x")), F.struct(F.lit(1).alias("start"), F.col("b").alias("x"))
-    )).alias("e")).select("g", "e.start", "e.x.*").groupBy("g", "start").agg(*_total())
-    estimate = materialise(_estimate(sums, ["g", "start"], 1.0))
-
-    def both(estimate: DataFrame) -> DataFrame:
-        """Each language and source with the estimates of its group from either start."""
-        one = lambda s: estimate.filter(F.col("start") == s).drop("start").select("g", *[F.col(c).alias(f"{'ab'[s]}_{c}") for c in estimate.columns if c not in ("g", "start")])
-        return names.join(one(0), "g").join(one(1), "g", "left")
-
-    for _ in range(STEPS):
-        known = materialise(both(estimate))
-        near = passed.join(
-            known, passed["_q_lang"].eqNullSafe(known["_q_lang"]) & passed["_q_source"].eqNullSafe(known["_q_source"])
-        )
-        bin_of = lambda p: F.floor(F.log(distance(p) + 1e-6) * BINS).cast("int")
-        tagged = near.select("g", *[f"_q_z{i}" for i in range(P)], F.array(bin_of("a_"), bin_of("b_")).alias("bins"))
-        tagged = tagged.select("g", *[f"_q_z{i}" for i in range(P)], F.posexplode("bins").alias("start", "bin")).filter("bin IS NOT NULL")
+    both = rows.groupBy("g").agg(F.struct(*_sums(F.lit(True))).alias("a"), F.struct(*_sums(plain)).alias("b"))
+    sums = both.select("g", F.posexplode(F.array("a", "b")).alias("start", "x")).select("g", "start", "x.*")
+    pair = lambda estimate: materialise(estimate.groupBy("g").agg(*[
+        F.max(F.when(F.col("start") == k, F.struct(*[c for c in estimate.columns if c != "g"]))).alias(name) for k, name in enumerate("ab")
+    ]))
+    now, mark = pair(_estimate(sums, 1.0, pool)), None
+    sizes = materialise(rows.groupBy("g").agg(F.count("*").alias("size")))
+    for _ in range(MAX_STEPS):
+        near = rows.join(now, "g")
+        bin_of = lambda k: F.floor(F.log(distance(f"{k}.") + 1e-6) * BINS).cast("int")
+        tagged = near.select("g", *[f"_q_z{i}" for i in range(P)], F.posexplode(F.array(bin_of("a"), bin_of("b"))).alias("start", "bin")).filter("bin IS NOT NULL")
         binned = tagged.groupBy("g", "start", "bin").agg(*_sums(F.lit(True)))
         upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         nearest = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, "g").filter(F.col("before") < F.col("size") * CORE)
-        estimate = materialise(_estimate(nearest.groupBy("g", "start").agg(*_total()), ["g", "start"], CONSISTENCY))
-    best = estimate.groupBy("g").agg(F.min_by(F.struct(*[c for c in estimate.columns if c != "g"]), F.struct("logdet", "start")).alias("e"))
-    return materialise(names.join(best, "g").select("_q_lang", "_q_source", "e.*").drop("start"))
+        now = pair(_estimate(nearest.groupBy("g", "start").agg(*_total()), CONSISTENCY, pool))
+        last, mark = mark, now.agg(F.sum(F.xxhash64("g", "a.mark", "b.mark").cast("decimal(38,0)"))).first()[0]
+        if mark == last:
+            break
+    better = F.col("b").isNotNull() & (F.col("b.logdet") < F.col("a.logdet"))
+    return now.select("g", F.when(better, F.col("b")).otherwise(F.col("a")).alias("e")).select("g", "e.*")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The estimate of each group ``g`` of ``rows`` (``statistics``, written)."""
+    passed = materialise(rows.filter(~F.col("_q_failed")).select(F.col("_q_g").alias("g"), *[f"_q_z{i}" for i in range(P)]))  # a few numbers a row, read once per step
+    pooled = _concentrate(passed.withColumn("g", F.lit("")), None).first()
+    return materialise(_concentrate(passed, pooled.asDict() if pooled else None))
 
 
 def judge(rows: DataFrame) -> DataFrame:
-    """``statistics`` rows with ``_q_distance`` (null if the base rules failed) and ``_q_kept``."""
-    found = estimates(rows)
-    joined = rows.join(found, rows["lang"].eqNullSafe(found["_q_lang"]) & rows["source"].eqNullSafe(found["_q_source"]), "left")
-    measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), distance()))
+    """``statistics`` rows (written) with ``_q_distance`` (null if the base rules failed) and ``_q_kept``."""
+    found = estimates(rows).select(F.col("g").alias("_q_of"), *[F.col(c).alias(f"_q_{c}") for c in (*[f"m{i}" for i in range(P)], *[f"q{i}{j}" for i, j in PAIRS])])
+    joined = rows.join(found, rows["_q_g"] == found["_q_of"], "left")
+    measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), distance("_q_")))
     return measured.withColumn("_q_kept", ~F.col("_q_failed") & (F.coalesce("_q_distance", F.lit(0.0)) <= CUTOFF)).drop(*found.columns)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``. Only statistics are written; the texts are read a second time."""
-    return judge(statistics(docs)).filter("_q_kept").select(*[f"`{c}`" for c in docs.columns])
+    """The documents that pass, with the columns of ``docs``. Texts and statistics are written once, beside each other."""
+    return judge(materialise(statistics(docs))).filter("_q_kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,33 +65,41 @@ def quality(rows, q):
         z.append([math.floor(x * q.SCALE + 0.5) / q.SCALE for x in v])
         failed.append(n < q.MIN_WORDS or 100 * repeats > q.MAX_REPEAT_PERCENT * n)
     z = np.array(z)
-    sizes = Counter((lang, source) for (_, lang, source), f in zip(rows, failed) if not f)
-    group = [None if f else ((lang, source) if sizes[lang, source] >= q.MIN_GROUP else "rest") for (_, lang, source), f in zip(rows, failed)]
     floor = np.diag(np.array(q.FLOOR) ** 2)
 
-    def fit(x, factor):
-        cov = (x.T @ x) / len(x) - np.outer(x.mean(0), x.mean(0))
-        return x.mean(0), cov * factor + floor
-
+    def concentrate(x, pool):
+        """(mean, scatter) with the smaller determinant of the two starts."""
+        def fit(core, factor):
+            mean, cov = core.mean(0), ((core.T @ core) / len(core) - np.outer(core.mean(0), core.mean(0))) * factor + floor
+            if pool is None:
+                return mean, cov
+            own = len(core) / (len(core) + q.PRIOR)
+            return own * mean + (1 - own) * pool[0], own * cov + (1 - own) * pool[1]
+
+        now = [fit(start, 1.0) if len(start) else None for start in (x, x[(x[:, 2:] == 0).all(1)])]
+        last = None
+        for _ in range(q.MAX_STEPS):
+            cores = []
+            for k, estimate in enumerate(now):
+                if estimate:
+                    d = np.einsum("ij,jk,ik->i", x - estimate[0], np.linalg.inv(estimate[1]), x - estimate[0])
+                    bins = np.floor(np.log(d + 1e-6) * q.BINS)
+                    core = bins <= np.sort(bins)[math.ceil(len(x) * q.CORE) - 1]
+                    now[k] = fit(x[core], q.CONSISTENCY)
+                    cores.append(core.tobytes())
+            if cores == last:
+                break
+            last = cores
+        return min((e for e in now if e), key=lambda e: np.linalg.slogdet(e[1])[1])
+
+    group = [None if f else (lang, source) for (_, lang, source), f in zip(rows, failed)]
     far = np.zeros(len(rows))
+    passed = [i for i, g in enumerate(group) if g]
+    pool = concentrate(z[passed], None) if passed else None
     for g in set(group) - {None}:
         at = [i for i, x in enumerate(group) if x == g]
-        x = z[at]
-        best = None
-        for start in (x, x[(x[:, 2:] == 0).all(1)]):
-            if not len(start):
-                continue
-            mean, cov = fit(start, 1.0)
-            for _ in range(q.STEPS):
-                d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-                bins = np.floor(np.log(d + 1e-6) * q.BINS)
-                order = np.sort(bins)
-                edge = order[math.ceil(len(x) * q.CORE) - 1]
-                mean, cov = fit(x[bins <= edge], q.CONSISTENCY)
-            det = np.linalg.slogdet(cov)[1]
-            if best is None or det < best[0]:
-                best = (det, mean, cov)
-        far[at] = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+        mean, cov = concentrate(z[at], pool)
+        far[at] = np.einsum("ij,jk,ik->i", z[at] - mean, np.linalg.inv(cov), z[at] - mean)
     return [(s, f, not f and d <= q.CUTOFF) for s, f, d in zip(stats, failed, far)]
 
 
