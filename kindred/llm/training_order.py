@@ -2,16 +2,21 @@
 
 Texts become token ids (a public vocabulary whose path is a parameter), each closed by an end token. The
 documents of a part of the scan are packed: their ids follow one another and are cut into sequences of
-``SEQUENCE`` ids, so only a part's last sequence is padded. Sequences are numbered 0 to n-1 and a keyed
-Feistel permutation with cycle walking gives each its slot in the training order: a bijection on [0, n)
-that needs no sort and no table. ``SHARD_SLOTS`` slots are one file of fixed stride: slot s starts at byte
-(s mod SHARD_SLOTS) x stride of shard s div SHARD_SLOTS. Rows are dealt to tasks by ranges of shards and lie
-in slot order there. ``with_shards`` writes the files from the tasks while its rows are read, each under
-another name until it is whole; ``read_slots`` reads on from any slot with one seek.
-
-Scale: texts are tokenised once; the written token table fixes each row's number (part of the scan, place
-in the part), and only the parts' counts are summed to offsets. The permutation is computed where the row is.
-The number of tasks that write shards is the session's number of shuffle partitions, at most one per shard.
+``SEQUENCE`` ids, so only a part's last sequence is padded.
+
+Order: no token covers less than a byte, so a part of the scan has room for the sequences that its bytes
+could make at most, and the rooms of all parts number [0, M). A keyed Feistel permutation with cycle walking
+of [0, M) gives each sequence's number its place in the training order, a bijection that needs no sort and no
+table; nothing has to be counted or written before. A shard is a range of ``SHARD_RANGE`` permuted numbers: one
+task sorts it and writes its sequences as one file of fixed stride, under another name until it is whole. The
+files' counts, the manifest, make the order dense: a sequence's slot is its place among all sequences, and slot s
+lies in the last shard that begins at or before it, (s - first) x stride bytes from the start, so ``read_slots``
+reads on from any slot with one seek.
+
+Scale: texts are tokenised once and shuffled once, as ids, from the scan straight to the shards' writers; ranges
+of shards are dealt to at most as many tasks as the session has shuffle partitions. On the driver there is one
+number per part of the scan and per shard. ``docs`` is a scan or a written table: its parts must be the same when
+it is read twice (the second reading raises an error if a part outgrows its room).
 
 Defined cases: null text has no tokens but the end; an empty text likewise; repeated rows are packed each;
 texts are tokenised in pieces of about ``PIECE`` characters, cut where the tokenizer's pattern splits anyway
@@ -21,13 +26,16 @@ texts are tokenised in pieces of about ``PIECE`` characters, cut where the token
 from __future__ import annotations
 
 import base64
+import bisect
+import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_folder
@@ -36,7 +44,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50256
 SEQUENCE = 512
 STRIDE = 2 * SEQUENCE  #: bytes: ids are 16 bits, little-endian, padded with END_ID
-SHARD_SLOTS = 1 << 16
+SHARD_RANGE = 1 << 18  #: permuted numbers of a shard; about a quarter of them are sequences
 PIECE = 1 << 16
 MARGIN = 16  #: characters before a piece's end whose matches the text behind it may change
 ROUNDS = 4
@@ -83,15 +91,26 @@ def ids_of(text: str | None, path: str = VOCABULARY) -> np.ndarray:
     return np.array([i for p in parts for i in p] + [END_ID], dtype="<u2")
 
 
-def sequences(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``n_tokens, doc_ids, starts, skipped, ids, part, place``: one row per sequence, ids unpadded.
+def rooms(docs: DataFrame) -> tuple[dict[int, tuple[int, int]], int]:
+    """({part of the scan: (its first number, how many it may use)}, M)."""
+    most = docs.select(F.spark_partition_id().alias("part"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("ids")).groupBy("part").agg(F.sum("ids").alias("ids"))
+    found, first = {}, 0
+    for r in sorted(most.collect()):  # one row per part
+        room = -(-r.ids // SEQUENCE)
+        found[r.part] = (first, room)
+        first += room
+    return found, first
+
+
+def sequences(docs: DataFrame, path: str = VOCABULARY, key: int = KEY) -> tuple[DataFrame, int]:
+    """(``number, place, n_tokens, doc_ids, starts, skipped, ids``: one row per sequence, ids unpadded; M). ``place`` is the permuted number.
 
     ``doc_ids`` are the documents in it, ``starts`` the places where their ids begin; the first one may have begun before,
     and ``skipped`` of its ids lie in earlier sequences.
     """
-    names = ["n_tokens", "doc_ids", "starts", "skipped", "ids", "place"]
+    room, size = rooms(docs)
 
-    def rows(docs: pa.Array, starts: np.ndarray, ids: np.ndarray, place: int) -> pa.RecordBatch:
+    def rows(docs: pa.Array, starts: np.ndarray, ids: np.ndarray, number: int) -> pa.RecordBatch:
         """All sequences of a stream of ids; starts: where each document's begin, below 0 if it began before the stream."""
         edges = np.arange(0, len(ids), SEQUENCE)
         ends = np.minimum(edges + SEQUENCE, len(ids))
@@ -100,37 +119,44 @@ def sequences(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         offsets = pa.array(np.cumsum([0, *many]), type=pa.int32())
         of = np.repeat(np.arange(len(edges)), many)
         doc = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of]
+        numbers = np.arange(number, number + len(edges))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ends - edges, type=pa.int32()), pa.ListArray.from_arrays(offsets, docs.take(pa.array(doc, type=pa.int64()))),
+                pa.array(numbers), pa.array(feistel(numbers, size, key)), pa.array(ends - edges, type=pa.int32()), pa.ListArray.from_arrays(offsets, docs.take(pa.array(doc, type=pa.int64()))),
                 pa.ListArray.from_arrays(offsets, pa.array(np.maximum(starts[doc] - edges[of], 0), type=pa.int32())), pa.array(np.maximum(edges - starts[first], 0), type=pa.int64()),
-                pa.array([ids[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], type=pa.binary()), pa.array(np.arange(place, place + len(edges)), type=pa.int64()),
+                pa.array([ids[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], type=pa.binary()),
             ],
-            names=names,
+            names=["number", "place", "n_tokens", "doc_ids", "starts", "skipped", "ids"],
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = 0
+        number, end = 0, -1
         docs, starts, ids = pa.array([], type=pa.int64()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u2")  # of the sequence that is not full yet
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
+                if end < 0:
+                    first, some = room[batch.column(2)[0].as_py()]
+                    number, end = first, first + some
                 new = [ids_of(t.as_py(), path) for t in batch.column(1)]
                 begin = len(ids) + np.cumsum([0, *map(len, new)])[:-1]
                 docs, starts, ids = pa.concat_arrays([docs, batch.column(0)]), np.concatenate([starts, begin]), np.concatenate([ids, *new])
                 full = len(ids) // SEQUENCE * SEQUENCE
                 if not full:
                     continue
-                yield rows(docs, starts, ids[:full], place)
-                place += full // SEQUENCE
+                if number + full // SEQUENCE > end:
+                    raise ValueError("a part of the scan is not the one that was measured: write the documents first")
+                yield rows(docs, starts, ids[:full], number)
+                number += full // SEQUENCE
                 left = int(np.searchsorted(starts, full, side="right")) - 1 if full < len(ids) else len(starts)
                 docs, starts, ids = docs.slice(left), starts[left:] - full, ids[full:]
         if len(ids):
-            yield rows(docs, starts, ids, place)
+            if number >= end:
+                raise ValueError("a part of the scan is not the one that was measured: write the documents first")
+            yield rows(docs, starts, ids, number)
 
-    read = docs.select(F.col("doc_id").cast("long"), "text")
-    cut_rows = read.mapInArrow(cut, "n_tokens int, doc_ids array<long>, starts array<int>, skipped long, ids binary, place long")
-    return cut_rows.withColumn("part", F.spark_partition_id())
+    read = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
+    return read.mapInArrow(cut, "number long, place long, n_tokens int, doc_ids array<long>, starts array<int>, skipped long, ids binary"), size
 
 
 def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -155,48 +181,27 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def materialise_order(docs: DataFrame, path: str = VOCABULARY, key: int = KEY) -> DataFrame:
-    """``number, slot, shard, offset, n_tokens, doc_ids, starts, skipped, ids``: rows of a partition lie in slot order, ids are padded to one stride."""
-    rows = materialise(sequences(docs, path), "zstd")
-    counts = rows.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part of the scan
-    offsets = materialise(counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count"))
-    n = offsets.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    shards = max(1, -(-n // SHARD_SLOTS))
-    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = ["n_tokens", "doc_ids", "starts", "skipped", "ids"]
-
-    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = feistel(batch.column("number").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], names=[*batch.schema.names, "slot"])
-
-    numbered = rows.join(offsets.drop("count"), "part").select(*held, (F.col("first") + F.col("place")).alias("number"))
-    slotted = numbered.mapInArrow(permute, numbered.withColumn("slot", F.col("number")).schema)
-    shard = F.floor(F.col("slot") / SHARD_SLOTS)
-    padded = F.substring(F.concat(F.col("ids"), F.lit(END_ID.to_bytes(2, "little") * SEQUENCE)), 1, STRIDE)
-    return (
-        slotted.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int"))
-        .sortWithinPartitions("slot")
-        .select("number", "slot", shard.alias("shard"), (F.col("slot") % SHARD_SLOTS * STRIDE).alias("offset"), *held[:-1], padded.alias("ids"))
-    )
-
-
 def _file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
 
 
-def with_shards(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` (``materialise_order``); reading them to the end writes ``shard-N.bin`` of every shard to ``folder``.
+def write_order(docs: DataFrame, folder: str, path: str = VOCABULARY, key: int = KEY) -> DataFrame:
+    """Writes the shards and the manifest to ``folder``; gives ``number, slot, shard, offset, n_tokens, doc_ids, starts, skipped, ids_crc32`` per sequence.
 
-    A task that runs twice writes the same bytes and renames them over the first ones.
+    ``number`` grows along the scan, ``slot`` along the training order. A task that runs twice writes the same bytes and renames
+    them over the first ones.
     """
-    shard_at, slot_at, ids_at = (rows.columns.index(c) for c in ("shard", "slot", "ids"))
+    rows, size = sequences(docs, path, key)
+    shards = max(1, -(-size // SHARD_RANGE))
+    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.floor(F.col("place") / SHARD_RANGE)
+    sorted_rows = rows.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("place")
+    padding = END_ID.to_bytes(2, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _file_system(folder)
         files.create_dir(root)
-        now, out, temp, last = None, None, "", -1
+        now, out, temp, row = None, None, "", 0
 
         def close() -> None:
             if out is not None:
@@ -204,39 +209,59 @@ def with_shards(rows: DataFrame, folder: str) -> DataFrame:
                 files.move(temp, f"{root}/shard-{now}.bin")
 
         for batch in batches:
-            shards, slots = batch.column(shard_at).to_numpy(), batch.column(slot_at).to_numpy()
+            shards = batch.column("place").to_numpy() // SHARD_RANGE
             edges = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+            at, sums = np.zeros(len(shards), dtype=np.int64), np.zeros(len(shards), dtype=np.int64)
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
                 if shards[a] != now:
                     close()
-                    now, temp, last = int(shards[a]), f"{root}/.{uuid.uuid4().hex}", int(slots[a]) - 1
+                    now, temp, row = int(shards[a]), f"{root}/.{uuid.uuid4().hex}", 0
                     out = files.open_output_stream(temp)
-                if slots[a] != last + 1 or (np.diff(slots[a:b]) != 1).any():
-                    raise ValueError(f"shard {now} lacks a slot after {last}")
-                out.write(b"".join(batch.column(ids_at).slice(a, b - a).to_pylist()))
-                last = int(slots[b - 1])
-            yield batch
+                full = [x + padding * (SEQUENCE - len(x) // 2) for x in batch.column("ids").slice(a, b - a).to_pylist()]
+                out.write(b"".join(full))
+                at[a:b], row = np.arange(row, row + b - a), row + b - a
+                sums[a:b] = [zlib.crc32(x) for x in full]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("number", "n_tokens", "doc_ids", "starts", "skipped")), pa.array(shards), pa.array(at), pa.array(sums)],
+                names=["number", "n_tokens", "doc_ids", "starts", "skipped", "shard", "at", "ids_crc32"],
+            )
         close()
 
-    return rows.mapInArrow(write, rows.schema)
+    schema = "number long, n_tokens int, doc_ids array<long>, starts array<int>, skipped long, shard long, at long, ids_crc32 long"
+    written = materialise(sorted_rows.mapInArrow(write, schema))
+    counts = {r.shard: r["count"] for r in written.groupBy("shard").count().collect()}  # one number per shard
+    first, at = [], 0
+    for k in range(shards):
+        first.append(at)
+        at += counts.get(k, 0)
+    files, root = _file_system(folder)
+    files.create_dir(root)
+    with files.open_output_stream(f"{root}/.manifest") as f:
+        f.write(json.dumps({"stride": STRIDE, "first_slots": first, "slots": at}).encode())
+    files.move(f"{root}/.manifest", f"{root}/manifest.json")
+    starts = docs.sparkSession.createDataFrame(pa.table({"shard": pa.array(range(shards), type=pa.int64()), "first": pa.array(first, type=pa.int64())}))
+    return written.join(starts, "shard").select(
+        "number", (F.col("first") + F.col("at")).alias("slot"), "shard", (F.col("at") * STRIDE).alias("offset"), "n_tokens", "doc_ids", "starts", "skipped", "ids_crc32"
+    )
 
 
-def read_slots(folder: str, first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, padded ids) from slot ``first`` on, shard after shard."""
+def read_slots(folder: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, padded ids) from ``slot`` on to the end, shard after shard."""
     files, root = _file_system(folder)
-    slot = first
-    while files.get_file_info(path := f"{root}/shard-{slot // SHARD_SLOTS}.bin").type == pyarrow.fs.FileType.File:
-        with files.open_input_file(path) as f:
-            f.seek(slot % SHARD_SLOTS * STRIDE)
-            while block := f.read(STRIDE):
+    with files.open_input_file(f"{root}/manifest.json") as f:
+        manifest = json.loads(f.read())
+    first = [*manifest["first_slots"], manifest["slots"]]
+    while slot < manifest["slots"]:
+        shard = bisect.bisect_right(first, slot) - 1
+        with files.open_input_file(f"{root}/shard-{shard}.bin") as f:
+            f.seek((slot - first[shard]) * manifest["stride"])
+            while block := f.read(manifest["stride"]):
                 yield slot, np.frombuffer(block, "<u2")
                 slot += 1
-        if slot % SHARD_SLOTS:
-            return
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return with_shards(rows, f"{shared_folder(spark)}/kindred-shards-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return write_order(docs, f"{shared_folder(spark)}/kindred-shards-{uuid.uuid4().hex}")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -64,40 +65,42 @@ def plain_ids(text):
     return [*order.encoder(order.VOCABULARY).encode_ordinary(text or ""), order.END_ID]
 
 
-def test_training_order(spark):
+def test_training_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order, "SHARD_RANGE", 64)
     rows = [(i, f"some text number {i} " * (i % 40)) for i in range(60)] + [(None, "no id"), (7, None), (7, ""), (8, "é漢😀 " * 3000), (9, "\n" * 200000), (3, "same"), (3, "same"), (70, "long words, " * 17000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")).repartition(3)
-    out = order.materialise_order(docs)
-    got = sorted(out.select("*", F.spark_partition_id().alias("p")).collect(), key=lambda r: r.number)
-    assert [r.number for r in got] == sorted(r.slot for r in got) == list(range(len(got)))
-    assert all(len(r.ids) == order.STRIDE for r in got)
-    assert all(r.offset == r.slot % order.SHARD_SLOTS * order.STRIDE and r.shard == r.slot // order.SHARD_SLOTS for r in got)
-    pad = order.END_ID.to_bytes(2, "little")
-    assert all(bytes(r.ids)[2 * r.n_tokens :] == pad * (order.SEQUENCE - r.n_tokens) for r in got) and sum(r.n_tokens < order.SEQUENCE for r in got) <= 3
-    found = []  # documents in the order of their ids, rebuilt from the rows
+    out = order.write_order(docs, f"file://{tmp_path}/shards")
+    got = sorted(out.collect(), key=lambda r: r.number)
+    assert sorted(r.slot for r in got) == list(range(len(got))) and [r.slot for r in got] != list(range(len(got)))
+    read = [ids for _, ids in order.read_slots(f"{tmp_path}/shards")]
+    assert len(read) == len(got) and all(len(ids) == order.SEQUENCE for ids in read)
+    assert all(zlib.crc32(read[r.slot].tobytes()) == r.ids_crc32 for r in got)
+    assert all((read[r.slot][r.n_tokens :] == order.END_ID).all() for r in got) and sum(r.n_tokens < order.SEQUENCE for r in got) <= 3
+    found = []  # documents in the order of their ids, rebuilt from the files
     for r in got:
-        ids = np.frombuffer(r.ids, "<u2")[: r.n_tokens].tolist()
-        for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(ids)]):
-            if doc == r.doc_ids[0] and a == 0 and r.skipped:
+        ids = read[r.slot][: r.n_tokens].tolist()
+        for k, (doc, a, b) in enumerate(zip(r.doc_ids, r.starts, [*r.starts[1:], len(ids)])):
+            if k == 0 and r.skipped:
                 assert found[-1][0] == doc and len(found[-1][1]) == r.skipped
                 found[-1][1].extend(ids[a:b])
             else:
                 found.append((doc, ids[a:b]))
-    assert sorted(((d, i) for d, i in found), key=repr) == sorted(((d, plain_ids(t)) for d, t in rows), key=repr)
-    slots = [r.slot for r in out.collect()]
-    assert slots == sorted(slots) or len({r.p for r in got}) > 1
-    assert order.materialise_order(docs.limit(0)).count() == 0
+    assert sorted(found, key=repr) == sorted(((d, plain_ids(t)) for d, t in rows), key=repr)
+    assert order.write_order(docs.limit(0), f"file://{tmp_path}/none").count() == 0 and list(order.read_slots(f"{tmp_path}/none")) == []
 
 
 def test_shard_files_resume(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(order, "SHARD_SLOTS", 4)
+    monkeypatch.setattr(order, "SHARD_RANGE", 16)
     docs = spark.createDataFrame([(i, f"some text number {i} " * (20 * i)) for i in range(60)], "doc_id long, text string").repartition(3)
-    out = order.with_shards(order.materialise_order(docs), f"file://{tmp_path}/shards")
-    rows = out.select("*", F.spark_partition_id().alias("p")).collect()
-    assert len(rows) > 30 and len(rows) % 4
-    assert len({(r.p, r.shard) for r in rows}) == len({r.shard for r in rows}) > len({r.p for r in rows}) > 1
-    want = [bytes(r.ids) for r in sorted(rows, key=lambda r: r.slot)]
-    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted(f"shard-{k}.bin" for k in range(-(-len(rows) // 4)))
+    rows = order.write_order(docs, f"{tmp_path}/shards").collect()
+    counts = {r.shard: sum(x.shard == r.shard for x in rows) for r in rows}
+    assert len(rows) > 30 and len(counts) > 5
+    assert {p.name: p.stat().st_size for p in (tmp_path / "shards").iterdir() if p.suffix == ".bin"} == {f"shard-{k}.bin": n * order.STRIDE for k, n in counts.items()}
+    want = [ids.tobytes() for _, ids in order.read_slots(f"{tmp_path}/shards")]
+    for r in rows:
+        with open(tmp_path / "shards" / f"shard-{r.shard}.bin", "rb") as f:
+            f.seek(r.offset)
+            assert f.read(order.STRIDE) == want[r.slot]
     for first in (0, 16, 21, len(rows) - 1, len(rows)):
         assert [(s, i.tobytes()) for s, i in order.read_slots(f"{tmp_path}/shards", first)] == list(enumerate(want))[first:]
 
