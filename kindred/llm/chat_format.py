@@ -9,9 +9,11 @@ Template: ``<turn ROLE>TEXT</turn>`` and a line feed per turn. In roles and text
 backslash before them, so no text can hold a control string, and ``parse`` gives every text back exactly. The
 loss mask is a list of [start, end) code-point spans of the formatted text, one per assistant turn.
 
-Defined cases: null texts and roles are empty; turns with equal numbers are ordered by role and text; a
-record of an unknown layout or one that is not a JSON object has a null layout and null output; a conversation is one
-output value, so its turns meet in one task, as they must; an empty table gives only what is added to it.
+Defined cases: null texts and roles are empty; turns without a number come last, and turns with equal numbers are
+ordered by role and text; a record of an unknown layout, one that is not a JSON object, one nested too deeply to
+read and one whose turns are not objects (or whose history is not pairs) has a null layout and null output: no
+text is dropped silently; a conversation is one output value, so its turns meet in one task, as they must; an
+empty table gives only what is added to it.
 """
 
 from __future__ import annotations
@@ -23,23 +25,24 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
+#: What speakers are called where turns say who they are "from".
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: name: (required paths, optional paths, turns). A turn is (role, [paths joined by blank lines]) or a list rule.
 LAYOUTS = {
     "messages": (["messages[].content", "messages[].role"], [], {"list": "messages", "role": "role", "text": "content"}),
     "no messages": (["messages[]"], [], {"list": "messages", "role": "role", "text": "content"}),
-    "from and value": (["conversations[].from", "conversations[].value"], ["system"], {"before": [("system", ["system"])], "list": "conversations", "role": "from", "text": "value"}),
+    "from and value": (["conversations[].from", "conversations[].value"], ["system"], {"before": [("system", ["system"])], "list": "conversations", "role": "from", "text": "value", "roles": ROLES}),
     "instruction": (["instruction", "output"], ["input", "system"], {"turns": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]}),
     "prompt and completion": (["prompt", "completion"], ["system"], {"turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]}),
     "prompt and response": (["prompt", "response"], ["system"], {"turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]}),
     "question and answer": (["question", "answer"], ["context"], {"turns": [("user", ["context", "question"]), ("assistant", ["answer"])]}),
     "history": (["history[][]", "query", "response"], ["system"], {"before": [("system", ["system"])], "pairs": "history", "turns": [("user", ["query"]), ("assistant", ["response"])]}),
 }
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Paths that carry no turns and do not count for the fingerprint.
 IGNORED = {"conv_id", "id", "source", "metadata"}
 
@@ -80,19 +83,21 @@ def canonical(record: str | None) -> tuple[str, list[tuple[str, str]]] | None:
     """(layout, turns) of a JSON record, or None if its fingerprint is unknown."""
     try:
         value = json.loads(record or "")
-    except ValueError:
+        found = REGISTRY.get(fingerprint(field_paths(value))) if isinstance(value, dict) else None
+    except (ValueError, RecursionError):
         return None
-    if not isinstance(value, dict) or (found := REGISTRY.get(fingerprint(field_paths(value)))) is None:
+    if found is None:
         return None
     name, rule = found
+    entries, pairs = (value[rule[k]] if k in rule else [] for k in ("list", "pairs"))
+    if not all(isinstance(x, dict) for x in entries) or not all(isinstance(x, list) and len(x) == 2 for x in pairs):
+        return None
     turns = _fixed(value, rule.get("before", []))
-    if "list" in rule:
-        for x in value[rule["list"]]:
-            role = _text(x.get(rule["role"]))
-            turns.append((ROLES.get(role, role), _text(x.get(rule["text"]))))
-    if "pairs" in rule:
-        for pair in value[rule["pairs"]]:
-            turns += list(zip(("user", "assistant"), map(_text, pair), strict=False))
+    for x in entries:
+        role = _text(x.get(rule["role"]))
+        turns.append((rule.get("roles", {}).get(role, role), _text(x.get(rule["text"]))))
+    for asked, answered in pairs:
+        turns += [("user", _text(asked)), ("assistant", _text(answered))]
     return name, turns + _fixed(value, rule.get("turns", []))
 
 
@@ -152,10 +157,39 @@ def format_records(records: DataFrame) -> DataFrame:
 
 
 def message_records(turns: DataFrame) -> DataFrame:
-    """One JSON record in the messages layout per ``conv_id`` of a table of turns (``conv_id, turn, role, text``)."""
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    messages = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return turns.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    """``conv_id, record``: one JSON record in the messages layout per ``conv_id`` of a table of turns (``conv_id, turn, role, text``)."""
+    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return _gathered(turns).select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+
+
+def _gathered(turns: DataFrame) -> DataFrame:
+    """``conv_id, m``: the turns of a conversation in order."""
+    one = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+
+
+def varied_records(turns: DataFrame) -> DataFrame:
+    """``conv_id, record``: the conversations as records of the layouts that can hold them, one of these by the id's checksum.
+
+    A question and its answer may be a prompt with a response or a completion, an instruction with its output or a question with
+    its answer; questions and answers in turn may be a history; speakers that have another name for it may be a list of who a turn
+    is from; everything may be messages.
+    """
+    m = F.col("m")
+    rows = _gathered(turns).select("conv_id", "m", F.transform(m, lambda x: x["role"]).alias("roles"), F.coalesce(F.crc32(F.col("conv_id").cast("string")), F.lit(0)).alias("k"))
+    n, roles, k = F.size("roles"), F.col("roles"), F.col("k")
+    in_turn = (n > 0) & (n % 2 == 0) & F.forall(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.get(roles, i) == F.when(i % 2 == 0, "user").otherwise("assistant"))
+    said = lambda i: F.get(m, i if isinstance(i, Column) else F.lit(i))["content"]
+    two = lambda x, y: F.to_json(F.struct(said(0).alias(x), said(1).alias(y)))
+    earlier = F.transform(F.sequence(F.lit(0), F.greatest(n / 2 - 2, F.lit(0)).cast("int")), lambda i: F.array(said(2 * i), said(2 * i + 1)))
+    history = F.to_json(F.struct(earlier.alias("history"), said(n - 2).alias("query"), said(n - 1).alias("response")))
+    other = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    named = F.transform(m, lambda x: F.struct(other(x["role"]).alias("from"), x["content"].alias("value")))
+    plain = (n > 0) & F.forall(roles, lambda r: ~r.isin(*ROLES))
+    messages = F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    record = F.when(in_turn & (n == 2) & (k % 6 < 4), F.when(k % 6 == 0, two("prompt", "response")).when(k % 6 == 1, two("prompt", "completion")).when(k % 6 == 2, two("instruction", "output")).otherwise(two("question", "answer")))
+    record = record.when(in_turn & (n > 2) & (k % 3 == 0), history).when(plain & (k % 3 == 1), F.to_json(F.struct(named.alias("conversations"))))
+    return rows.select("conv_id", record.otherwise(F.to_json(F.struct(messages.alias("messages")))).alias("record"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -186,7 +220,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED).alias("text"),
     )
-    return digest(format_records(message_records(rows.unionByName(added))))
+    return digest(format_records(varied_records(rows.unionByName(added))))
 
 
 SQL = r"""
@@ -197,9 +231,9 @@ WITH t AS (
   SELECT *, replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') AS r2, replace(replace(replace(text, '\', '\\'), '<', '\<'), '>', '\>') AS t2 FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS LAST, role, text), '')) AS loss_sha256,
   sum(length(r2) + length(t2) + length('<turn >' || '</turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """

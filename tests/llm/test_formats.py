@@ -38,15 +38,19 @@ def test_layouts(record, layout, turns):
 
 
 def test_unknown_layouts_have_no_output(spark):
-    rows = [(1, '{"what": 1}'), (2, "not json"), (3, None), (4, "[1]"), (5, '{"prompt": "p", "response": "r"}')]
+    deep = '{"messages":' + "[" * 5000 + "]" * 5000 + "}"
+    unknown = ['{"what": 1}', "not json", None, "[1]", '{"messages": ["a"]}', '{"messages": [["a"]]}', deep, '{"history": [["a", "b", "c"]], "query": "q", "response": "r"}',
+               '{"history": [["a"]], "query": "q", "response": "r"}', '{"history": ["ab"], "query": "q", "response": "r"}', '{"history": [], "query": "q", "response": "r"}', '{"messages": "a"}']
+    rows = [*enumerate(unknown), (99, '{"prompt": "p", "response": "r"}'), (99, '{"prompt": "p", "response": "r"}')]
     out = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()
-    assert [(r.conv_id, r.layout, r.formatted is None) for r in out] == [(i, None, True) for i in (1, 2, 3, 4)] + [(5, "prompt and response", False)]
+    assert [(r.conv_id, r.layout, r.formatted is None) for r in out] == [(i, None, True) for i in range(len(unknown))] + [(99, "prompt and response", False)] * 2
 
 
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", r"\<turn x></turn>"), (2, 1, "assistant", None), (2, 0, None, "é"), (None, 0, "user", "no id"), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "assistant", "y" * 300000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     got = {r.conv_id: r for r in chat.digest(chat.format_records(chat.message_records(turns))).collect()}
+    assert {r.conv_id: r for r in chat.digest(chat.format_records(chat.varied_records(turns))).collect()}.keys() == got.keys()
     digest = lambda said: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
     assert got[1].turns_sha256 == digest([("user", "hi"), ("assistant", r"\<turn x></turn>")]) and got[1].loss_chars == 16
     assert got[2].turns_sha256 == digest([("", "é"), ("assistant", "")]) and got[2].loss_chars == 0
@@ -54,6 +58,21 @@ def test_conversations(spark):
     assert chat.digest(chat.format_records(chat.message_records(turns.limit(0)))).count() == 0
 
 
+def test_layouts_of_the_query(spark):
+    shapes = [["user", "assistant"], ["user", "assistant"] * 3, ["system", "user", "assistant"], ["human", "gpt"], [None], ["assistant", "user"], ["user", "user"]]
+    rows = [(c, t if c % 5 else None, role, f"{c % 3}<{role}>" if t else None) for c in range(140) for t, role in enumerate(shapes[c % 7])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.varied_records(turns)
+    layouts = {r.layout for r in chat.format_records(records).collect()}
+    assert layouts == {"messages", "from and value", "instruction", "prompt and completion", "prompt and response", "question and answer", "history"}
+    plain, varied = (sorted(map(tuple, chat.digest(chat.format_records(x)).collect())) for x in (chat.message_records(turns), records))
+    assert plain == varied
+    texts = {r.conv_id: chat.parse(r.formatted) for r in chat.format_records(records).collect()}
+    for c in range(140):
+        said = [(t if c % 5 else None, role or "", text or "") for k, t, role, text in rows if k == c]
+        assert texts[c] == [(r, x) for _, r, x in (said if c % 5 else sorted(said, key=lambda s: s[1:]))]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 1000, 4097])
 def test_permutation(n):
     slots = order.feistel(np.arange(n), n)
