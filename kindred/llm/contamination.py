@@ -16,8 +16,9 @@ within a window of given width. ``near`` answers it for all phrases, over an ind
 posting of the vocabulary: a row's postings lie in one array, so its rarest terms' places are looked
 around within the row; the phrases and their rarity are broadcast.
 
-Scale: the vocabulary of the benchmark is broadcast; its size is checked against ``MAX_TERMS`` and
-larger benchmarks are searched in slices of items, all against the same kind of index. A passage that
+Scale: the vocabulary of the benchmark is broadcast. Its size is checked: the distinct phrases are dealt into as
+many slices as it takes for each to have at most ``MAX_TERMS`` words and ``MAX_PHRASES`` phrases, each slice is
+searched over an index of its own, and the matches of all are put together before rows are judged. A passage that
 very many documents share makes one hot rarest term: its postings join the phrase table, a join that
 adaptive execution splits or broadcasts; the second join is keyed by (row, position) and never hot.
 
@@ -29,8 +30,8 @@ through ``remove`` untouched: internal columns carry the prefix ``_con_``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ from ..storage import materialise
 PHRASE = 13
 MIN_SHARE = 20  #: contaminated if MIN_SHARE * n_hit >= n_words
 MAX_TERMS = 2_000_000
+MAX_PHRASES = 2_000_000
 WIDTH = 2 * PHRASE  #: words of a window that holds all terms of a phrase
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -155,10 +157,25 @@ def proximity(postings: DataFrame, terms: list[int], width: int) -> DataFrame:
 
 def near(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_words, n_near`` (distinct phrases whose terms all lie within ``width`` consecutive words) ``, n_near_items, near_items_sha256``."""
-    wanted, terms, shortest = _plans(benchmark)
-    index = materialise(build_index(docs, terms, shortest, pruned=False).select("doc_id", "_con_n", "_con_terms", "_con_at"))
+    slices = _slices(benchmark)
+    numbered = _numbered(docs.select("doc_id", "text"), len(slices))
+    found = [_near_slice(numbered, *x, width) for x in slices]
+    if len(found) == 1:
+        out = found[0]
+    else:
+        every = reduce(DataFrame.unionByName, [materialise(f) for f in found])
+        out = every.groupBy("_con_row").agg(
+            F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.sum("n_near").alias("n_near"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")
+        )
+    ids = F.array_sort("ids")
+    return out.select("doc_id", "n_words", "n_near", F.size("ids").cast("long").alias("n_near_items"), F.sha2(F.array_join(ids, ","), 256).alias("near_items_sha256"))
+
+
+def _near_slice(docs: DataFrame, wanted: DataFrame, terms: list[tuple[bytes, bool, bool]], shortest: int, width: int) -> DataFrame:
+    """``_con_row, doc_id, n_words, n_near, ids`` of every row, from one slice of the phrases."""
+    index = materialise(build_index(docs, terms, shortest, pruned=False).select("_con_row", "doc_id", "_con_n", "_con_terms", "_con_at"))
     count = np.zeros(len(terms), dtype=np.int64)
-    for r in index.select(F.explode("_con_terms").alias("t")).groupBy("t").count().collect():
+    for r in index.select(F.explode("_con_terms").alias("t")).groupBy("t").count().collect():  # at most MAX_TERMS numbers
         count[r.t] = r["count"]
     rows = wanted.groupBy("phrase").agg(F.collect_set("term").alias("terms"), F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items")).collect()
     rows = [(sorted(r.terms, key=lambda t: (count[t], t)), r.items) for r in rows]
@@ -173,15 +190,15 @@ def near(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = _near_rows(batch.column(1).to_numpy(), batch.column(2), batch.column(3), sets, width)
+                found = _near_rows(batch.column("_con_n").to_numpy(), batch.column("_con_terms"), batch.column("_con_at"), sets, width)
                 ids = [sorted({x for p in ps for x in items[p]}) for ps in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(map(len, found), type=pa.int64()), pa.array(map(len, ids), type=pa.int64()),
-                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], type=pa.string())],
-                    names=["doc_id", "n_words", "n_near", "n_near_items", "near_items_sha256"],
+                    [*batch.columns[:3], pa.array(map(len, found), type=pa.int64()), pa.array(ids, type=pa.list_(pa.string()))],
+                    names=["_con_row", "doc_id", "n_words", "n_near", "ids"],
                 )
 
-    return index.mapInArrow(look, "doc_id long, n_words long, n_near long, n_near_items long, near_items_sha256 string")
+    schema = index.select("_con_row", "doc_id", F.col("_con_n").alias("n_words"), F.col("_con_n").alias("n_near"), F.array(F.lit("")).alias("ids")).schema
+    return index.mapInArrow(look, schema)
 
 
 def _near_rows(n: np.ndarray, terms: pa.ListArray, at: pa.ListArray, sets: np.ndarray, width: int) -> list[set[int]]:
@@ -218,28 +235,44 @@ def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def _plans(benchmark: DataFrame) -> tuple[DataFrame, list[tuple[bytes, bool, bool]], int]:
-    """The phrases with numbered terms, the vocabulary in number order, the shortest phrase."""
+def _slices(benchmark: DataFrame) -> list[tuple[DataFrame, list[tuple[bytes, bool, bool]], int]]:
+    """For each slice of the phrases: the phrases with numbered terms, the vocabulary in number order, the shortest phrase. One slice at least."""
     found = materialise(phrases(benchmark))
-    vocabulary = found.groupBy("term").agg(F.max(F.col("length") == PHRASE).alias("full"), F.max(F.col("length") < PHRASE).alias("short"))
-    if (n := vocabulary.count()) > MAX_TERMS:
-        raise ValueError(f"the benchmark has {n} terms; search it in slices of at most {MAX_TERMS}")
-    rows = sorted((r.term, r.full, r.short) for r in vocabulary.collect())
-    least = found.agg(F.min("length")).first()[0] or PHRASE
-    numbers = benchmark.sparkSession.createDataFrame(pa.table({"term": pa.array([r[0] for r in rows], pa.string()), "number": pa.array(range(len(rows)), pa.int32())}))
-    numbered = found.join(numbers, "term").select("item_id", "phrase", "length", "off", F.col("number").alias("term"))
-    return materialise(numbered), [(r[0].encode(), r[1], r[2]) for r in rows], least
+    n = 1
+    while True:
+        slice_of = F.pmod(F.xxhash64("phrase"), F.lit(n))
+        sizes = found.groupBy(slice_of.alias("s")).agg(F.count_distinct("term").alias("terms"), F.count_distinct("phrase").alias("phrases"))
+        most = sizes.agg(F.max("terms").alias("terms"), F.max("phrases").alias("phrases")).first()
+        if (most.terms or 0) <= max(MAX_TERMS, PHRASE) and (most.phrases or 0) <= MAX_PHRASES:
+            break
+        n *= 2
+    out = []
+    for k in range(n):
+        part = found.filter(slice_of == k) if n > 1 else found
+        vocabulary = part.groupBy("term").agg(F.max(F.col("length") == PHRASE).alias("full"), F.max(F.col("length") < PHRASE).alias("short"))
+        rows = sorted((r.term, r.full, r.short) for r in vocabulary.collect())  # at most MAX_TERMS
+        if not rows and (out or k + 1 < n):
+            continue
+        least = part.agg(F.min("length")).first()[0] or PHRASE
+        numbers = benchmark.sparkSession.createDataFrame(pa.table({"term": pa.array([r[0] for r in rows], pa.string()), "number": pa.array(range(len(rows)), pa.int32())}))
+        numbered = part.join(numbers, "term").select("item_id", "phrase", "length", "off", F.col("number").alias("term"))
+        out.append((materialise(numbered), [(r[0].encode(), r[1], r[2]) for r in rows], least))
+    return out
+
+
+def _numbered(docs: DataFrame, slices: int) -> DataFrame:
+    """``docs`` with a number per row, ``_con_row``; written if rows are read once per slice, so that a row keeps its number."""
+    numbered = docs.withColumn("_con_row", F.monotonically_increasing_id())
+    return materialise(numbered) if slices > 1 else numbered
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """(the index, with the columns ``keep`` of ``docs``, with ``_con_row``, and verdicts ``row, n_hit, n_items, items_sha256`` of rows with a hit)."""
-    wanted, terms, shortest = _plans(benchmark)
-    index = build_index(docs, terms, shortest).select(*[f"`{c}`" for c in keep], "_con_n", "_con_terms", "_con_at")
-    index = materialise(index.withColumn("_con_row", F.monotonically_increasing_id()))
-    held = index.filter(F.size("_con_terms") > 0)
-    postings = held.select(F.col("_con_row").alias("row"), F.explode(F.arrays_zip("_con_at", "_con_terms")).alias("p"))
-    postings = materialise(postings.select("row", F.col("p._con_at").alias("pos"), F.col("p._con_terms").alias("term")))
-    matches = materialise(search(postings, wanted.select("phrase", "length", "off", "term").distinct()))
+    slices = _slices(benchmark)
+    numbered = _numbered(docs, len(slices))
+    indexes, found = zip(*[_matches(numbered, *x, keep) for x in slices], strict=True)
+    matches = reduce(DataFrame.union, [m for m, _ in found])
+    wanted = reduce(DataFrame.union, [w for _, w in found])
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "length"))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
@@ -250,11 +283,20 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataF
     )["n"]
     hits = matches.groupBy("row").agg(merged.alias("n_hit"))
     items = (
-        matches.select("row", "phrase").distinct().join(wanted.select("phrase", "item_id").distinct(), "phrase")
+        matches.select("row", "phrase").distinct().join(wanted, "phrase")
         .groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
         .select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
-    return index, hits.join(items, "row", "left")
+    return indexes[0], hits.join(items, "row", "left")
+
+
+def _matches(docs: DataFrame, wanted: DataFrame, terms: list[tuple[bytes, bool, bool]], shortest: int, keep: list[str]) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """(the index, (matches ``row, start, length, phrase``, ``phrase, item_id``)) of one slice."""
+    index = materialise(build_index(docs, terms, shortest).select(*[f"`{c}`" for c in keep], "_con_row", "_con_n", "_con_terms", "_con_at"))
+    held = index.filter(F.size("_con_terms") > 0)
+    postings = held.select(F.col("_con_row").alias("row"), F.explode(F.arrays_zip("_con_at", "_con_terms")).alias("p"))
+    postings = materialise(postings.select("row", F.col("p._con_at").alias("pos"), F.col("p._con_terms").alias("term")))
+    return index, (materialise(search(postings, wanted.select("phrase", "length", "off", "term").distinct())), wanted.select("phrase", "item_id").distinct())
 
 
 def _verdict(index: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -52,7 +52,10 @@ def test_quality(spark, monkeypatch, prior):
     assert quality.keep(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("bounds", [(2_000_000, 2_000_000), (40, 5)])
+def test_contamination(spark, monkeypatch, bounds):
+    monkeypatch.setattr(contamination, "MAX_TERMS", bounds[0])
+    monkeypatch.setattr(contamination, "MAX_PHRASES", bounds[1])
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     passage = " ".join(rng.choice(words) for _ in range(40))
@@ -66,6 +69,9 @@ def test_contamination(spark):
     got = {r.doc_id: (r._con_n, r._con_hit, r._con_items, r._con_bad) for r in contamination._verdict(index, verdicts).collect()}
     want = brute.contamination(texts, [(i, t) for i, t in items if i is not None] + [("", "w2 w2 w2")])
     assert {i: (n, h, bad) for i, (n, h, _, bad) in got.items()} == {i: (n, h, bad) for i, (n, h, _, bad) in enumerate(want)}
+    if bounds == (40, 5):
+        assert len(contamination._slices(bench)) > 2
+        return
     clean = contamination.remove(docs, bench)
     assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect()) == [i for i, w in enumerate(want) if not w[3]]
@@ -144,7 +150,9 @@ def test_each_statistic_rejects_alone(spark):
     assert got[204]._q_repeats == 18 and got[204]._q_dup_lines == 0 and got[203]._q_repeats == 0
 
 
-def test_near_phrases(spark):
+@pytest.mark.parametrize("most", [2_000_000, 2])
+def test_near_phrases(spark, monkeypatch, most):
+    monkeypatch.setattr(contamination, "MAX_PHRASES", most)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(24)]
     items = [(1, " ".join(words[:15])), (2, "w3 w9 w3"), (3, ""), (4, "w20")]
