@@ -10,8 +10,9 @@ the set of selected features that are ``LEXICON_RATIO`` times as frequent in tox
 Features: presence of whole words and of word beginnings of 5 to 8 bytes (lower-cased, letters only).
 The ``FEATURES`` with the largest two-sample z are kept.
 
-Fitting uses a bounded sample: at most about ``SAMPLE`` labelled documents of each class, drawn by a
-hash of the id at a rate that follows from the class's size. Scoring reads every whole text.
+Fitting uses a bounded sample: about ``SAMPLE`` labelled documents of each class at most. Labels are drawn by row,
+then the documents' rows with a drawn label by row again, each at a rate that follows from the class's number of
+rows, so neither a label nor an id that is repeated very often makes the sample larger. Scoring reads every whole text.
 
 Defined cases: null text has no features and gets the score of an empty text; labels that are null
 or have no document are ignored; repeated labels and rows count each; without labelled documents of
@@ -21,12 +22,11 @@ of the documents are read, other columns pass through ``score``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -40,11 +40,13 @@ LEXICON_RATIO = 20.0
 RIDGE = 2e-4
 ROUNDS = 400
 
-_NOT_LETTER = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
+CACHED = 200_000  #: words whose features a task remembers
+
+_LETTERS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))  #: what is no ASCII letter becomes a space
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return _NOT_LETTER.sub(" ", (text or "").lower()).encode("utf-8", "surrogatepass").split()
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -57,16 +59,22 @@ class Ordinal:
 
     def __init__(self, weights: dict[bytes, float], thresholds: np.ndarray) -> None:
         self.weights, self.thresholds = weights, thresholds
+        self.seen: dict[bytes, tuple[bytes, ...]] = {}
 
     def severity(self, text: str | None) -> tuple[float, float]:
         """(expected grade, probability of grade 1 or more); the expected grade is the sum of P(grade > k)."""
         if not len(self.thresholds):
             return 0.0, 0.0
-        get = self.weights.get
-        found = set()
+        seen, found = self.seen, set()
+        if len(seen) > CACHED:
+            seen.clear()
         for word in set(words_of(text)):
-            found.update(f for f in features_of(word) if f in self.weights)
-        above = 1 / (1 + np.exp(self.thresholds - sum(map(get, sorted(found)))))
+            known = seen.get(word)
+            if known is None:
+                known = seen[word] = tuple(f for f in features_of(word) if f in self.weights)
+            if known:
+                found.update(known)
+        above = 1 / (1 + np.exp(self.thresholds - sum(map(self.weights.get, sorted(found)))))
         return float(above.sum()), float(above[0])
 
 
@@ -81,26 +89,36 @@ def fit(x: np.ndarray, grade: np.ndarray, ridge: float = RIDGE, rounds: int = RO
     for t in range(1, rounds + 1):
         w, gaps = theta[: x.shape[1]], np.exp(theta[x.shape[1] + 1 :])
         cut = theta[x.shape[1]] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = x @ w
+        score = (x @ w.astype(np.float32)).astype(np.float64)
         upper = np.where(grade < k, cut[np.minimum(grade, k - 1)], np.inf) - score
         lower = np.where(grade > 0, cut[np.maximum(grade - 1, 0)], -np.inf) - score
         hi, lo = np.where(np.isinf(upper), 1.0, sigmoid(upper)), np.where(np.isinf(lower), 0.0, sigmoid(lower))
         mass = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
         to_cut = np.array([(np.where(grade == j, -dhi, 0) + np.where(grade == j + 1, dlo, 0)).mean() for j in range(k)])
-        grad = np.concatenate([x.T @ (dhi - dlo) / len(grade) + ridge * w, [to_cut.sum()], [to_cut[j:].sum() * gaps[j - 1] for j in range(1, k)]])
+        grad = np.concatenate([x.T @ ((dhi - dlo) / len(grade)).astype(np.float32) + ridge * w, [to_cut.sum()], [to_cut[j:].sum() * gaps[j - 1] for j in range(1, k)]])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return theta[: x.shape[1]], theta[x.shape[1]] + np.concatenate([[0.0], np.cumsum(np.exp(theta[x.shape[1] + 1 :]))])
 
 
+def _draw(*columns: str) -> Column:
+    """A number in [0, 1) per row: equal rows draw apart."""
+    return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id(), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """``toxic, text`` of about ``bound`` documents per class; the ids of the sample are bounded too, so they are broadcast."""
+    """``toxic, text`` of about ``bound`` rows per class at most; the labels that are drawn are bounded too, so they are broadcast."""
     graded = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
-    n = {r.toxic: r["count"] for r in graded.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col("toxic"), bound / max(n.get(True, 1), 1)).otherwise(bound / max(n.get(False, 1), 1))
-    return docs.select("doc_id", "text").join(F.broadcast(graded.filter(draw < rate)), "doc_id").select("toxic", "text")
+
+    def rate(rows: DataFrame) -> Column:
+        n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        return F.when(F.col("toxic"), bound / max(n.get(True, 1), 1)).otherwise(bound / max(n.get(False, 1), 1))
+
+    drawn = materialise(graded.withColumn("draw", _draw("doc_id", "toxic")).filter(F.col("draw") < rate(graded)).drop("draw"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    by_row = rate(docs.select("doc_id").join(F.broadcast(drawn), "doc_id"))
+    return rows.withColumn("draw", _draw("doc_id")).filter(F.col("draw") < by_row).select("toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
