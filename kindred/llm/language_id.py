@@ -5,8 +5,8 @@ position gets a distribution over languages from both states, and a document's p
 mean over all of its positions. All bytes of all texts are read, whatever their length.
 
 Training is backpropagation through time in numpy, on a bounded sample: about ``DOCS_PER_LANGUAGE``
-documents per language, drawn by a hash of the id at a rate that follows from the language's count,
-and at most ``WINDOWS_PER_DOC`` windows of each. Only the text and the language of training documents
+documents per language, drawn by row (so that an id or a text that is repeated very often does not make the
+sample larger) at a rate that follows from the language's count, and at most ``WINDOWS_PER_DOC`` windows of each. Only the text and the language of training documents
 are used; source and id never are inputs.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; rows with a null language
@@ -175,7 +175,7 @@ def train(docs: DataFrame) -> Network | None:
     counts = sorted((r.lang, r["count"]) for r in usable.groupBy("lang").count().collect())
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)
     for lang, n in counts:
         rate = F.when(F.col("lang") == lang, DOCS_PER_LANGUAGE / n).otherwise(rate)
@@ -193,7 +193,7 @@ def train(docs: DataFrame) -> Network | None:
                     found.append(data[at : at + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(found, type=pa.binary())], names=["lang", "bytes"])
 
-    sample = usable.filter(draw < rate).select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
+    sample = usable.withColumn("draw", draw).filter(F.col("draw") < rate).select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
     rows = sorted((r.lang, bytes(r.bytes)) for r in sample.collect())  # bounded: languages x documents x windows
     languages = sorted({lang for lang, _ in rows})
     if not languages:
