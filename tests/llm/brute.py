@@ -141,9 +141,12 @@ def mixing(rows):
             target[s] = 2.0 * total[s]
             left -= target[s]
             open_.remove(s)
-    out = []
+    out, seen = [], Counter()
     for (doc, text, source), n in zip(rows, size):
         key = str(doc) if doc is not None else "null" if text is None else hashlib.md5(text.encode()).hexdigest()
+        seen[doc, text, source] += 1
+        if (k := seen[doc, text, source] - 1) > 0:
+            key += f"|{k}"
         u = int(hashlib.md5(f"{key}|mix".encode()).hexdigest()[:13], 16) / 16**13
         rate = target[source] / total[source] if total[source] else 0.0
         out.append((n, total[source], target[source], math.floor(rate) + (u < rate - math.floor(rate))))

@@ -89,6 +89,10 @@ def test_mixing(spark):
     assert mixed.columns == frame(spark, rows).columns and mixed.count() == sum(w[-1] for w in want)
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
     assert max(w[-1] for w in want) <= 2
+    hot = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one of many equal rows").alias("text"), F.lit("a").alias("source"))
+    hot = hot.union(spark.range(100, 1100).selectExpr("id", "concat('words of ', id)", "'b'"))
+    for r in mixing.copies(hot).groupBy("source").agg(F.sum(F.col("_mix_size") * F.col("_mix_copies")).alias("taken"), F.first("_mix_target").alias("target")).collect():
+        assert abs(r.taken - r.target) < 0.05 * r.target
 
 
 def test_sharding(spark):
