@@ -128,15 +128,15 @@ def test_pitman_yor(spark, monkeypatch):
     rows = [*corpus(), (900, None), (901, ""), (902, "Ka ÉÉ 漢 ka " * 3), (None, "ka ko"), (3, "ka ko"), (3, "ka ko"), (904, "x" * 200000), (905, "ka " * 100000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
     scored = {}
-    for frequent in (1 << 18, 8, 0):
-        monkeypatch.setattr(pitman_yor, "FREQUENT", frequent)
+    for room in (1 << 26, 5000, 0):
+        monkeypatch.setattr(pitman_yor, "ROOM", room)
         out = pitman_yor.score(docs, *pitman_yor.gather(docs)).collect()
         got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out), key=repr)
         assert got == sorted(((*x[:5], round(x[5], 4)) for x in brute_base(rows)), key=repr)
-        scored[frequent] = sorted((r.doc_id or -1, round(r.score, 2)) for r in out)
+        scored[room] = sorted((r.doc_id or -1, round(r.score, 2)) for r in out)
         assert all(r.score < 0 for r in out)
-    for other in (8, 0):
-        assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 1e-3 * abs(a[1]) + 0.02 for a, b in zip(scored[1 << 18], scored[other]))
+    for other in (5000, 0):
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 1e-3 * abs(a[1]) + 0.02 for a, b in zip(scored[1 << 26], scored[other]))
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert pitman_yor.score(docs.limit(0), *pitman_yor.gather(docs)).count() == 0
@@ -146,8 +146,124 @@ def test_pitman_yor(spark, monkeypatch):
 
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame(corpus(60), "doc_id long, text string")
-    _, words = pitman_yor.gather(docs)
-    known, unknown = pitman_yor.seat_words(words)
-    rows = known.collect()
-    total = 10.0**unknown + sum(10.0 ** np.array(r.lp, dtype=float) for r in rows)
-    assert np.allclose(total, 1, atol=1e-4)
+    vocabulary, words = pitman_yor.gather(docs)
+    known, kept = pitman_yor.seat_words(words, vocabulary)
+    assert len(vocabulary.before) > 10 and len(vocabulary.anchors) == pitman_yor.ANCHORS
+    mids, backs = pitman_yor.MIDS, np.stack([t.back() for t in kept])
+    over = np.where(np.arange(backs.shape[1]) < mids, 1.0, backs)
+    anchor = np.arange(backs.shape[1]) % mids
+    total = sum(over[k] * backs[k][anchor] * t.unknown() for k, t in enumerate(kept))
+    for r in known.collect():
+        mid = np.zeros((len(kept), mids))
+        mid[:, r.anchors] = np.array(r.mid).reshape(-1, len(kept)).T
+        total += sum(over[k] * (mid[k][anchor] + backs[k][anchor] * r.top[k]) for k in range(len(kept)))
+        total[r.contexts] += r.own
+    assert np.allclose(total / len(kept), 1, atol=1e-4)
+
+
+def plain_scores(rows, seen_of):
+    """A sampler in dictionaries with the operator's draws, customer by customer: {text: log10 probability}."""
+    import xxhash
+
+    p = pitman_yor
+    token = lambda t: [*(t or "").encode().lower().split(), b""]
+    training = [token(t) for d, t in rows if not (d is not None and zlib.crc32(str(d).encode()) % 7 == 2)]
+    count = {}
+    for words in training:
+        for w in words:
+            count[w] = count.get(w, 0) + 1
+    n = sum(count.values())
+    order = sorted((w for w in count if w), key=lambda w: (-count[w], w))
+    anchors = {w: i for i, w in enumerate(order[: p.ANCHORS])}
+    before = {w: i + 1 for i, w in enumerate(sorted(w for w in order if count[w] >= max(p.LEAST, n**0.75 / p.SHARE)))}
+
+    def contexts(words):
+        at, last = p.NONE, 0
+        for w in words:
+            yield w, (p.MIDS * (last + 1) + at if last is not None else at)
+            at, last = anchors.get(w, at), before.get(w)
+
+    cells = {}
+    for words in training:
+        for key in contexts(words):
+            cells[key] = cells.get(key, 0) + 1
+    leaves = {k: c for k, c in cells.items() if k[1] >= p.MIDS}
+    pairs = sorted({(w, c % p.MIDS) for w, c in cells})
+    tables, mids, tops = dict.fromkeys(leaves, 1), dict.fromkeys(pairs, 1), dict.fromkeys(count, 1)
+    base = 1 / (len(count) + 1)
+    d0, d1, d2 = p.DISCOUNTS
+    keys = {w: xxhash.xxh64_intdigest(w, 5) for w in count}
+    draw = lambda key, salt: float(p._mixed(np.array([key % 2**64], dtype=np.uint64), salt)[0])
+
+    def customers():
+        mid = {k: 0 for k in pairs}
+        for (w, c), n in cells.items():
+            mid[w, c % p.MIDS] += tables[w, c] if (w, c) in leaves else n
+        top = {w: 0 for w in count}
+        for (w, _), t in mids.items():
+            top[w] += t
+        return mid, top
+
+    def state():
+        mid, top = customers()
+        by = lambda d: {k: sum(v for (_, c), v in d.items() if c == k) for k in {c for _, c in d}}
+        return {"leaf n": by(leaves), "leaf t": by(tables), "mid n": by(mid), "mid t": by(mids), "top n": sum(top.values()), "top t": sum(tops.values()), "mid": mid, "top": top, "t": dict(tables), "m": dict(mids), "o": dict(tops)}
+
+    def p_top(s, w):
+        own = s["top"][w] - d0 * s["o"][w] if w in count else 0
+        return (own + (1 + d0 * s["top t"]) * base) / (1 + s["top n"])
+
+    def p_mid(s, w, a):
+        own = s["mid"][w, a] - d1 * s["m"][w, a] if (w, a) in s["mid"] else 0
+        return (own + (1 + d1 * s["mid t"].get(a, 0)) * p_top(s, w)) / (1 + s["mid n"].get(a, 0))
+
+    def p_leaf(s, w, c):
+        if c < p.MIDS:
+            return p_mid(s, w, c)
+        own = leaves[w, c] - d2 * s["t"][w, c] if (w, c) in leaves else 0
+        return (own + (1 + d2 * s["leaf t"].get(c, 0)) * p_mid(s, w, c % p.MIDS)) / (1 + s["leaf n"].get(c, 0))
+
+    def seat(n, rest, parent, discount, key, salt):
+        t = 1
+        for i in range(1, n):
+            new = (1 + discount * (rest + t)) * parent
+            t += draw(key, salt + i - 1) < new / (new + i - discount * t)
+        return t
+
+    kept = []
+    for sweep in range(1, p.SWEEPS + 1):
+        s = state()
+        for (w, c), n in leaves.items():
+            tables[w, c] = seat(n, s["leaf t"][c] - s["t"][w, c], p_mid(s, w, c % p.MIDS), d2, keys[w] * 0x9E3779B1 + c, (sweep * 4) * 100_000)
+        mid, _ = customers()
+        for w, a in pairs:
+            mids[w, a] = seat(mid[w, a], s["mid t"][a] - s["m"][w, a], p_top(s, w), d1, keys[w] * 31 + a, (sweep * 4 + 1) * 100_000)
+        _, top = customers()
+        for w in count:
+            tops[w] = seat(top[w], s["top t"] - s["o"][w], base, d0, keys[w], (sweep * 4 + 2) * 100_000)
+        if sweep > p.BURN_IN:
+            kept.append(state())
+    return [sum(math.log10(sum(p_leaf(s, w, c) for s in kept) / len(kept)) for w, c in contexts(token(t))) for t in seen_of]
+
+
+def test_scores_equal_a_plain_sampler(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "c", *[f"w{i}" for i in range(60)]]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.08)), 62)] for _ in range(rng.randint(0, 25)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs, *pitman_yor.gather(docs)).collect()}
+    want = plain_scores(rows, [t for _, t in rows])
+    assert all(abs(got[i] - want[i]) < 1e-3 * abs(want[i]) for i, _ in rows)
+
+
+def test_large_dishes_get_as_many_tables_as_when_seated_one_by_one(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, rest, parent in ((1000, 50.0, 0.01), (20000, 3000.0, 0.05), (20000, 200.0, 1e-4)):
+        size = 400
+        args = (np.full(size, n), np.full(size, rest), np.full(size, parent), 0.8, lambda live, step: rng.random(len(live)))
+        fast = pitman_yor.seat(*args)
+        monkeypatch.setattr(pitman_yor, "EXACT_CUSTOMERS", n)
+        slow = pitman_yor.seat(*args)
+        monkeypatch.undo()
+        error = abs(fast.mean() - slow.mean()) / slow.mean()
+        assert error < 0.01 + 4 * slow.std() / slow.mean() * (2 / size) ** 0.5 and 0.7 < fast.std() / max(slow.std(), 1e-9) < 1.4
