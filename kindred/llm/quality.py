@@ -9,7 +9,8 @@ chi-squared quantile are rejected. The estimate uses the documents that pass the
 
 1. Two starts: all documents of the group, and those without symbols, repeated lines or windows.
 2. Concentration steps: distances to the present estimate, keep the nearest ``CORE`` share, estimate
-   again, until no core changes (or ``MAX_STEPS``).
+   again; the determinant never rises by more than the width of a bin, and the steps end when the
+   logarithms of the determinants fall by less than ``SETTLED`` on average (or after ``MAX_STEPS``).
 3. The start with the smaller determinant wins; its scatter is scaled to be consistent for normal
    data, and every coordinate gets a least variance (``FLOOR``): a ridge for the first three. Repeats are
    zero in nine of ten documents, so that the core has no spread of them at all; their least deviation is
@@ -33,7 +34,6 @@ result; extra columns pass through ``keep`` untouched (internal columns carry th
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ REPEAT = 5
 SCALE = 256
 BINS = 32
 CORE = 0.75
-MAX_STEPS = 20
+MAX_STEPS, SETTLED = 12, 0.01
 PRIOR = 50
 TAIL = 1e-3
 #: Least standard deviations: log words, log word length, then log(1 + percent) of symbols, repeated lines, repeated words.
@@ -142,93 +142,79 @@ def statistics(docs: DataFrame) -> DataFrame:
     return base.select("*", failed.alias("_q_failed"), group.alias("_q_g"), *[F.round(v * SCALE).cast("long").alias(f"_q_z{i}") for i, v in enumerate(vector)])
 
 
-def _sums(where: Column) -> list[Column]:
-    """Count and moments of the rows ``where``, as exact integers."""
-    z = [F.col(f"_q_z{i}") for i in range(P)]
-    return [
-        F.count_if(where).alias("n"),
-        *[F.sum(F.when(where, x)).alias(f"s{i}") for i, x in enumerate(z)],
-        *[F.sum(F.when(where, z[i] * z[j])).alias(f"s{i}{j}") for i, j in PAIRS],
-    ]
-
-
 MOMENTS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]
 
 
-def _total(prefix: str = "") -> list[Column]:
-    return [F.sum(prefix + m).alias(m) for m in MOMENTS]
-
-
-def _inverse(matrix: Column) -> Column:
-    """``a`` (inverse) and ``logdet`` of a positive definite P x P matrix, given row by row as an array: Gauss-Jordan steps in place."""
-    at = lambda a, i, j: F.get(a, i * P + j)
-
-    def step(acc: Column, k: Column) -> Column:
-        a, pivot = acc["a"], at(acc["a"], k, k)
-
-        def cell(x: Column, index: Column) -> Column:
-            i, j = F.floor(index / P).cast("int"), index % P
-            return (
-                F.when((i == k) & (j == k), 1 / pivot).when(i == k, x / pivot).when(j == k, -x / pivot)
-                .otherwise(x - at(a, i, k) * at(a, k, j) / pivot)
-            )
+# The expressions below are SQL texts: each step builds them anew, and a text is one call where its Columns would be hundreds.
+def _sums(where: str = "true") -> list[Column]:
+    """Count and moments of the rows ``where``, as exact integers."""
+    one = lambda x: f"sum(CASE WHEN {where} THEN {x} END)"
+    return [F.expr(x) for x in (f"count_if({where}) AS n", *[f"{one(f'_q_z{i}')} AS s{i}" for i in range(P)], *[f"{one(f'_q_z{i} * _q_z{j}')} AS s{i}{j}" for i, j in PAIRS])]
 
-        return F.struct(F.transform(a, cell).alias("a"), (acc["logdet"] + F.log(pivot)).alias("logdet"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), F.struct(matrix.alias("a"), F.lit(0.0).alias("logdet")), step)
+#: ``a`` (inverse) and ``logdet`` of the positive definite matrix ``v``, P x P, given row by row: Gauss-Jordan steps in place.
+_INVERSE = f"""aggregate(sequence(0, {P - 1}), named_struct('a', v, 'logdet', 0D), (acc, k) -> named_struct(
+  'a', transform(acc.a, (x, at) -> CASE
+    WHEN at div {P} = k AND at % {P} = k THEN 1 / acc.a[{P + 1} * k]
+    WHEN at div {P} = k THEN x / acc.a[{P + 1} * k]
+    WHEN at % {P} = k THEN -x / acc.a[{P + 1} * k]
+    ELSE x - acc.a[int(at div {P}) * {P} + k] * acc.a[k * {P} + at % {P}] / acc.a[{P + 1} * k] END),
+  'logdet', acc.logdet + ln(acc.a[{P + 1} * k])))"""
 
 
 def _estimate(sums: DataFrame, consistency: float, pool: dict | None) -> DataFrame:
-    """``g, start, n, m0 ..., q00 ..., logdet, mark`` (means, inverse scatter, a digest of the moments) from the moments of cores.
+    """``g, start, n, m0 ..., c00 ..., q00 ..., logdet`` (means, scatter, its inverse) from the moments of cores.
 
     pool: the pooled means ``m0 ...`` and scatter ``c00 ...`` to regularise towards.
     """
-    n = F.col("n").cast("double")
-    own = n / (n + PRIOR) if pool else F.lit(1.0)
-    raw = sums.filter("n > 0").select("*", *[(F.col(f"s{i}") / n / SCALE).alias(f"r{i}") for i in range(P)])
+    own = f"(n / (n + {PRIOR}D))" if pool else "1D"
+    toward = lambda x, name: f"{x} * {own} + {pool[name]!r}D * (1 - {own})" if pool else x
+    means = [f"s{i} / double(n) / {SCALE} AS r{i}" for i in range(P)]
 
-    def scatter(i: int, j: int) -> Column:
-        c = F.col(f"s{i}{j}") / n / SCALE / SCALE - F.col(f"r{i}") * F.col(f"r{j}")
-        c = F.greatest(c, F.lit(0.0)) * consistency + FLOOR[i] ** 2 if i == j else c * consistency
-        return c * own + pool[f"c{i}{j}"] * (1 - own) if pool else c
+    def scatter(i: int, j: int) -> str:
+        c = f"(s{i}{j} / double(n) / {SCALE} / {SCALE} - r{i} * r{j})"
+        c = f"(greatest({c}, 0D) * {consistency!r}D + {FLOOR[i] ** 2!r}D)" if i == j else f"({c} * {consistency!r}D)"
+        return f"{toward(c, f'c{i}{j}')} AS c{i}{j}"
 
-    mean = lambda i: F.col(f"r{i}") * own + pool[f"m{i}"] * (1 - own) if pool else F.col(f"r{i}")
-    found = raw.select("g", "start", F.xxhash64(*MOMENTS).alias("mark"), "n", *[mean(i).alias(f"m{i}") for i in range(P)], *[scatter(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
-    matrix = F.array(*[F.col(f"c{min(i, j)}{max(i, j)}") for i in range(P) for j in range(P)])
-    return found.withColumn("v", _inverse(matrix)).select(
-        "*", *[F.get("v.a", F.lit(i * P + j)).alias(f"q{i}{j}") for i, j in PAIRS], F.col("v.logdet").alias("logdet")
-    ).drop("v")
+    found = sums.filter("n > 0").selectExpr("*", *means).selectExpr("g", "start", "n", *[f"{toward(f'r{i}', f'm{i}')} AS m{i}" for i in range(P)], *[scatter(i, j) for i, j in PAIRS])
+    matrix = f"array({', '.join(f'c{min(i, j)}{max(i, j)}' for i in range(P) for j in range(P))}) AS v"
+    inverse = found.selectExpr("*", matrix).selectExpr("*", f"{_INVERSE} AS x").drop("v")
+    return inverse.selectExpr("*", *[f"x.a[{i * P + j}] AS q{i}{j}" for i, j in PAIRS], "x.logdet AS logdet").drop("x")
 
 
-def distance(prefix: str = "") -> Column:
+def distance(prefix: str = "") -> str:
     """Squared Mahalanobis distance of a row that is joined with its group's estimate."""
-    d = [F.col(f"_q_z{i}") / F.lit(float(SCALE)) - F.col(f"{prefix}m{i}") for i in range(P)]
-    return reduce(lambda a, ij: a + F.col(f"{prefix}q{ij[0]}{ij[1]}") * d[ij[0]] * d[ij[1]] * (1 if ij[0] == ij[1] else 2), PAIRS, F.lit(0.0))
+    d = [f"(_q_z{i} / {SCALE}D - {prefix}m{i})" for i in range(P)]
+    return "(" + " + ".join(f"{prefix}q{i}{j} * {d[i]} * {d[j]} * {1 if i == j else 2}" for i, j in PAIRS) + ")"
 
 
 def _concentrate(rows: DataFrame, pool: dict | None) -> DataFrame:
     """The MCD estimate of each ``g`` of ``rows`` (``g, _q_z0 ...``), one row each: the columns of ``_estimate``."""
-    plain = reduce(lambda a, i: a & (F.col(f"_q_z{i}") == 0), range(2, P), F.lit(True))
-    both = rows.groupBy("g").agg(F.struct(*_sums(F.lit(True))).alias("a"), F.struct(*_sums(plain)).alias("b"))
+    plain = " AND ".join(f"_q_z{i} = 0" for i in range(2, P))
+    both = rows.groupBy("g").agg(F.struct(*_sums()).alias("a"), F.struct(*_sums(plain)).alias("b"), F.count("*").alias("size"))
+    both = materialise(both)
+    sizes = both.select("g", "size")
     sums = both.select("g", F.posexplode(F.array("a", "b")).alias("start", "x")).select("g", "start", "x.*")
-    pair = lambda estimate: materialise(estimate.groupBy("g").agg(*[
-        F.max(F.when(F.col("start") == k, F.struct(*[c for c in estimate.columns if c != "g"]))).alias(name) for k, name in enumerate("ab")
-    ]))
-    now, mark = pair(_estimate(sums, 1.0, pool)), None
-    sizes = materialise(rows.groupBy("g").agg(F.count("*").alias("size")))
+    parts = ["n", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS], *[f"q{i}{j}" for i, j in PAIRS], "logdet"]
+
+    def settle(sums: DataFrame, consistency: float) -> DataFrame:
+        """One row per group with the estimates ``a`` and ``b``, written."""
+        one = [F.expr(f"max(CASE WHEN start = {k} THEN struct({', '.join(parts)}) END) AS {name}") for k, name in enumerate("ab")]
+        return materialise(_estimate(sums, consistency, pool).groupBy("g").agg(*one))
+
+    bins = [f"int(floor(ln({distance(f'{k}.')} + 1e-6D) * {BINS}))" for k in "ab"]
+    upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    now, last = settle(sums, 1.0), None
     for _ in range(MAX_STEPS):
-        near = rows.join(now, "g")
-        bin_of = lambda k: F.floor(F.log(distance(f"{k}.") + 1e-6) * BINS).cast("int")
-        tagged = near.select("g", *[f"_q_z{i}" for i in range(P)], F.posexplode(F.array(bin_of("a"), bin_of("b"))).alias("start", "bin")).filter("bin IS NOT NULL")
-        binned = tagged.groupBy("g", "start", "bin").agg(*_sums(F.lit(True)))
-        upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        nearest = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, "g").filter(F.col("before") < F.col("size") * CORE)
-        now = pair(_estimate(nearest.groupBy("g", "start").agg(*_total()), CONSISTENCY, pool))
-        last, mark = mark, now.agg(F.sum(F.xxhash64("g", "a.mark", "b.mark").cast("decimal(38,0)"))).first()[0]
-        if mark == last:
+        tagged = rows.join(now, "g").selectExpr("g", *[f"_q_z{i}" for i in range(P)], f"posexplode(array({', '.join(bins)})) AS (start, bin)").filter("bin IS NOT NULL")
+        binned = tagged.groupBy("g", "start", "bin").agg(*_sums())
+        nearest = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, "g").filter(f"before < size * {CORE}D")
+        now = settle(nearest.groupBy("g", "start").agg(*[F.expr(f"sum({m}) AS {m}") for m in MOMENTS]), CONSISTENCY)
+        mean = now.selectExpr("avg(a.logdet) + coalesce(avg(b.logdet), 0D)").first()[0]
+        if mean is None or (last is not None and last - mean < SETTLED):
             break
-    better = F.col("b").isNotNull() & (F.col("b.logdet") < F.col("a.logdet"))
-    return now.select("g", F.when(better, F.col("b")).otherwise(F.col("a")).alias("e")).select("g", "e.*")
+        last = mean
+    return now.selectExpr("g", "CASE WHEN b.logdet < a.logdet THEN b ELSE a END AS e").select("g", "e.*")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -242,7 +228,7 @@ def judge(rows: DataFrame) -> DataFrame:
     """``statistics`` rows (written) with ``_q_distance`` (null if the base rules failed) and ``_q_kept``."""
     found = estimates(rows).select(F.col("g").alias("_q_of"), *[F.col(c).alias(f"_q_{c}") for c in (*[f"m{i}" for i in range(P)], *[f"q{i}{j}" for i, j in PAIRS])])
     joined = rows.join(found, rows["_q_g"] == found["_q_of"], "left")
-    measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), distance("_q_")))
+    measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), F.expr(distance("_q_"))))
     return measured.withColumn("_q_kept", ~F.col("_q_failed") & (F.coalesce("_q_distance", F.lit(0.0)) <= CUTOFF)).drop(*found.columns)
 
 

@@ -67,8 +67,8 @@ def quality(rows, q):
     z = np.array(z)
     floor = np.diag(np.array(q.FLOOR) ** 2)
 
-    def concentrate(x, pool):
-        """(mean, scatter) with the smaller determinant of the two starts."""
+    def concentrate(tables, pool):
+        """[(mean, scatter)] of tables, each with the smaller determinant of two starts; all take as many steps."""
         def fit(core, factor):
             mean, cov = core.mean(0), ((core.T @ core) / len(core) - np.outer(core.mean(0), core.mean(0))) * factor + floor
             if pool is None:
@@ -76,30 +76,30 @@ def quality(rows, q):
             own = len(core) / (len(core) + q.PRIOR)
             return own * mean + (1 - own) * pool[0], own * cov + (1 - own) * pool[1]
 
-        now = [fit(start, 1.0) if len(start) else None for start in (x, x[(x[:, 2:] == 0).all(1)])]
+        now = [[fit(start, 1.0) if len(start) else None for start in (x, x[(x[:, 2:] == 0).all(1)])] for x in tables]
         last = None
         for _ in range(q.MAX_STEPS):
-            cores = []
-            for k, estimate in enumerate(now):
-                if estimate:
-                    d = np.einsum("ij,jk,ik->i", x - estimate[0], np.linalg.inv(estimate[1]), x - estimate[0])
-                    bins = np.floor(np.log(d + 1e-6) * q.BINS)
-                    core = bins <= np.sort(bins)[math.ceil(len(x) * q.CORE) - 1]
-                    now[k] = fit(x[core], q.CONSISTENCY)
-                    cores.append(core.tobytes())
-            if cores == last:
+            for x, pair in zip(tables, now):
+                for k, estimate in enumerate(pair):
+                    if estimate:
+                        d = np.einsum("ij,jk,ik->i", x - estimate[0], np.linalg.inv(estimate[1]), x - estimate[0])
+                        bins = np.floor(np.log(d + 1e-6) * q.BINS)
+                        pair[k] = fit(x[bins <= np.sort(bins)[math.ceil(len(x) * q.CORE) - 1]], q.CONSISTENCY)
+            size = [[np.linalg.slogdet(pair[k][1])[1] for pair in now if pair[k]] for k in (0, 1)]
+            mean = sum(np.mean(x) for x in size if x)
+            if last is not None and last - mean < q.SETTLED:
                 break
-            last = cores
-        return min((e for e in now if e), key=lambda e: np.linalg.slogdet(e[1])[1])
+            last = mean
+        return [min((e for e in pair if e), key=lambda e: np.linalg.slogdet(e[1])[1]) for pair in now]
 
     group = [None if f else (lang, source) for (_, lang, source), f in zip(rows, failed)]
     far = np.zeros(len(rows))
-    passed = [i for i, g in enumerate(group) if g]
-    pool = concentrate(z[passed], None) if passed else None
-    for g in set(group) - {None}:
-        at = [i for i, x in enumerate(group) if x == g]
-        mean, cov = concentrate(z[at], pool)
-        far[at] = np.einsum("ij,jk,ik->i", z[at] - mean, np.linalg.inv(cov), z[at] - mean)
+    names = sorted({g for g in group if g}, key=repr)
+    places = [[i for i, x in enumerate(group) if x == g] for g in names]
+    if names:
+        pool = concentrate([z[[i for i, g in enumerate(group) if g]]], None)[0]
+        for at, (mean, cov) in zip(places, concentrate([z[at] for at in places], pool)):
+            far[at] = np.einsum("ij,jk,ik->i", z[at] - mean, np.linalg.inv(cov), z[at] - mean)
     return [(s, f, not f and d <= q.CUTOFF) for s, f, d in zip(stats, failed, far)]
 
 
