@@ -1,0 +1,285 @@
+"""Queries over small literal tables: an operator beside the results that its rules ask for, written out."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import credits as C
+from .functions import display as D
+from .functions import similarity as S
+from .functions import text as X
+from .operators import engine, keepers, removal, tags
+from .options import AGGRESSIVE, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, TIDY, ExtraFieldRule, FieldRule, MatchCriteria, NormalisationOptions, recognise_preset, save_preset
+from .plans.normalise import normalise
+from .sources import scan
+
+
+@dataclass(frozen=True)
+class Case:
+    """Inputs (one tuple of texts per row), the expression over their columns a, b, c, and the expected text per row."""
+
+    expression: Callable[..., Column]
+    rows: tuple[tuple, ...]  #: (inputs..., expected)
+
+    def query(self, spark: SparkSession, _: str) -> DataFrame:
+        width = len(self.rows[0]) - 1
+        names = "abc"[:width]
+        table = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(self.rows)], "id long, " + ", ".join(f"{n} string" for n in names))
+        return table.select("id", self.expression(*[F.col(n) for n in names]).cast("string").alias("result"))
+
+    def sql(self) -> str:
+        return literal_sql([(i, r[-1]) for i, r in enumerate(self.rows)], ("id", "result"))
+
+
+def literal_sql(rows: list[tuple], names: tuple[str, ...]) -> str:
+    """A SELECT of literal rows; whole numbers are BIGINT, the rest texts."""
+    def one(v) -> str:
+        return "NULL::VARCHAR" if v is None else f"{v}::BIGINT" if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(c, "|")
+
+
+def _featured(c: Column) -> Column:
+    found = C.split_featured(c)
+    return F.concat_ws("|", found["main"], F.coalesce(found["featured"], F.lit("-")))
+
+
+def _number(c: Column) -> Column:
+    return F.format_number(c, 4)
+
+
+CASES = {
+    "case_fold_diacritics": Case(X.fold_diacritics, (
+        ("Žižkov", "Zizkov"), ("Ærøskøbing", "AEroskobing"), ("Łódź", "Lodz"), ("été", "ete"), ("ＡＢＣ１", "ABC1"), ("Þór", "Thor"), ("plain", "plain"), ("Ελλάς", "Ελλας"), ("straße", "strasse"), ("œuvre", "oeuvre"),
+    )),
+    "case_search_fold": Case(X.search_fold, (("CafÉ Ørsted", "cafe ørsted"), ("STRASSE", "strasse"), ("", ""))),
+    "case_trim_separators": Case(X.trim_separators, ((" - a b -_.", "a b"), (":|/", ""), ("a-b", "a-b"), ("– x —", "x"))),
+    "case_unique_sorted": Case(lambda c: _joined(X.unique_sorted(F.split(c, ","))), (("b,a,,b", "a|b"), (",", ""), ("z", "z"))),
+    "case_tokens": Case(lambda c: _joined(X.tokens(c)), (("The St. John's  tune, the", "the|st|johns|tune"), ("!!", ""), ("A-B b", "a|b"))),
+    "case_without_brackets": Case(lambda c: C.without_segments(c, C.bracket_segments(c)), (("a (b)  c [d]", "a c"), ("a  b", "a  b"), ("(x)", ""), ("a (b [c] d) e", "a e"))),
+    "case_spaced_dash": Case(lambda c: _joined(X.split_spaced_dash(c)), (("a – b - c", "a|b|c"), ("a-b", "a-b"), (" - x", "|x"), ("a - - b", "a||b"))),
+    "case_featured": Case(_featured, (
+        ("P ft. Q", "P|Q"), ("P Featuring Q & R", "P|Q & R"), ("P [feat. Q] (Edit)", "P (Edit)|Q"), ("P feat: Q (Edit)", "P (Edit)|Q"), ("Ft Knox", "Ft Knox|-"), ("Soft Feet", "Soft Feet|-"), ("P ft.", "P|-"), ("P (ft. Q", "P|Q"),
+    )),
+    "case_collaborators": Case(lambda c: _joined(C.split_collaborators(c)), (
+        ("P & Q, R", "P|Q|R"), ("P and Q", "P|Q"), ("King X", "King X"), ("& P", "& P"), ("P & , Q", "P|Q"), ("AC/DC", "AC/DC"), ("P /", "P"), ("P vs. Q with R", "P|Q|R"), ("x", "x"), ("P × Q; R", "P|Q|R"),
+    )),
+    "case_track_prefix": Case(C.remove_track_number, (
+        ("03 - Tune", "Tune"), ("3. Tune", "Tune"), ("3) Tune", "Tune"), ("03_Tune", "Tune"), ("2-03 Tune", "Tune"), ("03 Tune", "Tune"), ("3 — Tune", "Tune"), ("03 -Tune", "Tune"),
+        ("50 Ways", "50 Ways"), ("3 Days", "3 Days"), ("2001", "2001"), ("1-2-3-4 Go", "1-2-3-4 Go"), ("03 - 04", "03 - 04"), ("1234 Tune", "1234 Tune"),
+    )),
+    "case_version_class": Case(C.version_class, (
+        ("Original Version", "neutral"), ("1998 Remastered", "neutral"), ('7" Edit', "neutral"), ("Re-Mastered", "neutral"), ("Joe's Re-Edit", "distinct"), ("Somebody Mix", "distinct"),
+        ("Live in Rome", "distinct"), ("VIP", "distinct"), ("Part 3", "not_a_version"), ("A The", "not_a_version"), ("", "not_a_version"),
+    )),
+    "case_the": Case(X.remove_the, (("The Band", "Band"), ("THE X", "X"), ("Band, The", "Band"), ("The", "The"), ("Then", "Then"), (", the", ", the"))),
+    "case_sample_rate": Case(lambda c: D.format_sample_rate(c.cast("int")), (("44100", "44.1 kHz"), ("48000", "48 kHz"), ("11025", "11.0 kHz"), ("22050", "22.1 kHz"))),
+    "case_date": Case(lambda c, zone: F.when(zone == "UTC", D.format_date(F.timestamp_seconds(c.cast("long")))).otherwise(D.format_date(F.timestamp_seconds(c.cast("long")), "Asia/Tokyo")), (
+        ("0", "UTC", "1970-01-01 00:00"), ("1700000000", "UTC", "2023-11-14 22:13"), ("1700000000", "Tokyo", "2023-11-15 07:13"),
+    )),
+    "case_version_order": Case(lambda a, b: F.when(D.version_key(a) < D.version_key(b), "before").when(D.version_key(a) > D.version_key(b), "after").otherwise("same"), (
+        ("1.10", "1.9", "after"), ("1.2", "1.2.0", "same"), ("0.9", "1", "before"), ("2.0.1", "2", "after"),
+    )),
+    "case_name_list": Case(lambda c: D.name_list(F.split(c, ",")), (("a", "“a”"), ("a,b", "“a” and “b”"), ("a,b,c", "“a”, “b” and “c”"), ("a,b,c,d,e", "“a”, “b”, “c” and 2 more"))),
+    "case_group_detail": Case(lambda n, p, r: D.group_detail(n.cast("int"), p.cast("double"), F.split(r, ",")), (("2", "0.954", "Same title", "2 copies · 95% · Same title"), ("1", "1", "Same title,Same artist", "1 copy · 100% · Same title · Same artist"))),
+    "case_codec": Case(lambda container, codec: scan.codec_format(container, codec), (("MP4", "ALAC", "alac"), ("m4a", "aac", "aac"), ("mp4", "opus", "unknown"), ("mpeg", "", "mp3"), ("FLAC", "", "flac"), ("ogg", "", "unknown"))),
+    "case_bit_depth": Case(lambda fmt, bits: F.coalesce(scan.bit_depth_of(fmt, bits.cast("int")).cast("string"), F.lit("-")), (("flac", "24", "24"), ("mp3", "16", "-"), ("wav", "0", "-"), ("alac", "16", "16"))),
+    "case_decoded_duration": Case(lambda frames, rate: F.coalesce(_number(scan.decoded_duration(frames.cast("long"), rate.cast("int"))), F.lit("-")), (("441000", "44100", "10.0000"), ("1", "0", "-"), ("5", "-1", "-"))),
+    "case_rebase": Case(lambda p: _joined(F.array(scan.rebase(p, "/r", "/c"), scan.rebase(p, "/", "/c"), scan.rebase(p, "/r", "/"))), (("/r/x", "/c/x|/c/r/x|/x"), ("/rx/y", "/rx/y|/c/rx/y|/rx/y"))),
+    "case_levenshtein": Case(lambda a, b: _number(S.levenshtein_ratio(a, b)), (("kitten", "sitting", "0.5714"), ("same", "same", "1.0000"), ("", "x", "0.0000"), ("é", "e", "0.0000"))),
+    "case_jaro_winkler": Case(lambda a, b: _number(S.jaro_winkler(a, b)), (
+        ("MARTHA", "MARHTA", "0.9611"), ("DWAYNE", "DUANE", "0.8400"), ("DIXON", "DICKSONX", "0.8133"), ("same", "same", "1.0000"), ("", "x", "0.0000"), ("ab", "cd", "0.0000"),
+    )),
+    "case_token_sort": Case(lambda a, b: _number(S.token_sort_ratio(a, b)), (("b a", "a b", "1.0000"), ("one two", "two  one", "1.0000"), ("ab cd", "cd ax", "0.8000"))),
+    "case_fuzzy": Case(lambda a, b: _number(S.fuzzy_ratio(a, b)), (("MARTHA", "MARHTA", "0.9611"), ("b a", "a b", "1.0000"))),
+    "case_filled_tags": Case(lambda c: F.size(F.map_filter(F.str_to_map(c, F.lit(","), F.lit("=")), lambda k, v: v != "")), (("A=1,B=,C=x", "2"), ("A=", "0"))),
+    "case_default_destination": Case(lambda copies, marked, source: F.coalesce(tags.default_destination(F.split(copies, ","), F.split(marked, ","), source), F.lit("-")), (
+        ("1,2,3", "1,3", "1", "2"), ("1,2,3", "2", "1", "3"), ("1,2,3", "2,3", "1", "2"), ("1", "5", "1", "-"), ("1,2", "1,2", "2", "1"),
+    )),
+}
+
+# Title, artist, file stem; options; expected: title, primary artists, featured, removed.
+_NORMALISED = (
+    ("minimal", MINIMAL, "  A  Tune (Original Mix) ", "P ft. Q", "", "a tune (original mix) / p ft. q /  / "),
+    ("tidy", TIDY, "Café – Tune", "P & Q", "", "cafe - tune / p and q /  / "),
+    ("neutral bracket", DJ_LIBRARY, "Tune (Original Mix)", "The P ft. Q", "", "tune / p / q / Original Mix"),
+    ("remix stays", DJ_LIBRARY, "Tune (Somebody Remix)", "P", "", "tune (somebody remix) / p /  / "),
+    ("all at once", DJ_LIBRARY, "04 - Tune (feat. Q) [Radio Edit]", "R & P", "", "tune / p|r / q / 04|feat. Q|Radio Edit"),
+    ("artist in title", DJ_LIBRARY, "P - Tune", "P", "", "tune / p /  / "),
+    ("artist from title", DJ_LIBRARY, "P - Tune", "", "", "tune / p /  / "),
+    ("trailing version", DJ_LIBRARY, "Tune – Remastered 2011", "P", "", "tune / p /  / Remastered 2011"),
+    ("never to nothing", DJ_LIBRARY, "(Original Mix)", "P", "", "(original mix) / p /  / "),
+    ("not a version", DJ_LIBRARY, "Tune - Part 2", "P", "", "tune - part 2 / p /  / "),
+    ("part and version", DJ_LIBRARY, "Tune (Part 2) (Extended Mix)", "P", "", "tune (part 2) / p /  / Extended Mix"),
+    ("all versions", AGGRESSIVE, "Tune (Some Remix) - Live", "P", "", "tune / p /  / Some Remix|Live"),
+    ("from the file name", AGGRESSIVE, "", "", "05 - P & Q - Tune!", "tune / p|q /  / "),
+    ("artist wins", AGGRESSIVE, "", "Z", "P - Tune", "tune / z /  / "),
+    ("all brackets", NormalisationOptions(strip_all_brackets=True, ignore_spaces=True, ignore_case=False), "A Tune [x] (y)", "P Q", "", "ATune / PQ /  / x|y"),
+)
+
+
+def _normalised(spark: SparkSession, _: str) -> DataFrame:
+    """Each row by its own options."""
+    out = None
+    for name, options, title, artist, stem, _expected in _NORMALISED:
+        row = spark.createDataFrame([(name, title, artist, stem)], "name string, title string, artist string, stem string")
+        n = normalise(row, options, stem=F.col("stem") if options.filename_fallback else None)
+        one = n.select("name", F.concat_ws(" / ", "n.title", _joined(F.col("n.primary")), _joined(F.col("n.featured")), _joined(F.col("n.removed"))).alias("result"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_TUNE = {"title": "Tune", "artist": "P", "album": "One", "year": 1999, "duration": 100.0, "format": "mp3"}
+# Criteria; what the second track changes; expected score and reasons, or "-".
+_PAIRS = (
+    ("same", STANDARD, {}, "1.0000 sameTitle sameArtist durationWithinTolerance"),
+    ("edge of tolerance", STANDARD, {"duration": 103.0}, "0.9250 sameTitle sameArtist durationWithinTolerance"),
+    ("beyond tolerance", STANDARD, {"duration": 103.1}, "-"),
+    ("no duration", STANDARD, {"duration": None}, "1.0000 sameTitle sameArtist"),
+    ("format same", replace(STANDARD, format="same"), {"format": "flac"}, "-"),
+    ("format different", replace(STANDARD, format="different"), {"format": "flac"}, "1.0000 sameTitle sameArtist durationWithinTolerance"),
+    ("extra year", replace(STANDARD, extra_fields=(ExtraFieldRule("year", FieldRule("same")),)), {}, "1.0000 sameTitle sameArtist durationWithinTolerance extraFieldsMatched"),
+    ("extra year missing", replace(STANDARD, extra_fields=(ExtraFieldRule("year", FieldRule("same")),)), {"year": None}, "-"),
+    ("extra album similar", replace(STANDARD, extra_fields=(ExtraFieldRule("album", FieldRule("similar", 0.6)),), duration_tolerance=None), {"album": "Ond"}, "0.9649 sameTitle sameArtist extraFieldsMatched"),
+    ("swapped", replace(STANDARD, detect_swapped_fields=True), {"title": "P", "artist": "Tune"}, "1.0000 sameTitle sameArtist durationWithinTolerance swappedTitleAndArtist"),
+    ("swapped off", STANDARD, {"title": "P", "artist": "Tune"}, "-"),
+    ("version ignored", replace(STANDARD, normalisation=DJ_LIBRARY), {"title": "Tune (Original Mix)"}, "1.0000 sameTitle sameArtist versionTextIgnored durationWithinTolerance"),
+    ("guest ignored", replace(STANDARD, normalisation=DJ_LIBRARY), {"artist": "P ft. Q"}, "1.0000 sameTitle sameArtist featuredArtistIgnored durationWithinTolerance"),
+    ("subset", replace(STANDARD, normalisation=DJ_LIBRARY, artist_subset_matches=True, duration_tolerance=None), {"artist": "P & Q"}, "0.9588 sameTitle artistSubset"),
+    ("identical", MatchCriteria(title=FieldRule("identical"), artist=FieldRule("identical")), {"title": "tune"}, "-"),
+    ("title only", MatchCriteria(artist=FieldRule("ignore"), duration_tolerance=None), {"artist": "Z"}, "1.0000 sameTitle"),
+)
+
+
+def _pairs(spark: SparkSession, _: str) -> DataFrame:
+    found = [(name, engine.match_pair(spark, _TUNE, {**_TUNE, **other}, criteria)) for name, criteria, other, _expected in _PAIRS]
+    return spark.createDataFrame([(name, "-" if x is None else f"{x[0]:.4f} {' '.join(x[1])}") for name, x in found], "name string, result string")
+
+
+class _Files:
+    """A file system of names, with a file that cannot be moved."""
+
+    def __init__(self, *paths: str) -> None:
+        self.paths = set(paths)
+
+    def exists(self, path: str) -> bool:
+        return path in self.paths
+
+    def move(self, source: str, destination: str) -> None:
+        if "locked" in source:
+            raise OSError("locked")
+        self.paths.remove(source)
+        self.paths.add(destination)
+
+    def bin(self, source: str) -> str:
+        self.move(source, f"/bin{source}")
+        return f"/bin{source}"
+
+
+def _removals(spark: SparkSession, _: str) -> DataFrame:
+    """Plan, run, log and undo of five files, step by step."""
+    rows = [(1, "/m/a.mp3", "/m"), (2, "/n/m/b.mp3", "/n/m"), (3, "/z/u.mp3", None), (4, "/m/locked.mp3", "/m"), (5, "/elsewhere/e.mp3", "/m")]
+    tracks = spark.createDataFrame(rows, "id long, path string, scan_root string")
+    files = _Files(*[p for _, p, _ in rows], "/out/m/a.mp3")
+    seen: list[int] = []
+    done = removal.execute(removal.plan(tracks, "/out"), files, seen.append)
+    out = [(f"moved {r['trackID']}", r["destination"]) for r in done.records] + [(f"failed {f['trackID']}", f["message"]) for f in done.failures]
+    out += [("progress", ",".join(map(str, seen))), ("summary", removal.summary(done)), ("mode", done.mode)]
+    log = removal.RemovalLog([done])
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "log.json")
+        log.save(path)
+        out.append(("read back", str(removal.RemovalLog.load(path).first_undoable() == done).lower()))
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("{")
+        content, aside = removal.load_or_set_aside(path)
+        out.append(("set aside", f"{content} {os.path.basename(aside)} {os.path.exists(path)}"))
+    files.paths.remove("/out/m 2/b.mp3")
+    files.paths.add("/z/u.mp3")
+    restored, failures = removal.undo(done, files)
+    out += [("restored", ",".join(str(r["trackID"]) for r in restored)), ("not restored", ",".join(str(f["trackID"]) for f in failures))]
+    log.mark_undone(done.id, "2020-01-01T00:00:00Z", failures)
+    log.mark_undone(done.id, "2021-01-01T00:00:00Z", [])
+    out += [("undone at", done.undone_at), ("undoable", str(log.first_undoable()))]
+    stopped = removal.execute(removal.plan(tracks), _Files(*[p for _, p, _ in rows]), cancelled=lambda: True)
+    out.append(("cancelled", str(len(stopped.records))))
+    return spark.createDataFrame(out, "step string, result string")
+
+
+_REMOVALS = (
+    ("moved 1", "/out/m/a 2.mp3"), ("moved 2", "/out/m 2/b.mp3"), ("moved 3", "/out/z/u.mp3"), ("moved 5", "/out/m/e.mp3"), ("failed 4", "locked"), ("progress", "1,2,3,4,5"),
+    ("summary", "Moved 4 files; 1 couldn't be moved."), ("mode", "folder"), ("read back", "true"), ("set aside", "None log.json.unreadable False"),
+    ("restored", "5,1"), ("not restored", "3,2"), ("undone at", "2020-01-01T00:00:00Z"), ("undoable", "None"), ("cancelled", "0"),
+)
+
+
+def _roots(spark: SparkSession, _: str) -> DataFrame:
+    kept, missing = scan.scan_roots([("/a/b", "/r/b"), ("/a", "/r"), ("/gone", None), ("/rx", "/rx"), ("/again", "/r")])
+    names = removal.unique_root_names(["/b/m", "/a/m", "/a/m 2"])
+    rows = [("kept", "|".join(f"{p}={r}" for p, r in kept)), ("missing", "|".join(f"{p}: {m}" for p, m in missing)), ("names", "|".join(f"{k}={v}" for k, v in names.items()))]
+    return spark.createDataFrame(rows, "step string, result string")
+
+
+_ROOTS = (("kept", "/a=/r|/rx=/rx"), ("missing", "/gone: The folder couldn't be found."), ("names", "/a/m=m|/a/m 2=m 2|/b/m=m 3"))
+
+
+def _settings(spark: SparkSession, _: str) -> DataFrame:
+    criteria = replace(LOOSE, extra_fields=(ExtraFieldRule("genre", FieldRule("similar")),))
+    saved = save_preset(save_preset(save_preset([], criteria, " set 10 "), STANDARD, "set 9"), LOOSE, "  ")
+    again = save_preset(saved, LOOSE, "set 9")
+    rows = [
+        ("round trip", str(MatchCriteria.from_json(criteria.to_json()) == criteria)), ("unreadable", str(MatchCriteria.from_json("{") == STANDARD)),
+        ("names", "|".join(n for n, _ in saved)), ("replaced", "|".join(n for n, c in again if c == LOOSE)), ("recognised", f"{recognise_preset(criteria, saved)} {recognise_preset(LOOSE, saved)} {recognise_preset(replace(LOOSE, album='same'), saved)}"),
+        ("thresholds", " ".join(str(FieldRule(x).threshold) for x in ("similar", "fuzzy", "same", "identical"))), ("standard", f"{STANDARD.title.level} {STANDARD.artist.level} {STANDARD.duration_tolerance} {STANDARD.require_anchor_match}"),
+    ]
+    return spark.createDataFrame(rows, "step string, result string")
+
+
+_SETTINGS = (
+    ("round trip", "True"), ("unreadable", "True"), ("names", "set 9|set 10"), ("replaced", "set 9"), ("recognised", "set 10 loose None"), ("thresholds", "0.9 0.8 1.0 1.0"), ("standard", "same same 3.0 True"),
+)
+
+# Copies of one group as (format, bitrate, duration, size, path); rules; the place of the copy that stays.
+_COPIES = (("mp3", 320, 300.0, 10, "/m/a/one.mp3"), ("flac", 900, 300.4, 20, "/m/b/one.flac"), ("flac", 900, 300.8, 20, "/m/b/two.flac"), ("wav", None, None, 5, "/n/t.wav"))
+_KEEPERS = (
+    ("no rule", (), 0), ("lossless", (("prefer_lossless",),), 1), ("duration with tolerance", (("longer_duration",),), 2), ("bitrate", (("higher_bitrate",),), 1), ("smaller path", (("path_does_not_contain", "/M/"),), 3),
+    ("format", (("prefer_format", "wav"),), 3), ("path then size", (("path_contains", "/b/"), ("larger_file",)), 1), ("lossless then duration", (("prefer_lossless",), ("longer_duration",)), 1),
+)
+
+
+def _keepers(spark: SparkSession, _: str) -> DataFrame:
+    from .schema import conform
+
+    tracks = conform(spark.createDataFrame([(i, *c) for i, c in enumerate(_COPIES)], "id long, format string, bitrate int, duration double, file_size long, path string"))
+    groups = spark.createDataFrame([(0, list(range(len(_COPIES))), 0.9, ["sameTitle"])], "id long, track_ids array<long>, confidence double, reasons array<string>")
+    out = None
+    for name, rules, _expected in _KEEPERS:
+        one = keepers.choices(groups, tracks, tuple(keepers.KeeperRule(*r) for r in rules)).select(F.lit(name).alias("name"), "keeper")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def queries() -> dict:
+    return {name: case.query for name, case in CASES.items()} | {
+        "case_normalise": _normalised, "case_match_pair": _pairs, "case_removal": _removals, "case_scan_roots": _roots, "case_settings": _settings, "case_keepers": _keepers,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    steps = ("step", "result")
+    return {name: case.sql() for name, case in CASES.items()} | {
+        "case_normalise": literal_sql([(n, e) for n, *_, e in _NORMALISED], ("name", "result")),
+        "case_match_pair": literal_sql([(n, e) for n, _, _, e in _PAIRS], ("name", "result")),
+        "case_removal": literal_sql(list(_REMOVALS), steps), "case_scan_roots": literal_sql(list(_ROOTS), steps), "case_settings": literal_sql(list(_SETTINGS), steps),
+        "case_keepers": literal_sql([(n, k) for n, _, k in _KEEPERS], ("name", "keeper")),
+    }

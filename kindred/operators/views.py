@@ -104,3 +104,17 @@ def drop_copies(groups: DataFrame, removed: DataFrame) -> DataFrame:
     kept = groups.select("id", F.posexplode("track_ids").alias("pos", "track_id")).join(removed.select(F.col("id").alias("track_id")), "track_id", "left_anti")
     lists = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track_id"))), lambda x: x["track_id"]).alias("track_ids")).filter(F.size("track_ids") > 1)
     return groups.drop("track_ids").join(lists, "id").select(*groups.columns)
+
+
+def restore(tracks: DataFrame, removed: DataFrame, restored: DataFrame, criteria, max_bucket: int | None = None) -> DataFrame:
+    """The groups after removed tracks (``id``) came back in part: those of ``removed`` that are not ``restored`` stay out, the rest is matched again."""
+    from .engine import match
+
+    out = removed.select("id").join(restored.select("id"), "id", "left_anti")
+    return match(tracks.join(out, "id", "left_anti"), criteria, max_bucket)
+
+
+def marked_choices(groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """``id, in_group``: every mark once, and whether it is of a track in some group."""
+    inside = groups.select(F.explode("track_ids").alias("member")).distinct()
+    return marks.select("id").distinct().join(inside, F.col("id") == F.col("member"), "left").select("id", F.col("member").isNotNull().alias("in_group"))

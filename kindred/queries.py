@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from .functions import credits as C
 from .functions import display as D
 from .functions import similarity as S
@@ -270,16 +271,49 @@ _ON_TITLES = (
     "scan_tracks", "txt_collapse", "txt_fold_diacritics", "txt_display", "match_pairs_standard", "match_components", "match_groups_anchored", "match_groups_components",
     "arrange_confidence", "arrange_copies", "arrange_column", "filter_groups", "diff_cells", "keepers_default", "keepers_path", "auto_select", "marked_summary", "drop_copies",
     "removal_plan_selected", "removal_collisions_selected",
+    "marks_chosen", "marks_valid", "filled_tags", "group_headings",
 )
 
 
+def _swapped_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part tracks of which every fifth has title and artist the wrong way round."""
+    t, wrong = part_tracks(spark, sf_dir), F.col("id") % 5 == 0
+    return t.withColumns({"title": F.when(wrong, F.col("artist")).otherwise(F.col("title")), "artist": F.when(wrong, F.col("title")).otherwise(F.col("artist"))})
+
+
+def _marks(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    """Marks of every third track, then the keepers' choices, then every seventh switched over, with whether they are in a group."""
+    groups, tracks = _views(spark, sf_dir, source)
+    marks = keepers.apply_choices(tracks.filter("id % 3 = 0"), keepers.choices(groups, tracks, _PATH_RULES))
+    return views.marked_choices(groups, keepers.toggle_marks(marks, tracks.filter("id % 7 = 0")))
+
+
+def _valid_marks(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir, source)
+    return keepers.valid_marks(tracks.filter("id % 3 = 0"), groups)
+
+
+def _filled(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    return source(spark, sf_dir).select("id", keepers.filled_tags().alias("filled"))
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = part_tracks(spark, sf_dir)
+    out = views.restore(t, t.filter("id % 5 = 0"), t.filter("id % 10 = 0"), CLASSES)
+    return out.select("id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
+
+
+def _described(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+    return views.describe(*_views(spark, sf_dir, source))
+
+
 def queries() -> dict:
-    found = _queries()
+    found = _queries() | cases.queries()
     return found | {f"{name}_whole": partial(found[name], source=whole_document_tracks) for name in _ON_TITLES}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = _oracle_sql()
+    found = _oracle_sql() | cases.oracle_sql()
     return found | {f"{name}_whole": found[name].replace(_DOC, _WHOLE_DOC) for name in _ON_TITLES if name in found}
 
 
@@ -307,6 +341,11 @@ def _queries() -> dict:
         "keepers_default": _keepers(keepers.DEFAULT_RULES), "keepers_path": _keepers(_PATH_RULES), "auto_select": _auto_select,
         "marked_summary": _marked, "drop_copies": _dropped, "removal_plan": _plan, "removal_collisions": _inside, "removal_plan_selected": _selected_plan, "removal_collisions_selected": _inside_selected, "tag_compare": _tag_compare,
         "waveform_rms": _waveform, "waveform_resample": _resample,
+        "txt_featured_credit": _text(lambda c: F.coalesce(C.split_featured(c)["featured"], F.lit("-"))),
+        "match_pairs_format": _pairs(replace(CLASSES, format="same"), part_tracks),
+        "match_pairs_swapped": _pairs(replace(CLASSES, detect_swapped_fields=True), _swapped_tracks),
+        "match_pairs_extra": _pairs(replace(CLASSES, extra_fields=(ExtraFieldRule("year", FieldRule("similar", 0.7)), ExtraFieldRule("album", FieldRule("same")))), part_tracks),
+        "marks_chosen": _marks, "marks_valid": _valid_marks, "filled_tags": _filled, "restore_groups": _restored, "group_headings": _described,
     }
 
 
@@ -324,6 +363,64 @@ _NEUTRAL = "(" + ", ".join(f"'{w}'" for w in C.NEUTRAL_WORDS) + ")"
 _DISTINCT = "[" + ", ".join(f"'{w}'" for w in C.DISTINCT_WORDS) + "]"
 
 
+# What normalisation leaves of a decorated part: title, primary artists, guests, removed texts.
+def _normal_form(aggressive: bool) -> str:
+    the = "CASE WHEN k % 7 = 1 THEN 'the ' ELSE '' END"
+    rest = "['', ' (club mix)', '', '', '', '', ' (part 2)', ' - live', '', ' (love (theme)) x']" if not aggressive else "['', '', '', '', '', '', ' part 2', '', '', ' love theme x']"
+    cut = "['Original Mix', '', 'Radio Edit', '2011 Remaster', '', 'Extended Mix', '', '', '', '']" if not aggressive else "['Original Mix', 'Club Mix', 'Radio Edit', '2011 Remaster', '', 'Extended Mix', '', 'Live', '', '']"
+    brand = "replace(lower(p_brand), '#', ' ')" if aggressive else "lower(p_brand)"
+    return f"""SELECT id, k, d, {the} || lower(p_name) || {rest}[k % 10 + 1] AS t, {brand} || CASE WHEN k % 3 = 0 THEN ' & others' ELSE '' END AS a,
+        array_to_string(list_filter([CASE WHEN k % 3 = 2 THEN 'guest' END, CASE WHEN k % 10 IN (4, 5) THEN 'someone' END], lambda x: x IS NOT NULL), '|') AS f,
+        array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN '01' END, CASE WHEN k % 10 IN (4, 5) THEN 'feat. Someone' END, nullif({cut}[k % 10 + 1], '')], lambda x: x IS NOT NULL), '|') AS r
+      FROM (SELECT p_partkey AS id, p_partkey::INT AS k, p_name, p_brand, p_retailprice AS d FROM part)"""
+
+
+_REASON_NAMES = "(VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(compare.REASONS)) + ") AS rn(rix, reason)"
+
+
+def _groups(anchored: bool) -> str:
+    """Common tables from edges ``e (i, j, score, reasons)`` and names ``f (id, t, a)`` to the groups, and the groups."""
+    links = """l AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), reach AS (SELECT a AS node, a AS seen FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.seen = l.a),
+      comp AS (SELECT node, min(seen) AS comp FROM reach GROUP BY node)"""
+    if anchored:  # step after step the node with the most links that are left takes its neighbours
+        first = "(SELECT {s}comp, a AS anchor FROM (SELECT {s}comp, a, row_number() OVER (PARTITION BY {s}comp ORDER BY count(*) DESC, a) AS rn FROM g GROUP BY {s}comp, a) WHERE rn = 1)"
+        one, each = first.format(s=""), first.format(s="step, ")
+        star = f"(SELECT g.comp, g.b AS node FROM g JOIN {one} k ON g.comp = k.comp AND g.a = k.anchor UNION SELECT comp, anchor FROM {one} k)"
+        links += f""", g AS (SELECT 1 AS step, a, b, comp FROM l JOIN comp ON a = node UNION ALL
+        SELECT step + 1, a, b, comp FROM g WHERE a NOT IN (SELECT node FROM {star} s) AND b NOT IN (SELECT node FROM {star} s)),
+      mem AS (SELECT k.anchor, g.b AS node FROM g JOIN {each} k ON g.step = k.step AND g.comp = k.comp AND g.a = k.anchor UNION SELECT anchor, anchor FROM {each} k)"""
+    else:
+        links += """, mem AS (SELECT first_value(node) OVER (PARTITION BY comp ORDER BY n DESC, node) AS anchor, node FROM (SELECT comp, node, count(*) AS n FROM l JOIN comp ON a = node GROUP BY comp, node))"""
+    return f"""{links}, inside AS (SELECT x.anchor, score, reasons FROM e JOIN mem x ON i = x.node JOIN mem y ON j = y.node WHERE x.anchor = y.anchor),
+      conf AS (SELECT anchor, avg(score) AS confidence FROM inside GROUP BY anchor),
+      why AS (SELECT anchor, string_agg(reason, ',' ORDER BY rix) AS reasons FROM (SELECT DISTINCT anchor, unnest(string_split(reasons, ','))::INT AS rix FROM inside) JOIN {_REASON_NAMES} USING (rix) GROUP BY anchor),
+      lists AS (SELECT anchor, list(node ORDER BY node <> anchor, node) AS ids FROM mem GROUP BY anchor)
+      SELECT row_number() OVER (ORDER BY f.a, f.t, ids[1]) - 1 AS id, {{ids}} AS track_ids, {{confidence}} AS confidence, {{reasons}} AS reasons
+      FROM lists JOIN f ON f.id = anchor JOIN conf USING (anchor) JOIN why USING (anchor)"""
+
+
+def _flat(sql: str) -> str:
+    return sql.format(ids=_LIST.format("ids"), confidence="round(confidence, 6)", reasons="why.reasons")
+
+
+_DJ_EDGES = """n AS (SELECT *, count(*) OVER (PARTITION BY a) AS size FROM f), p AS (
+    SELECT x.id AS i, y.id AS j, abs(x.d - y.d) AS dd, x.t = y.t AS same, CASE WHEN x.t = y.t THEN 1.0::DOUBLE ELSE 1 - levenshtein(x.t, y.t)::DOUBLE / greatest(length(x.t), length(y.t)) END AS s, x.r <> '' OR y.r <> '' AS cut, x.f <> y.f AS guests
+    FROM n x JOIN n y ON x.a = y.a AND x.id < y.id AND abs(x.d - y.d) <= 3 AND (x.size <= 400 OR substr(x.t, 1, 3) = substr(y.t, 1, 3))),
+  e AS (SELECT i, j, 0.5::DOUBLE * s + 0.35::DOUBLE + 0.15::DOUBLE * (1 - 0.5::DOUBLE * dd / 3) AS score,
+    CASE WHEN same THEN '1' ELSE '2' END || ',5' || CASE WHEN cut THEN ',9' ELSE '' END || CASE WHEN guests THEN ',10' ELSE '' END || ',11' AS reasons FROM p WHERE s >= 0.9)"""
+
+# Jaro-Winkler by its definition: a character matches the first free equal one within reach; half of the matches that are out of order count.
+_JARO = """WITH w AS (SELECT id, x, y, greatest(0, greatest(length(x), length(y)) // 2 - 1) AS reach FROM ({pairs})),
+  m AS (SELECT *, list_reduce(list_transform(range(0, length(x) + 1), lambda i: CASE WHEN i = 0 THEN []::BIGINT[] ELSE [i] END), lambda acc, i: list_append(acc, coalesce(list_min(
+      list_filter(range(greatest(1, i[1] - reach), least(length(y), i[1] + reach) + 1), lambda j: y[j] = x[i[1]] AND NOT list_contains(acc, j))), 0))) AS js FROM w),
+  c AS (SELECT *, list_filter(range(1, length(x) + 1), lambda i: js[i] > 0) AS li, list_sort(list_filter(js, lambda j: j > 0)) AS lj FROM m),
+  r AS (SELECT *, len(li) AS k, len(list_filter(range(1, len(li) + 1), lambda q: x[li[q]] <> y[lj[q]])) / 2.0::DOUBLE AS half,
+    CASE WHEN x[1] <> y[1] THEN 0 WHEN x[2] <> y[2] THEN least(1, length(x), length(y)) WHEN x[3] <> y[3] THEN least(2, length(x), length(y)) WHEN x[4] <> y[4] THEN least(3, length(x), length(y)) ELSE least(4, length(x), length(y)) END AS prefix FROM c),
+  z AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE (k / length(x)::DOUBLE + k / length(y)::DOUBLE + (k - half) / k) / 3 END AS jaro FROM r),
+  jw AS (SELECT id, x, y, CASE WHEN x = y THEN 1.0::DOUBLE WHEN k = 0 THEN 0.0::DOUBLE ELSE jaro + prefix * 0.1::DOUBLE * (1 - jaro) END AS jw FROM z)"""
+_SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda q: q <> '')), ' ')"
+
+
 def _oracle_sql() -> dict[str, str]:
     d = lambda e: f"SELECT id, {e} AS result FROM ({_D})"
     return {
@@ -388,6 +485,31 @@ def _oracle_sql() -> dict[str, str]:
         "auto_select": f"{_KEEP} SELECT DISTINCT tid AS id FROM k WHERE rn > 1",
         "marked_summary": f"""{_T}, {_G} SELECT gid AS group_id, count(*) AS copies, count(*) FILTER (tid % 3 = 0) AS marked, coalesce(sum(file_size) FILTER (tid % 3 = 0), 0)::BIGINT AS marked_bytes, bool_and(tid % 3 = 0) AS every_copy_marked FROM m JOIN tracks ON tid = id GROUP BY gid""",
         "drop_copies": f"{_T}, {_G} SELECT gid AS id, count(*) AS n FROM m WHERE tid % 5 <> 0 GROUP BY gid HAVING count(*) > 1",
+        "normalise_dj": f"SELECT id, t AS title, a AS artist, f AS featured, r AS removed FROM ({_normal_form(False)})",
+        "normalise_aggressive": f"SELECT id, t AS title, a AS artist, f AS featured, r AS removed FROM ({_normal_form(True)})",
+        "txt_featured_credit": d("CASE WHEN id % 10 IN (4, 5) THEN 'Someone' ELSE '-' END"),
+        "txt_fold_diacritics": f"{_T} SELECT id, strip_accents(replace(replace(replace(replace(replace(title, 'ß', 'ss'), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l')) AS result FROM tracks",
+        "similarity_jaro_winkler": _JARO.format(pairs="SELECT p_partkey AS id, p_name AS x, reverse(p_name) AS y FROM part UNION ALL SELECT -p_partkey, p_name, p_brand FROM part") + f"""
+            SELECT a.id, round(a.jw, 6) AS jw, round(greatest(b.jw, CASE WHEN b.x = b.y THEN 1.0::DOUBLE ELSE 1 - levenshtein({_SORTED.format('b.x')}, {_SORTED.format('b.y')})::DOUBLE / greatest(length({_SORTED.format('b.x')}), length({_SORTED.format('b.y')})) END), 6) AS fuzzy
+            FROM jw a JOIN jw b ON b.id = -a.id WHERE a.id > 0""",
+        "match_groups_anchored": f"WITH RECURSIVE tracks AS ({_DOC}), {_F}, {_EDGES}, " + _groups(True).format(ids="ids", confidence="confidence", reasons="string_split(why.reasons, ',')"),
+        "match_groups_components": f"WITH RECURSIVE tracks AS ({_DOC}), {_F}, {_EDGES}, " + _flat(_groups(False)),
+        "match_groups_dj": f"WITH RECURSIVE f AS ({_normal_form(False)}), {_DJ_EDGES}, " + _flat(_groups(True)),
+        "match_pairs_format": """SELECT a.p_partkey AS i, b.p_partkey AS j, 1.0::DOUBLE AS score, '1,5' AS reasons FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey % 3 = b.p_partkey % 3 AND a.p_partkey < b.p_partkey""",
+        "match_pairs_swapped": """WITH s AS (SELECT p_partkey AS id, lower(CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END) AS t, lower(CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_brand END) AS a FROM part)
+            SELECT x.id AS i, y.id AS j, 1.0::DOUBLE AS score, CASE WHEN x.t = y.t THEN '1,5' ELSE '1,5,13' END AS reasons FROM s x JOIN s y ON x.id < y.id AND least(x.t, x.a) = least(y.t, y.a) AND greatest(x.t, x.a) = greatest(y.t, y.a)""",
+        "match_pairs_extra": """WITH r AS (SELECT a.p_partkey AS i, b.p_partkey AS j, (1950 + a.p_size)::VARCHAR AS x, (1950 + b.p_size)::VARCHAR AS y FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey)
+            SELECT i, j, round((0.85::DOUBLE + 0.1::DOUBLE * (1 - levenshtein(x, y) / 4.0::DOUBLE) + 0.1::DOUBLE) / 1.05::DOUBLE, 6) AS score, '1,5,12' AS reasons FROM r WHERE 1 - levenshtein(x, y) / 4.0::DOUBLE >= 0.7""",
+        "keepers_default": f"""{_T}, {_G}, k AS (SELECT gid, tid, row_number() OVER (PARTITION BY gid ORDER BY (format IN ('alac', 'flac', 'aiff', 'wav'))::INT DESC, bitrate DESC NULLS LAST, duration DESC NULLS LAST,
+              ((title <> '')::INT + (artist <> '')::INT * 2 + (album <> '')::INT * 2) DESC, pos) AS rn, count(*) OVER (PARTITION BY gid) AS n FROM m JOIN tracks ON tid = id) SELECT gid AS group_id, tid AS keeper, n - 1 AS n_others FROM k WHERE rn = 1""",
+        "marks_chosen": f"""{_KEEP}, c AS (SELECT id FROM tracks WHERE id % 3 = 0 AND id NOT IN (SELECT tid FROM k WHERE rn = 1) UNION SELECT tid FROM k WHERE rn > 1), s AS (SELECT id FROM tracks WHERE id % 7 = 0),
+            t AS (SELECT id FROM c WHERE id NOT IN (SELECT id FROM s) UNION SELECT id FROM s WHERE id NOT IN (SELECT id FROM c)) SELECT id, id IN (SELECT tid FROM m) AS in_group FROM t""",
+        "marks_valid": f"{_T}, {_G} SELECT DISTINCT tid AS id FROM m WHERE tid % 3 = 0",
+        "filled_tags": f"{_T} SELECT id, ((title <> '')::INT + (artist <> '')::INT * 2 + (album <> '')::INT * 2)::INT AS filled FROM tracks",
+        "restore_groups": f"""WITH g AS (SELECT lower(p_name) AS t, lower(p_brand) AS a, list_sort(list(p_partkey)) AS ids FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 10 = 0 GROUP BY 1, 2 HAVING count(*) > 1)
+            SELECT row_number() OVER (ORDER BY a, t) - 1 AS id, {_LIST.format('ids')} AS track_ids FROM g""",
+        "group_headings": f"""{_T}, {_G} SELECT gid AS group_id, CASE WHEN artist <> '' THEN artist || ' – ' || title ELSE title END AS title,
+            len(track_ids) || ' copies · ' || round(confidence * 100)::INT || '% · Same title · Same artist' AS detail FROM g JOIN tracks ON gid = id""",
         "removal_plan": f"{_T} SELECT id AS track_id, path AS source, '/removed' || path AS destination FROM tracks WHERE id % 3 = 0",
         "removal_collisions": f"{_T} SELECT id AS track_id, '/removed' || path AS destination FROM tracks WHERE id % 3 = 0 AND path LIKE '/lib/src1/%' ORDER BY id LIMIT 1",
         "tag_compare": """WITH t AS (SELECT c_custkey AS pair_id, c_custkey % 2 = 0 AS even, c_name, c_mktsegment FROM customer), x AS (
