@@ -153,7 +153,7 @@ def test_probabilities_sum_to_one(spark):
     over = np.where(np.arange(backs.shape[1]) < mids, 1.0, backs)
     anchor = np.arange(backs.shape[1]) % mids
     total = sum(over[k] * backs[k][anchor] * t.unknown() for k, t in enumerate(kept))
-    for r in known.collect():
+    for r in pitman_yor.with_lists(known).collect():
         mid = np.zeros((len(kept), mids))
         mid[:, r.anchors] = np.array(r.mid).reshape(-1, len(kept)).T
         total += sum(over[k] * (mid[k][anchor] + backs[k][anchor] * r.top[k]) for k in range(len(kept)))
