@@ -15,7 +15,7 @@ from .functions import display as D
 from .functions import similarity as S
 from .functions import text as X
 from .operators import engine, keepers, removal, tags
-from .options import AGGRESSIVE, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, TIDY, ExtraFieldRule, FieldRule, MatchCriteria, NormalisationOptions, recognise_preset, save_preset
+from .options import AGGRESSIVE, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, TIDY, ExtraFieldRule, FieldRule, MatchCriteria, NormalisationOptions, Settings, parse_order, recognise_preset, save_preset
 from .plans.normalise import normalise
 from .sources import scan
 
@@ -129,13 +129,13 @@ _NORMALISED = (
 
 
 def _normalised(spark: SparkSession, _: str) -> DataFrame:
-    """Each row by its own options."""
+    """Each row by its own options; rows with the same ones go together."""
     out = None
-    for name, options, title, artist, stem, _expected in _NORMALISED:
-        row = spark.createDataFrame([(name, title, artist, stem)], "name string, title string, artist string, stem string")
-        n = normalise(row, options, stem=F.col("stem") if options.filename_fallback else None)
-        one = n.select("name", F.concat_ws(" / ", "n.title", _joined(F.col("n.primary")), _joined(F.col("n.featured")), _joined(F.col("n.removed"))).alias("result"))
-        out = one if out is None else out.union(one)
+    for options in dict.fromkeys(o for _, o, *_ in _NORMALISED):
+        rows = spark.createDataFrame([(name, *texts) for name, o, *texts, _expected in _NORMALISED if o == options], "name string, title string, artist string, stem string")
+        n = normalise(rows, options, stem=F.col("stem") if options.filename_fallback else None)
+        some = n.select("name", F.concat_ws(" / ", "n.title", _joined(F.col("n.primary")), _joined(F.col("n.featured")), _joined(F.col("n.removed"))).alias("result"))
+        out = some if out is None else out.union(some)
     return out
 
 
@@ -194,7 +194,7 @@ def _removals(spark: SparkSession, _: str) -> DataFrame:
     seen: list[int] = []
     done = removal.execute(removal.plan(tracks, "/out"), files, seen.append)
     out = [(f"moved {r['trackID']}", r["destination"]) for r in done.records] + [(f"failed {f['trackID']}", f["message"]) for f in done.failures]
-    out += [("progress", ",".join(map(str, seen))), ("summary", removal.summary(done)), ("mode", done.mode)]
+    out += [("progress", ",".join(map(str, seen))), ("summary", removal.summary(done, 5, "/out")), ("mode", done.mode)]
     log = removal.RemovalLog([done])
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "log.json")
@@ -207,6 +207,7 @@ def _removals(spark: SparkSession, _: str) -> DataFrame:
     files.paths.remove("/out/m 2/b.mp3")
     files.paths.add("/z/u.mp3")
     restored, failures = removal.undo(done, files)
+    out.append(("put back", removal.restored_summary(len(restored), len(failures))))
     out += [("restored", ",".join(str(r["trackID"]) for r in restored)), ("not restored", ",".join(str(f["trackID"]) for f in failures))]
     log.mark_undone(done.id, "2020-01-01T00:00:00Z", failures)
     log.mark_undone(done.id, "2021-01-01T00:00:00Z", [])
@@ -218,8 +219,8 @@ def _removals(spark: SparkSession, _: str) -> DataFrame:
 
 _REMOVALS = (
     ("moved 1", "/out/m/a 2.mp3"), ("moved 2", "/out/m 2/b.mp3"), ("moved 3", "/out/z/u.mp3"), ("moved 5", "/out/m/e.mp3"), ("failed 4", "locked"), ("progress", "1,2,3,4,5"),
-    ("summary", "Moved 4 files; 1 couldn't be moved."), ("mode", "folder"), ("read back", "true"), ("set aside", "None log.json.unreadable False"),
-    ("restored", "5,1"), ("not restored", "3,2"), ("undone at", "2020-01-01T00:00:00Z"), ("undoable", "None"), ("cancelled", "0"),
+    ("summary", "Moved 4 files to “out”. 1 file couldn't be moved."), ("mode", "folder"), ("read back", "true"), ("set aside", "None log.json.unreadable False"),
+    ("put back", "Put back 2 files. 2 files couldn't be put back."), ("restored", "5,1"), ("not restored", "3,2"), ("undone at", "2020-01-01T00:00:00Z"), ("undoable", "None"), ("cancelled", "0"),
 )
 
 
@@ -237,7 +238,10 @@ def _settings(spark: SparkSession, _: str) -> DataFrame:
     criteria = replace(LOOSE, extra_fields=(ExtraFieldRule("genre", FieldRule("similar")),))
     saved = save_preset(save_preset(save_preset([], criteria, " set 10 "), STANDARD, "set 9"), LOOSE, "  ")
     again = save_preset(saved, LOOSE, "set 9")
+    settings = Settings(criteria, ("title", "tag:MOOD"), (("path_contains", "x"),), tuple(saved), ("tag:a:b", False), 0.5)
     rows = [
+        ("settings", str(Settings.from_json(settings.to_json()) == settings)), ("orders", " ".join(f"{o}={a}" for o, a in map(parse_order, ("copies", "column:title:descending", "column:what:ascending", "column:title", "")))),
+        ("defaults", f"{len(Settings.from_json('{').columns)} {Settings.from_json('{}').keeper_rules[0][0]} {Settings.from_json(None).order[0]} {Settings.from_json('[]').minimum_confidence}"),
         ("round trip", str(MatchCriteria.from_json(criteria.to_json()) == criteria)), ("unreadable", str(MatchCriteria.from_json("{") == STANDARD)),
         ("names", "|".join(n for n, _ in saved)), ("replaced", "|".join(n for n, c in again if c == LOOSE)), ("recognised", f"{recognise_preset(criteria, saved)} {recognise_preset(LOOSE, saved)} {recognise_preset(replace(LOOSE, album='same'), saved)}"),
         ("thresholds", " ".join(str(FieldRule(x).threshold) for x in ("similar", "fuzzy", "same", "identical"))), ("standard", f"{STANDARD.title.level} {STANDARD.artist.level} {STANDARD.duration_tolerance} {STANDARD.require_anchor_match}"),
@@ -246,6 +250,7 @@ def _settings(spark: SparkSession, _: str) -> DataFrame:
 
 
 _SETTINGS = (
+    ("settings", "True"), ("orders", "copies=True title=False confidence=True confidence=True confidence=True"), ("defaults", "12 prefer_lossless confidence 0.0"),
     ("round trip", "True"), ("unreadable", "True"), ("names", "set 9|set 10"), ("replaced", "set 9"), ("recognised", "set 10 loose None"), ("thresholds", "0.9 0.8 1.0 1.0"), ("standard", "same same 3.0 True"),
 )
 
@@ -257,6 +262,53 @@ _KEEPERS = (
 )
 
 
+def _removed_marks(spark: SparkSession, _: str) -> DataFrame:
+    """Marked copies of two groups go, but for one that is locked."""
+    rows = [(1, "/m/a.mp3", "/m"), (2, "/m/b.mp3", "/m"), (3, "/m/c.mp3", "/m"), (4, "/m/locked.mp3", "/m"), (5, "/m/e.mp3", "/m")]
+    tracks = spark.createDataFrame(rows, "id long, path string, scan_root string")
+    groups = spark.createDataFrame([(0, [1, 2, 3], 0.9, ["sameTitle"]), (1, [4, 5], 0.9, ["sameTitle"])], "id long, track_ids array<long>, confidence double, reasons array<string>")
+    marks, log = spark.createDataFrame([(1,), (4,), (5,)], "id long"), removal.RemovalLog()
+    report = removal.remove_marked(groups, tracks, marks, _Files(*[p for _, p, _ in rows]), log)
+    left = [("group", f"{g.id}: {g.track_ids}") for g in report.groups.collect()] + [("mark", str(m.id)) for m in report.marks.collect()]
+    again = removal.remove_marked(groups, tracks, marks.limit(0), _Files(), log)
+    return spark.createDataFrame([("text", report.text), ("finished", str(report.finished)), ("logged", str(len(log.operations))), ("nothing marked", str(again)), *left], "step string, result string")
+
+
+_REMOVED_MARKS = (("text", "Moved 2 files to the Bin. 1 file couldn't be moved."), ("finished", "True"), ("logged", "1"), ("nothing marked", "None"), ("group", "0: [2, 3]"))
+
+
+def _tag_writes(spark: SparkSession, _: str) -> DataFrame:
+    """Three files of which one does not open and one loses a value when it is stored."""
+    rows = [("/a", {"TITLE": ["old"], "MOOD": ["m"]}), ("/b", {"TITLE": ["b"]})]
+    metadata = spark.createDataFrame(rows, "path string, properties map<string,array<string>>")
+    wanted = spark.createDataFrame([("/a", {"TITLE": ["new", "two"], "MOOD": []}), ("/b", {"GENRE": ["g"]}), ("/c", {"TITLE": ["x"]}), ("/d", {})], "path string, changes map<string,array<string>>")
+    stored: list[DataFrame] = []
+    reread = lambda paths: stored[0].join(paths, "path").withColumn("properties", F.when(F.col("path") == "/b", F.map_filter("properties", lambda k, v: k != "GENRE")).otherwise(F.col("properties")))
+    log = tags.write(metadata, wanted, stored.append, reread)
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";"))), ",")
+    return log.select("path", F.concat_ws(" / ", F.coalesce(flat("before"), F.lit("-")), F.coalesce(flat("after"), F.lit("-")), F.coalesce("failure", F.lit("ok"))).alias("result"))
+
+
+_TAG_WRITES = (("/a", "MOOD=m,TITLE=old / MOOD=,TITLE=new;two / ok"), ("/b", "GENRE= / GENRE= / cannotStore"), ("/c", "TITLE= / TITLE= / cannotOpen"))
+
+
+def _waveforms(spark: SparkSession, _: str) -> DataFrame:
+    """A cache of two files, of which one has changed since."""
+    from .operators import waveform
+
+    files = spark.createDataFrame([("/a", 10, 5), ("/b", 20, 5)], "path string, size long, t long").withColumn("modified", F.timestamp_seconds("t")).drop("t")
+    empty = spark.createDataFrame([], "key string, version int, peaks array<double>, levels array<double>")
+    measured = spark.createDataFrame([("/a", 1, 0.5, 0.25), ("/a", 0, 1.0, 0.0), ("/b", 0, 2.0, float("nan"))], "path string, slice int, peak double, level double")
+    cache = waveform.store(waveform.store(empty, files, measured), files, measured)
+    changed = files.withColumn("size", F.when(F.col("path") == "/b", 21).otherwise(F.col("size")))
+    hits, misses = waveform.cached(changed, cache)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_number(x * 255, 0)), ",")
+    return hits.select("path", F.concat_ws(" / ", text("peaks"), text("levels")).alias("result")).union(misses.select("path", F.lit("missing"))).union(cache.select(F.lit("cache"), F.lit("entry")))
+
+
+_WAVEFORMS = (("/a", "255,128 / 0,64"), ("/b", "missing"), ("cache", "entry"), ("cache", "entry"))
+
+
 def _keepers(spark: SparkSession, _: str) -> DataFrame:
     from .schema import conform
 
@@ -272,6 +324,7 @@ def _keepers(spark: SparkSession, _: str) -> DataFrame:
 def queries() -> dict:
     return {name: case.query for name, case in CASES.items()} | {
         "case_normalise": _normalised, "case_match_pair": _pairs, "case_removal": _removals, "case_scan_roots": _roots, "case_settings": _settings, "case_keepers": _keepers,
+        "case_remove_marked": _removed_marks, "case_tag_write": _tag_writes, "case_waveform_cache": _waveforms,
     }
 
 
@@ -281,5 +334,6 @@ def oracle_sql() -> dict[str, str]:
         "case_normalise": literal_sql([(n, e) for n, *_, e in _NORMALISED], ("name", "result")),
         "case_match_pair": literal_sql([(n, e) for n, _, _, e in _PAIRS], ("name", "result")),
         "case_removal": literal_sql(list(_REMOVALS), steps), "case_scan_roots": literal_sql(list(_ROOTS), steps), "case_settings": literal_sql(list(_SETTINGS), steps),
+        "case_remove_marked": literal_sql(list(_REMOVED_MARKS), steps), "case_tag_write": literal_sql(list(_TAG_WRITES), ("path", "result")), "case_waveform_cache": literal_sql(list(_WAVEFORMS), ("path", "result")),
         "case_keepers": literal_sql([(n, k) for n, _, k in _KEEPERS], ("name", "keeper")),
     }

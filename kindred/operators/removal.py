@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import file_name
+from ..storage import materialise
 
 
 def in_folder(path: Column, folder: Column) -> Column:
@@ -189,7 +190,59 @@ def load_or_set_aside(path: str) -> tuple[dict | None, str | None]:
         return None, aside
 
 
-def summary(operation: Operation) -> str:
-    n, bad = len(operation.records), len(operation.failures)
-    done = f"Moved {n} {'file' if n == 1 else 'files'}"
-    return done + (f"; {bad} couldn't be moved." if bad else ".")
+def _files(n: int) -> str:
+    return f"{n:,} {'file' if n == 1 else 'files'}"
+
+
+def summary(operation: Operation, planned: int | None = None, folder: str | None = None) -> str:
+    """What was moved where, and what went wrong. planned: how many files the plan had, if it may have been stopped."""
+    moved, bad = len(operation.records), len(operation.failures)
+    place = f"“{folder.rstrip('/').rpartition('/')[2]}”" if folder else "the Bin"
+    if planned is not None and moved + bad < planned:
+        done = f"Stopped after moving {moved:,} of {_files(planned)} to {place}."
+    elif not moved:
+        return "The file couldn't be moved." if bad == 1 else f"None of the {bad:,} files could be moved."
+    else:
+        done = f"Moved {_files(moved)} to {place}."
+    return done + (f" {_files(bad)} couldn't be moved." if bad else "")
+
+
+def restored_summary(restored: int, failed: int) -> str:
+    if not failed:
+        return f"Put back {_files(restored)}."
+    if not restored:
+        return "The file couldn't be put back." if failed == 1 else f"None of the {failed:,} files could be put back."
+    return f"Put back {_files(restored)}. {_files(failed)} couldn't be put back."
+
+
+@dataclass
+class Report:
+    """After a removal: what it says, the groups and marks that are left, and whether every file of the plan was tried."""
+
+    text: str
+    operation: Operation
+    groups: DataFrame
+    marks: DataFrame
+    finished: bool
+
+
+def remove_marked(
+    groups: DataFrame, tracks: DataFrame, marks: DataFrame, mover: Mover, log: RemovalLog, folder: str | None = None,
+    progress: Callable[[int], None] | None = None, cancelled: Callable[[], bool] = lambda: False,
+) -> Report | None:
+    """Moves the marked tracks (``id``) away, in the order of ids; None if nothing is marked.
+
+    What was moved leaves the groups and the marks, and the operation goes to the log if it did anything.
+    """
+    from .views import drop_copies
+
+    planned = materialise(plan(tracks.join(marks.select("id").distinct(), "id", "left_semi"), folder))
+    if not (n := planned.count()):
+        return None
+    operation = execute(planned, mover, progress, cancelled)
+    if operation.records or operation.failures:
+        log.append(operation)
+    moved = tracks.sparkSession.createDataFrame([(r["trackID"],) for r in operation.records], "id long")
+    left = materialise(drop_copies(groups, moved))
+    marked = marks.select("id").distinct().join(moved, "id", "left_anti").join(left.select(F.explode("track_ids").alias("id")), "id", "left_semi")
+    return Report(summary(operation, n, folder), operation, left, marked, len(operation.records) + len(operation.failures) == n)

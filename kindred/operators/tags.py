@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 # Descriptive tags in their order, with their names.
 DESCRIPTIVE = {
     "TITLE": "Title", "ARTIST": "Artist", "ALBUMARTIST": "Album Artist", "ALBUM": "Album",
@@ -66,3 +68,20 @@ def default_destination(copies: Column, marked: Column, source: Column) -> Colum
     free = F.filter(others, lambda x: ~F.array_contains(marked, x))
     only = F.when((F.size(unmarked) == 1) & (F.get(unmarked, F.lit(0)) != source), F.get(unmarked, F.lit(0)))
     return F.coalesce(only, F.get(free, F.lit(0)), F.get(others, F.lit(0)))
+
+
+def write(metadata: DataFrame, wanted: DataFrame, save, reread) -> DataFrame:
+    """Writes tags, reads them again and gives the log: ``path, before, after, failure``.
+
+    metadata: ``path, properties``; wanted: ``path, changes`` (values per key, none to remove it), keys without a change are left out of
+    the log. save(``path, properties``) stores the new tags; reread(``path``) gives ``path, properties`` of the files that open.
+    failure: null, ``cannotOpen`` if a file is not read before or after, ``cannotStore`` if a value is not what was written.
+    """
+    some = wanted.filter(F.size("changes") > 0)
+    planned = materialise(some.join(metadata, "path", "left").select("path", "changes", "properties", written(F.col("properties"), F.col("changes")).alias("expected")))
+    save(planned.filter("properties IS NOT NULL").select("path", F.col("expected").alias("properties")))
+    again = reread(planned.select("path")).select("path", F.col("properties").alias("now"))
+    of = lambda tags: F.map_from_entries(F.transform(F.array_sort(F.map_keys("changes")), lambda k: F.struct(k, F.coalesce(F.element_at(tags, k), F.expr(NO_VALUES)))))
+    sorted_tags = lambda tags: F.array_sort(F.map_entries(tags))
+    failure = F.when(F.col("properties").isNull() | F.col("now").isNull(), "cannotOpen").when(sorted_tags("now") != sorted_tags("expected"), "cannotStore")
+    return planned.join(again, "path", "left").select("path", of(F.col("properties")).alias("before"), of(F.col("now")).alias("after"), failure.alias("failure"))

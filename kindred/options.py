@@ -132,3 +132,59 @@ def save_preset(presets: list[tuple[str, MatchCriteria]], criteria: MatchCriteri
 def recognise_preset(criteria: MatchCriteria, saved: list[tuple[str, MatchCriteria]]) -> str | None:
     """The name of the preset that the criteria equal, built-in ones first."""
     return next((name for name, c in [*PRESETS.items(), *saved] if c == criteria), None)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a user keeps between sessions; anything that cannot be read has its default."""
+
+    criteria: MatchCriteria = STANDARD
+    columns: tuple[str, ...] = ()
+    keeper_rules: tuple[tuple[str, str | None], ...] = ()
+    presets: tuple[tuple[str, MatchCriteria], ...] = ()
+    order: tuple[str, bool] = ("confidence", True)
+    minimum_confidence: float = 0.0
+
+    def to_json(self) -> str:
+        return json.dumps({
+            "criteria": asdict(self.criteria), "columns": self.columns, "keeperRules": self.keeper_rules, "presets": [[n, asdict(c)] for n, c in self.presets],
+            "order": order_text(*self.order), "minimumConfidence": self.minimum_confidence,
+        }, sort_keys=True, indent=2)
+
+    @staticmethod
+    def from_json(text: str | None) -> Settings:
+        from .functions.display import DEFAULT_COLUMNS, parse_column
+        from .operators.keepers import DEFAULT_RULES
+
+        def part(name, read, otherwise):
+            try:
+                return read(raw[name])
+            except (KeyError, TypeError, ValueError):
+                return otherwise
+
+        try:
+            raw = json.loads(text or "")
+        except ValueError:
+            raw = {}
+        criteria = lambda c: MatchCriteria.from_json(json.dumps(c))
+        return Settings(
+            part("criteria", criteria, STANDARD), part("columns", lambda x: tuple(c for c in map(parse_column, x) if c), DEFAULT_COLUMNS),
+            part("keeperRules", lambda x: tuple((k, a) for k, a in x), tuple((r.kind, r.argument) for r in DEFAULT_RULES)), part("presets", lambda x: tuple((n, criteria(c)) for n, c in x), ()),
+            part("order", parse_order, ("confidence", True)), part("minimumConfidence", float, 0.0),
+        )
+
+
+def order_text(order: str, ascending: bool = True) -> str:
+    """``confidence``, ``copies`` or ``column:<id>:ascending`` or ``:descending``."""
+    return order if order in ("confidence", "copies") else f"column:{order}:{'ascending' if ascending else 'descending'}"
+
+
+def parse_order(text: str) -> tuple[str, bool]:
+    """(order, ascending) of such a text; anything else is the order by confidence."""
+    from .functions.display import parse_column
+
+    if text == "copies":
+        return text, True
+    kind, _, rest = text.partition(":")
+    column, colon, direction = rest.rpartition(":")
+    return (column, direction == "ascending") if kind == "column" and colon and parse_column(column) else ("confidence", True)

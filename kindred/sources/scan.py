@@ -6,8 +6,16 @@ metadata table (``path, properties, stream...``) that a tag reader of the caller
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import reduce
+
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import leading_number, year
 from ..operators.grouping import number_rows
@@ -17,6 +25,7 @@ from ..storage import materialise
 
 VALUE_SEPARATOR = "; "
 CACHE_VERSION = 1
+SIMPLE = (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.TimestampType)
 
 
 def scan_roots(roots: list[tuple[str, str | None]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -39,18 +48,54 @@ def rebase(path: Column, real: str, chosen: str) -> Column:
     return F.when(in_folder(path, F.lit(real)), F.concat(F.lit(base), tail)).otherwise(path)
 
 
+# Folders that are shown as one file; what lies in them belongs to it.
+PACKAGES = ("app", "bundle", "framework", "plugin", "component", "vst", "vst3", "logicx", "band", "fcpbundle", "imovielibrary", "photoslibrary", "musiclibrary", "tvlibrary", "rtfd", "pages", "key", "numbers")
+
+
+@F.pandas_udf(T.BooleanType())
+def _links(path: pd.Series, root: pd.Series) -> pd.Series:
+    """Whether a file below ``root``, or a folder on its way there, is a symbolic link."""
+    seen: dict[str, bool] = {}
+
+    def linked(at: str, root: str) -> bool:
+        if len(at) <= len(root):
+            return False
+        if at not in seen:
+            seen[at] = os.path.islink(at) or linked(os.path.dirname(at), root)
+        return seen[at]
+
+    return pd.Series([linked(p, r.rstrip("/")) for p, r in zip(path, root, strict=True)], dtype="bool")
+
+
 def list_files(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
-    """``path, scan_root, size, modified`` of the audio files below the roots: known extensions in any case, no hidden files or folders."""
+    """``path, scan_root, size, modified`` of the audio files below the roots.
+
+    Known extensions in any case; no hidden files or folders, nothing inside of packages, no symbolic links (only local folders have
+    any), so that a linked file is no copy of itself. A root that cannot be read raises; ``list_roots`` reports it.
+    """
     found = None
     for chosen, real in roots:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(real).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
         plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), r"\+", "%2B"))
         files = files.withColumn("path", plain)
         inner = F.substring("path", len(real.rstrip("/")) + 1, 1 << 30)
-        files = files.filter(extension(F.col("path")).isin(*EXTENSIONS) & ~inner.rlike(r"/\."))
+        files = files.filter(extension(F.col("path")).isin(*EXTENSIONS) & ~inner.rlike(r"/\.") & ~F.lower(inner).rlike(rf"\.({'|'.join(PACKAGES)})/"))
+        if real.startswith("/"):
+            files = files.filter(~_links(F.col("path"), F.lit(real)))
         files = files.select(rebase(F.col("path"), real, chosen).alias("path"), F.lit(chosen).alias("scan_root"), "size", "modified")
         found = files if found is None else found.union(files)
-    return found
+    return found if found is not None else spark.createDataFrame([], "path string, scan_root string, size long, modified timestamp")
+
+
+def list_roots(spark: SparkSession, roots: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(files of the roots that can be read, written; issues ``(root, message)`` of the others)."""
+    found, problems = [], []
+    for root in roots:
+        try:
+            found.append(materialise(list_files(spark, [root])))
+        except (PySparkException, Py4JJavaError) as e:
+            problems.append((root[0], f"Couldn't read this: {str(e).splitlines()[0]}"))
+    return reduce(DataFrame.union, found) if found else list_files(spark, []), problems
 
 
 def decoded_duration(frames: Column, rate: Column) -> Column:
@@ -133,21 +178,34 @@ def evict(cache: DataFrame, roots: list[str], files: DataFrame) -> DataFrame:
 
 
 def save_cache(cache: DataFrame, path: str) -> None:
-    """Written beside the old one and read back through the version column; the cache may be read from ``path`` itself."""
-    materialise(cache).withColumn("cache_version", F.lit(CACHE_VERSION)).write.mode("overwrite").parquet(path)
+    """Written beside the old one (from which it may be read) and put in its place by two renames: a stop in between leaves no cache, never a part of one."""
+    spark = cache.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    new, old = (f"{path.rstrip('/')}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    cache.withColumn("cache_version", F.lit(CACHE_VERSION)).write.parquet(new)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    files.rename(at(new), at(path))
+    files.delete(at(old), True)
 
 
 def load_cache(spark: SparkSession, path: str, schema) -> DataFrame:
     """The cache; a missing, unreadable or older one is empty."""
-    from pyspark.errors import AnalysisException
-
     try:
-        found = spark.read.parquet(path)
-        return found.filter(F.col("cache_version") == CACHE_VERSION).drop("cache_version").select(*schema.fieldNames())
-    except AnalysisException:
+        found = spark.read.parquet(path).filter(F.col("cache_version") == CACHE_VERSION).select(*schema.fieldNames())
+        found.groupBy().agg(*[F.max(F.hash(c) if isinstance(f.dataType, SIMPLE) else F.lit(0)) for c, f in zip(found.columns, schema.fields, strict=True)]).collect()  # reads every page
+        return found
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
 
 
+def is_changed(before: DataFrame, after: DataFrame) -> bool:
+    """Whether a cache differs from what was loaded, in paths, sizes or times: only then it is saved."""
+    key = ["path", "file_size", "modified"]
+    return not before.select(*key).exceptAll(after.select(*key)).isEmpty() or not after.select(*key).exceptAll(before.select(*key)).isEmpty()
+
+
 def scan(files: DataFrame, cache: DataFrame, read) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tracks, issues, new cache). read: a function from the files that are not cached to ``build_tracks`` rows."""
     fresh = materialise(read(to_read(files, cache)))

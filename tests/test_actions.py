@@ -99,7 +99,7 @@ def test_removal(spark, tmp_path):
     content, aside = removal.load_or_set_aside(path)
     assert content is None and os.path.exists(aside) and not os.path.exists(path)
     stop = removal.execute(removal.plan(t), Files([r.path for r in t.collect()]), cancelled=lambda: True)
-    assert stop.records == [] and removal.summary(done) == "Moved 4 files; 1 couldn't be moved."
+    assert stop.records == [] and removal.summary(done, 5, "/out/") == "Moved 4 files to “out”. 1 file couldn't be moved."
 
 
 def test_tags(spark):
@@ -129,10 +129,15 @@ def test_scan(spark, tmp_path):
     kept, missing = scan.scan_roots([("/a/b", "/r/b"), ("/a", "/r"), ("/gone", None), ("/rx", "/rx"), ("/again", "/r")])
     assert kept == [("/a", "/r"), ("/rx", "/rx")] and [p for p, _ in missing] == ["/gone"]
     real = tmp_path / "music"
-    for name in ("a b.MP3", "sub/c+d.flac", "note.txt", ".hidden/e.mp3", "sub/.f.mp3"):
+    for name in ("a b.MP3", "sub/c+d.flac", "note.txt", ".hidden/e.mp3", "sub/.f.mp3", "Song.logicx/Audio/g.wav"):
         (real / name).parent.mkdir(parents=True, exist_ok=True)
         (real / name).write_bytes(b"x" * 7)
+    (real / "link.mp3").symlink_to(real / "a b.MP3")
+    (real / "linked").symlink_to(real / "sub")
     files = scan.list_files(spark, [("/chosen", str(real))])
+    both, unread = scan.list_roots(spark, [("/chosen", str(real)), ("/gone", str(tmp_path / "gone"))])
+    assert both.count() == 2 and [p for p, m in unread] == ["/gone"] and unread[0][1].startswith("Couldn't read this: ")
+    assert scan.list_files(spark, []).count() == 0
     assert sorted((r.path, r.scan_root, r.size) for r in files.collect()) == [("/chosen/a b.MP3", "/chosen", 7), ("/chosen/sub/c+d.flac", "/chosen", 7)]
 
     def read(paths):
@@ -148,6 +153,13 @@ def test_scan(spark, tmp_path):
     assert [r.message for r in problems.collect()] == ["bad"]
     scan.save_cache(cache, str(tmp_path / "cache"))
     again = scan.load_cache(spark, str(tmp_path / "cache"), kept_fields)
+    assert not scan.is_changed(cache, again) and scan.is_changed(empty, again)
+    scan.save_cache(again, str(tmp_path / "cache"))  # from itself
+    assert scan.load_cache(spark, str(tmp_path / "cache"), kept_fields).count() == 1 and [p.name for p in tmp_path.iterdir() if p.name.startswith("cache-")] == []
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet")
+    assert scan.load_cache(spark, str(tmp_path / "broken"), kept_fields).count() == 0
+    again = scan.load_cache(spark, str(tmp_path / "cache"), kept_fields)
     assert scan.to_read(files, again).count() == 1 and scan.cache_hits(files, again).count() == 1
     assert scan.evict(again, ["/chosen"], files.limit(0)).count() == 0 and scan.evict(again, ["/chose"], files.limit(0)).count() == 1
     check = spark.sql("SELECT '/r/x' p").select(scan.rebase(F.col("p"), "/r", "/c").alias("a"), scan.rebase(F.col("p"), "/", "/c").alias("b"), scan.rebase(F.col("p"), "/r", "/").alias("c"), scan.rebase(F.col("p"), "/q", "/c").alias("d")).first()
