@@ -28,8 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
         links = materialise(large.join(least, "a").select(F.explode(F.array(pair("a"), pair("b"))).alias("l")).select("l.a", "l.b").filter("a <> b").distinct())
-        n, children = links.agg(F.count("*"), F.count_distinct("a")).first()
-        if n == children and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        roles = links.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(links.select("b", F.lit(0), F.lit(1)))
+        nodes = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if nodes.filter("child > 1 OR child = 1 AND parent = 1").isEmpty():
             break  # every node has one parent, and no parent has one
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import credits as C
 from ..functions import text as X
 from ..options import NormalisationOptions
+from ..storage import spread
 
 NO_NAMES = "cast(array() as array<string>)"
 
@@ -27,7 +28,7 @@ def normalise(df: DataFrame, options: NormalisationOptions, title: str = "title"
     """
     t, a, removed, featured, aux = (f"_{out}_{x}" for x in ("title", "artist", "removed", "featured", "aux"))
     text, who, gone, guests, part = (F.col(x) for x in (t, a, removed, featured, aux))
-    df = df.withColumns({t: X.collapse(F.col(title)), a: X.collapse(F.col(artist)), removed: F.expr(NO_NAMES), featured: F.expr(NO_NAMES)})
+    df = spread(df).withColumns({t: X.collapse(F.col(title)), a: X.collapse(F.col(artist)), removed: F.expr(NO_NAMES), featured: F.expr(NO_NAMES)})
     raw = {f"_{out}_raw_title": text, f"_{out}_raw_artist": who}
     df = df.withColumns(raw)
 

@@ -489,9 +489,9 @@ def _oracle_sql() -> dict[str, str]:
         "normalise_aggressive": f"SELECT id, t AS title, a AS artist, f AS featured, r AS removed FROM ({_normal_form(True)})",
         "txt_featured_credit": d("CASE WHEN id % 10 IN (4, 5) THEN 'Someone' ELSE '-' END"),
         "txt_fold_diacritics": f"{_T} SELECT id, strip_accents(replace(replace(replace(replace(replace(title, 'ß', 'ss'), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l')) AS result FROM tracks",
-        "similarity_jaro_winkler": _JARO.format(pairs="SELECT p_partkey AS id, p_name AS x, reverse(p_name) AS y FROM part UNION ALL SELECT -p_partkey, p_name, p_brand FROM part") + f"""
-            SELECT a.id, round(a.jw, 6) AS jw, round(greatest(b.jw, CASE WHEN b.x = b.y THEN 1.0::DOUBLE ELSE 1 - levenshtein({_SORTED.format('b.x')}, {_SORTED.format('b.y')})::DOUBLE / greatest(length({_SORTED.format('b.x')}), length({_SORTED.format('b.y')})) END), 6) AS fuzzy
-            FROM jw a JOIN jw b ON b.id = -a.id WHERE a.id > 0""",
+        "similarity_jaro_winkler": _JARO.format(pairs="SELECT 2 * p_partkey AS id, p_name AS x, reverse(p_name) AS y FROM part UNION ALL SELECT 2 * p_partkey + 1, p_name, p_brand FROM part") + f"""
+            SELECT a.id // 2 AS id, round(a.jw, 6) AS jw, round(greatest(b.jw, CASE WHEN b.x = b.y THEN 1.0::DOUBLE ELSE 1 - levenshtein({_SORTED.format('b.x')}, {_SORTED.format('b.y')})::DOUBLE / greatest(length({_SORTED.format('b.x')}), length({_SORTED.format('b.y')})) END), 6) AS fuzzy
+            FROM jw a JOIN jw b ON b.id = a.id + 1 WHERE a.id % 2 = 0""",
         "match_groups_anchored": f"WITH RECURSIVE tracks AS ({_DOC}), {_F}, {_EDGES}, " + _groups(True).format(ids="ids", confidence="confidence", reasons="string_split(why.reasons, ',')"),
         "match_groups_components": f"WITH RECURSIVE tracks AS ({_DOC}), {_F}, {_EDGES}, " + _flat(_groups(False)),
         "match_groups_dj": f"WITH RECURSIVE f AS ({_normal_form(False)}), {_DJ_EDGES}, " + _flat(_groups(True)),

@@ -40,6 +40,13 @@ def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than there are: for small tables whose rows cost more than their shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tables() -> list[str]:
     """The folders of the tables that this process has written and not released."""
     return list(_TABLES)
