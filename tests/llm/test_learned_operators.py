@@ -49,6 +49,59 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_severity_equals_the_plain_formula(spark):
+    model = toxicity.Ordinal({b"bad$": 1.5, b"badwo": 0.75, b"badwor": -0.25, b"nice$": -2.0}, np.array([0.5, 2.0]))
+    texts = ["bad", "Bad NICE bad", "badword badwords", "", None, "nothing here", "nice-bad", "x" * 100000]
+
+    def plain(text):
+        words = set(re.sub("[^a-z]+", " ", (text or "").lower()).split())
+        found = {f for w in words for f in (w + "$", *(w[:n] for n in (5, 6, 7, 8) if len(w) >= n))}
+        score = sum(model.weights.get(f.encode(), 0.0) for f in found)
+        above = [1 - 1 / (1 + math.exp(-(cut - score))) for cut in model.thresholds]
+        return sum(above), above[0]
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    got = {r.doc_id: (r.severity, r.p_toxic) for r in toxicity.score(docs, model).collect()}
+    assert len(got) == 9 and all(np.allclose(got[i], plain(t)) for i, t in enumerate(texts)) and got[8] == got[0]
+
+
+def test_samples_stay_bounded_when_one_id_has_most_rows(spark):
+    docs = spark.range(20000).selectExpr("CASE WHEN id < 15000 THEN 1 ELSE id END AS doc_id", "'some words' AS text", "'en' AS lang", "false AS held_out")
+    marks = spark.range(3000).selectExpr("CASE WHEN id < 2500 THEN 1 ELSE id + 16000 END AS doc_id", "1 AS toxic").union(spark.range(16000, 19000).selectExpr("id", "0"))
+    n = {r.toxic: r["count"] for r in toxicity.labelled_sample(docs, marks, 200).groupBy("toxic").count().collect()}
+    assert 100 < n[True] < 320 and 100 < n[False] < 320
+
+
+def test_forward_pass_equals_plain_loops():
+    net = language_id.Network(["a", "b", "c"], seed=4)
+    rng = np.random.default_rng(5)
+    lengths = np.array([language_id.WINDOW, 5, language_id.WINDOW - 1])
+    windows = rng.integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    for d in (net.ahead, net.behind):
+        d.c += rng.standard_normal(d.c.shape).astype(np.float32)
+    h = language_id.HIDDEN
+
+    def states(d, data):
+        now, out = [0.0] * h, []
+        for byte in data:
+            gate = lambda k: 1 / (1 + math.exp(-(d.x[k, byte] + sum(d.u[k, j] * now[j] for j in range(h)))))  # noqa: E731, B023
+            own = [d.c[k, 0] + sum(d.u[2 * h + k, j] * now[j] for j in range(h)) for k in range(h)]
+            new = [math.tanh(d.x[2 * h + k, byte] + gate(k) * own[k]) for k in range(h)]
+            now = [new[k] + gate(h + k) * (now[k] - new[k]) for k in range(h)]
+            out.append(now)
+        return out
+
+    pooled = net.pooled(windows, lengths)
+    for w, n, got in zip(windows, lengths, pooled):
+        first, second = states(net.ahead, w), states(net.behind, w[::-1])[::-1]
+        want = np.zeros(3)
+        for t in range(n):
+            score = net.v[:, :h] @ np.array(first[t]) + net.v[:, h:] @ np.array(second[t]) + net.b[:, 0]
+            p = np.exp(score - score.max())
+            want += p / p.sum()
+        assert np.allclose(got, want, rtol=1e-3)
+
+
 def test_network_gradients():
     language_id_window, language_id.WINDOW = language_id.WINDOW, 6
     try:
