@@ -49,6 +49,7 @@ SCALE = 256
 BINS = 32
 CORE = 0.75
 MAX_STEPS, SETTLED = 12, 0.01
+BROADCAST_GROUPS = 50_000  #: estimates of so many groups (less than 1 KB each) are broadcast; more are joined as Spark sees fit
 PRIOR = 50
 TAIL = 1e-3
 #: Least standard deviations: log words, log word length, then log(1 + percent) of symbols, repeated lines, repeated words.
@@ -188,12 +189,17 @@ def distance(prefix: str = "") -> str:
     return "(" + " + ".join(f"{prefix}q{i}{j} * {d[i]} * {d[j]} * {1 if i == j else 2}" for i, j in PAIRS) + ")"
 
 
+def _held(estimates: DataFrame, groups: int) -> DataFrame:
+    """Estimates to join with rows: broadcast if they are few, so that rows are not dealt by their group."""
+    return F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates
+
+
 def _concentrate(rows: DataFrame, pool: dict | None) -> DataFrame:
     """The MCD estimate of each ``g`` of ``rows`` (``g, _q_z0 ...``), one row each: the columns of ``_estimate``."""
     plain = " AND ".join(f"_q_z{i} = 0" for i in range(2, P))
     both = rows.groupBy("g").agg(F.struct(*_sums()).alias("a"), F.struct(*_sums(plain)).alias("b"), F.count("*").alias("size"))
     both = materialise(both)
-    sizes = both.select("g", "size")
+    sizes, n = both.select("g", "size"), both.count()
     sums = both.select("g", F.posexplode(F.array("a", "b")).alias("start", "x")).select("g", "start", "x.*")
     parts = ["n", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS], *[f"q{i}{j}" for i, j in PAIRS], "logdet"]
 
@@ -206,7 +212,7 @@ def _concentrate(rows: DataFrame, pool: dict | None) -> DataFrame:
     upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     now, last = settle(sums, 1.0), None
     for _ in range(MAX_STEPS):
-        tagged = rows.join(now, "g").selectExpr("g", *[f"_q_z{i}" for i in range(P)], f"posexplode(array({', '.join(bins)})) AS (start, bin)").filter("bin IS NOT NULL")
+        tagged = rows.join(_held(now, n), "g").selectExpr("g", *[f"_q_z{i}" for i in range(P)], f"posexplode(array({', '.join(bins)})) AS (start, bin)").filter("bin IS NOT NULL")
         binned = tagged.groupBy("g", "start", "bin").agg(*_sums())
         nearest = binned.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, "g").filter(f"before < size * {CORE}D")
         now = settle(nearest.groupBy("g", "start").agg(*[F.expr(f"sum({m}) AS {m}") for m in MOMENTS]), CONSISTENCY)
@@ -227,7 +233,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(rows: DataFrame) -> DataFrame:
     """``statistics`` rows (written) with ``_q_distance`` (null if the base rules failed) and ``_q_kept``."""
     found = estimates(rows).select(F.col("g").alias("_q_of"), *[F.col(c).alias(f"_q_{c}") for c in (*[f"m{i}" for i in range(P)], *[f"q{i}{j}" for i, j in PAIRS])])
-    joined = rows.join(found, rows["_q_g"] == found["_q_of"], "left")
+    joined = rows.join(_held(found, found.count()), rows["_q_g"] == found["_q_of"], "left")
     measured = joined.withColumn("_q_distance", F.when(~F.col("_q_failed"), F.expr(distance("_q_"))))
     return measured.withColumn("_q_kept", ~F.col("_q_failed") & (F.coalesce("_q_distance", F.lit(0.0)) <= CUTOFF)).drop(*found.columns)
 
