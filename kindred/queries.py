@@ -144,7 +144,7 @@ def _dropped(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFr
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal.plan(document_tracks(spark, sf_dir).filter("id % 3 = 0"), "/removed")
+    return removal.plan(document_tracks(spark, sf_dir), "/removed")
 
 
 def _selected_plan(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
@@ -225,11 +225,6 @@ def _normalised(options):
 
 
 def _token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys below 300 only, as in the SQL of ``similarity_token_sort``."""
-    return _token_sort_pairs(table(spark, sf_dir, "part").filter("p_partkey < 300"))
-
-
-def _token_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_sort_pairs(table(spark, sf_dir, "part"))
 
 
@@ -314,6 +309,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql() | cases.oracle_sql()
+    found["similarity_token_sort_all"] = found["similarity_token_sort"]
     return found | {f"{name}_whole": found[name].replace(_DOC, _WHOLE_DOC) for name in _ON_TITLES if name in found}
 
 
@@ -329,7 +325,7 @@ def _queries() -> dict:
         "txt_brackets": _text(lambda c: F.array_join(F.transform(C.bracket_segments(c), lambda x: C.segment_text(c, x)), "|")),
         "txt_fold_diacritics": _text(X.fold_diacritics, document_tracks), "txt_natural_order": _natural, "txt_display": _display, "txt_sizes": _sizes,
         "normalise_dj": _normalised(DJ_LIBRARY), "normalise_aggressive": _normalised(LOOSE.normalisation),
-        "similarity_token_sort": _token_sort, "similarity_token_sort_all": _token_sort_all, "similarity_jaro_winkler": _jaro_winkler,
+        "similarity_token_sort": _token_sort, "similarity_token_sort_all": _token_sort, "similarity_jaro_winkler": _jaro_winkler,
         "match_pairs_standard": _pairs(STANDARD, document_tracks),
         "match_pairs_similar": _pairs(MatchCriteria(title=FieldRule("similar", 0.6), artist=FieldRule("same"), duration_tolerance=None), part_tracks),
         "match_pairs_constraints": _pairs(MatchCriteria(track_number="different", album="same", format="any", duration_tolerance=50.0, extra_fields=(ExtraFieldRule("year", FieldRule("ignore")),)), part_tracks),
@@ -459,7 +455,7 @@ def _oracle_sql() -> dict[str, str]:
             SELECT id, CASE WHEN n < 1000 THEN n || ' bytes' WHEN n / 1e3::DOUBLE < 1000 THEN round(n / 1e3::DOUBLE)::BIGINT || ' KB' WHEN n / 1e3::DOUBLE / 1e3 < 1000 THEN printf('%.1f', n / 1e3::DOUBLE / 1e3) || ' MB'
               WHEN n / 1e3::DOUBLE / 1e3 / 1e3 < 1000 THEN printf('%.2f', n / 1e3::DOUBLE / 1e3 / 1e3) || ' GB' ELSE printf('%.2f', n / 1e3::DOUBLE / 1e3 / 1e3 / 1e3) || ' TB' END AS size,
             CASE WHEN t >= 3600 THEN (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') ELSE (t // 60)::VARCHAR END || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS duration FROM t""",
-        "similarity_token_sort": """WITH p AS (SELECT p_partkey, p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS s FROM part WHERE p_partkey < 300)
+        "similarity_token_sort": """WITH p AS (SELECT p_partkey, p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS s FROM part)
             SELECT a.p_partkey, b.p_partkey AS q_partkey, round(1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)), 6) AS ratio FROM p a JOIN p b ON substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND a.p_partkey < b.p_partkey""",
         "match_pairs_standard": f"{_T}, {_F}, {_EDGES} SELECT i, j, round(score, 6) AS score, reasons FROM e",
         "match_pairs_similar": """WITH r AS (SELECT a.p_partkey AS i, b.p_partkey AS j, a.p_name AS x, b.p_name AS y, 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS s
@@ -510,8 +506,8 @@ def _oracle_sql() -> dict[str, str]:
             SELECT row_number() OVER (ORDER BY a, t) - 1 AS id, {_LIST.format('ids')} AS track_ids FROM g""",
         "group_headings": f"""{_T}, {_G} SELECT gid AS group_id, CASE WHEN artist <> '' THEN artist || ' – ' || title ELSE title END AS title,
             len(track_ids) || ' copies · ' || round(confidence * 100)::INT || '% · Same title · Same artist' AS detail FROM g JOIN tracks ON gid = id""",
-        "removal_plan": f"{_T} SELECT id AS track_id, path AS source, '/removed' || path AS destination FROM tracks WHERE id % 3 = 0",
-        "removal_collisions": f"{_T} SELECT id AS track_id, '/removed' || path AS destination FROM tracks WHERE id % 3 = 0 AND path LIKE '/lib/src1/%' ORDER BY id LIMIT 1",
+        "removal_plan": f"{_T} SELECT id AS track_id, path AS source, '/removed' || path AS destination FROM tracks",
+        "removal_collisions": f"{_T} SELECT id AS track_id, '/removed' || path AS destination FROM tracks WHERE path LIKE '/lib/src1/%' ORDER BY id LIMIT 1",
         "tag_compare": """WITH t AS (SELECT c_custkey AS pair_id, c_custkey % 2 = 0 AS even, c_name, c_mktsegment FROM customer), x AS (
               SELECT pair_id, 0 AS pos, 'TITLE' AS key, 'Title' AS name, c_name AS source, CASE WHEN even THEN c_name ELSE '' END AS destination, NOT even AS can_copy, NOT even AS fills_gap FROM t
               UNION ALL SELECT pair_id, 1, 'GENRE', 'Genre', c_mktsegment, '', true, true FROM t UNION ALL SELECT pair_id, 2, 'MOOD', 'Mood', '', c_mktsegment, false, false FROM t
