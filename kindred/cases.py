@@ -14,7 +14,7 @@ from .functions import credits as C
 from .functions import display as D
 from .functions import similarity as S
 from .functions import text as X
-from .operators import engine, keepers, removal, tags
+from .operators import keepers, removal, tags
 from .options import AGGRESSIVE, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, TIDY, ExtraFieldRule, FieldRule, MatchCriteria, NormalisationOptions, Settings, parse_order, recognise_preset, save_preset
 from .plans.normalise import normalise
 from .sources import scan
@@ -139,33 +139,6 @@ def _normalised(spark: SparkSession, _: str) -> DataFrame:
     return out
 
 
-_TUNE = {"title": "Tune", "artist": "P", "album": "One", "year": 1999, "duration": 100.0, "format": "mp3"}
-# Criteria; what the second track changes; expected score and reasons, or "-".
-_PAIRS = (
-    ("same", STANDARD, {}, "1.0000 sameTitle sameArtist durationWithinTolerance"),
-    ("edge of tolerance", STANDARD, {"duration": 103.0}, "0.9250 sameTitle sameArtist durationWithinTolerance"),
-    ("beyond tolerance", STANDARD, {"duration": 103.1}, "-"),
-    ("no duration", STANDARD, {"duration": None}, "1.0000 sameTitle sameArtist"),
-    ("format same", replace(STANDARD, format="same"), {"format": "flac"}, "-"),
-    ("format different", replace(STANDARD, format="different"), {"format": "flac"}, "1.0000 sameTitle sameArtist durationWithinTolerance"),
-    ("extra year", replace(STANDARD, extra_fields=(ExtraFieldRule("year", FieldRule("same")),)), {}, "1.0000 sameTitle sameArtist durationWithinTolerance extraFieldsMatched"),
-    ("extra year missing", replace(STANDARD, extra_fields=(ExtraFieldRule("year", FieldRule("same")),)), {"year": None}, "-"),
-    ("extra album similar", replace(STANDARD, extra_fields=(ExtraFieldRule("album", FieldRule("similar", 0.6)),), duration_tolerance=None), {"album": "Ond"}, "0.9649 sameTitle sameArtist extraFieldsMatched"),
-    ("swapped", replace(STANDARD, detect_swapped_fields=True), {"title": "P", "artist": "Tune"}, "1.0000 sameTitle sameArtist durationWithinTolerance swappedTitleAndArtist"),
-    ("swapped off", STANDARD, {"title": "P", "artist": "Tune"}, "-"),
-    ("version ignored", replace(STANDARD, normalisation=DJ_LIBRARY), {"title": "Tune (Original Mix)"}, "1.0000 sameTitle sameArtist versionTextIgnored durationWithinTolerance"),
-    ("guest ignored", replace(STANDARD, normalisation=DJ_LIBRARY), {"artist": "P ft. Q"}, "1.0000 sameTitle sameArtist featuredArtistIgnored durationWithinTolerance"),
-    ("subset", replace(STANDARD, normalisation=DJ_LIBRARY, artist_subset_matches=True, duration_tolerance=None), {"artist": "P & Q"}, "0.9588 sameTitle artistSubset"),
-    ("identical", MatchCriteria(title=FieldRule("identical"), artist=FieldRule("identical")), {"title": "tune"}, "-"),
-    ("title only", MatchCriteria(artist=FieldRule("ignore"), duration_tolerance=None), {"artist": "Z"}, "1.0000 sameTitle"),
-)
-
-
-def _pairs(spark: SparkSession, _: str) -> DataFrame:
-    found = [(name, engine.match_pair(spark, _TUNE, {**_TUNE, **other}, criteria)) for name, criteria, other, _expected in _PAIRS]
-    return spark.createDataFrame([(name, "-" if x is None else f"{x[0]:.4f} {' '.join(x[1])}") for name, x in found], "name string, result string")
-
-
 class _Files:
     """A file system of names, with a file that cannot be moved."""
 
@@ -323,7 +296,7 @@ def _keepers(spark: SparkSession, _: str) -> DataFrame:
 
 def queries() -> dict:
     return {name: case.query for name, case in CASES.items()} | {
-        "case_normalise": _normalised, "case_match_pair": _pairs, "case_removal": _removals, "case_scan_roots": _roots, "case_settings": _settings, "case_keepers": _keepers,
+        "case_normalise": _normalised, "case_removal": _removals, "case_scan_roots": _roots, "case_settings": _settings, "case_keepers": _keepers,
         "case_remove_marked": _removed_marks, "case_tag_write": _tag_writes, "case_waveform_cache": _waveforms,
     }
 
@@ -332,7 +305,6 @@ def oracle_sql() -> dict[str, str]:
     steps = ("step", "result")
     return {name: case.sql() for name, case in CASES.items()} | {
         "case_normalise": literal_sql([(n, e) for n, *_, e in _NORMALISED], ("name", "result")),
-        "case_match_pair": literal_sql([(n, e) for n, _, _, e in _PAIRS], ("name", "result")),
         "case_removal": literal_sql(list(_REMOVALS), steps), "case_scan_roots": literal_sql(list(_ROOTS), steps), "case_settings": literal_sql(list(_SETTINGS), steps),
         "case_remove_marked": literal_sql(list(_REMOVED_MARKS), steps), "case_tag_write": literal_sql(list(_TAG_WRITES), ("path", "result")), "case_waveform_cache": literal_sql(list(_WAVEFORMS), ("path", "result")),
         "case_keepers": literal_sql([(n, k) for n, _, k in _KEEPERS], ("name", "keeper")),
