@@ -5,8 +5,9 @@ suffix links right parts.
 
 1. A shard is ``SHARD`` words of one language, in scan order, as word numbers with its own vocabulary (``DEPTH`` - 1 words more where phrases begin that end
    behind it). Shards are written: 4 bytes a word.
-2. Each shard counts the digests of its words and pairs; counts are summed in part, then by digest. A phrase that occurs often enough consists of words and pairs that do,
-   so each shard gets back which of its own are left. Digests that collide only let more through; nothing that counts is lost.
+2. Each shard counts the digests of its words; counts are summed by digest. A phrase that occurs often enough consists of words that do, so each shard gets back which of
+   its own are left, and others become breaks. The same goes for pairs. Digests that collide only let more through; nothing that counts is lost, and no
+   task holds more than its shard has.
 3. Each shard builds its trie over what is left: a node is a pair of its parent's number and a word, all nodes of a depth are numbered by one sort, and
    the paths leave the shard in order with exact counts.
 4. These runs are written, dealt by ranges of (language, path) and sorted, so a task merges the runs of all shards for its prefix range. Paths that are too rare go.
@@ -20,13 +21,14 @@ are not read; a text of any length is cut into shards; ties as in ``top``.
 
 from __future__ import annotations
 
-import uuid
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from ..storage import materialise
 DEPTH = 5
 LEAST = 100
 TOP = 2000
-SHARD = 1 << 21
+SHARD = 1 << 20
 BREAK = b"\xff"  # no byte of UTF-8
 
 
@@ -50,7 +52,7 @@ def _bytes() -> bytes:
 
 
 BYTES = _bytes()
-SHARDS = "shard string, lang string, own long, n_words long, words array<binary>, ids binary"
+SHARDS = "shard long, lang string, own long, n_words long, words array<binary>, ids binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,17 +63,18 @@ def words_of(text: str | None) -> list[bytes]:
 def shards(docs: DataFrame, size: int = SHARD, depth: int = DEPTH) -> DataFrame:
     """``SHARDS``: phrases that begin at the first ``own`` of ``ids`` (32-bit numbers into ``words``; 0 is a break) belong to the shard."""
 
-    def row(lang: str, numbers: dict, ids: np.ndarray, own: int) -> pa.RecordBatch:
+    def row(names: Iterator[int], lang: str, numbers: dict, ids: np.ndarray, own: int) -> pa.RecordBatch:
         used, small = np.unique(ids, return_inverse=True)
         vocabulary = list(numbers)
         words = [vocabulary[u] for u in used]
         if words[0] != BREAK:  # 0 stays the break
             words, small = [BREAK, *words], small + 1
-        values = [uuid.uuid4().hex, lang, own, int((small[:own] > 0).sum()), words, small.astype("<i4").tobytes()]
-        schema = pa.schema([("shard", pa.string()), ("lang", pa.string()), ("own", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.binary())), ("ids", pa.binary())])
+        values = [next(names), lang, own, int((small[:own] > 0).sum()), words, small.astype("<i4").tobytes()]
+        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("own", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.binary())), ("ids", pa.binary())])
         return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, values, strict=True)}, schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = itertools.count(TaskContext.get().partitionId() << 32)
         held: dict[str, tuple[dict, list[np.ndarray]]] = {}
         sizes: dict[str, int] = defaultdict(int)
 
@@ -80,7 +83,7 @@ def shards(docs: DataFrame, size: int = SHARD, depth: int = DEPTH) -> DataFrame:
             ids, at = np.concatenate(parts), 0
             while len(ids) - at > (0 if last else size + depth):
                 own = min(size, len(ids) - at)
-                yield row(lang, numbers, ids[at : at + own + depth - 1], own)
+                yield row(names, lang, numbers, ids[at : at + own + depth - 1], own)
                 at += own
             sizes[lang] = len(ids) - at
             if sizes[lang]:  # what is left, with a vocabulary of its own
@@ -131,29 +134,58 @@ def _pairs(ids: np.ndarray, own: int, digests: np.ndarray) -> tuple[np.ndarray,
     return there, mixed, np.arange(len(first)) < own
 
 
-def digest_counts(found: DataFrame) -> DataFrame:
-    """``shard, digest, n``: how often the words and pairs with a digest begin in the shard."""
+def digest_counts(found: DataFrame, pairs: bool) -> DataFrame:
+    """``shard, digest, n``: how often the words, or pairs of them, with a digest begin in the shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 shard, lang, own, words, ids = (batch.column(c)[r].as_py() for c in ("shard", "lang", "own", "words", "ids"))
                 ids, digests = np.frombuffer(ids, "<i4"), _digests(words, lang)
-                there, mixed, mine = _pairs(ids, own, digests)
-                some = ids[:own]
-                key, n = np.unique(np.concatenate([digests[some[some > 0]], mixed[there & mine]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(key), type=pa.string()).dictionary_encode().cast(pa.string()), pa.array(key.view(np.int64)), pa.array(n)], names=["shard", "digest", "n"])
+                if pairs:
+                    there, mixed, mine = _pairs(ids, own, digests)
+                    key, n = np.unique(mixed[there & mine], return_counts=True)
+                else:
+                    n = np.bincount(ids[:own], minlength=len(words))
+                    n[0] = 0
+                    key, n = digests[n > 0], n[n > 0]
+                for at in range(0, len(key), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), shard)), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int32))], names=["shard", "digest", "n"])
 
-    return found.select("shard", "lang", "own", "words", "ids").mapInArrow(count, "shard string, digest long, n long")
+    return found.select("shard", "lang", "own", "words", "ids").mapInArrow(count, "shard long, digest long, n int")
 
 
-def trie(ids: np.ndarray, own: int, alive: np.ndarray, joined: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def still_left(counts: DataFrame, least: int) -> DataFrame:
+    """``shard, digests``: of each shard those that occur ``least`` times in all. A digest has a row per shard at most, and a shard gets no more than it gave."""
+    total = F.sum("n").over(Window.partitionBy("digest"))
+    return counts.withColumn("total", total).filter(F.col("total") >= least).groupBy("shard").agg(F.collect_list("digest").alias("digests"))
+
+
+def pruned(found: DataFrame, left: DataFrame) -> DataFrame:
+    """``found`` with breaks for the words that are not ``left``; a shard without any goes."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard, lang, own, words, ids, digests = (batch.column(c)[r].as_py() for c in ("shard", "lang", "own", "words", "ids", "digests"))
+                alive = np.isin(_digests(words, lang), np.array(digests, dtype=np.int64).view(np.uint64))
+                alive[0] = False
+                number = np.where(alive, np.cumsum(alive), 0).astype("<i4")
+                values = [shard, lang, own, [BREAK, *(w for w, on in zip(words, alive.tolist(), strict=True) if on)], number[np.frombuffer(ids, "<i4")].tobytes()]
+                types = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, types, strict=True)], names=["shard", "lang", "own", "words", "ids"])
+
+    return found.select("shard", "lang", "own", "words", "ids").join(left, "shard").mapInArrow(prune, "shard long, lang string, own long, words array<binary>, ids binary")
+
+
+def trie(ids: np.ndarray, own: int, joined: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(parents, words, counts) of the nodes of each depth; a parent is a place among the nodes of the depth before.
 
-    ``alive`` tells of each position whether its word is left, ``joined`` whether the pair that begins there is.
+    ``joined`` tells of each position but the last whether the pair that begins there is left.
     """
     size = int(ids.max(initial=0)) + 1
-    at = np.flatnonzero(alive[:own])
+    at = np.flatnonzero(ids[:own])
     words, node, counts = np.unique(ids[at], return_inverse=True, return_counts=True)
     yield np.zeros(len(words), dtype=np.int64), words, counts
     for d in range(1, depth):
@@ -166,22 +198,18 @@ def trie(ids: np.ndarray, own: int, alive: np.ndarray, joined: np.ndarray, depth
 
 
 def paths(found: DataFrame, left: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``lang, phrase, n``: the nodes of each shard's trie over the words and pairs that are ``left`` (``shard, digests``), in order."""
+    """``lang, phrase, n``: the nodes of each shard's trie over its words and the pairs that are ``left`` (``shard, digests``), in order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 lang, own, words, ids, digests = (batch.column(c)[r].as_py() for c in ("lang", "own", "words", "ids", "digests"))
-                ids, digests, some = np.frombuffer(ids, "<i4"), _digests(words, lang), np.array(digests, dtype=np.int64).view(np.uint64)
-                there, mixed, _ = _pairs(ids, own, digests)
-                good = np.isin(digests, some)
-                good[0] = False
-                alive = good[ids]
-                joined = there & alive[:-1] & alive[1:]
-                joined[joined] = np.isin(mixed[joined], some)
+                ids = np.frombuffer(ids, "<i4")
+                there, mixed, _ = _pairs(ids, own, _digests(words, lang))
+                joined = there & np.isin(mixed, np.array(digests or [], dtype=np.int64).view(np.uint64))
                 texts: list[str] = []
                 all_texts, all_counts = [], []
-                for parents, last, counts in trie(ids, own, alive, joined, depth):
+                for parents, last, counts in trie(ids, own, joined, depth):
                     texts = [f"{texts[p]} {words[w].decode()}" if texts else words[w].decode() for p, w in zip(parents.tolist(), last.tolist(), strict=True)]
                     all_texts += texts
                     all_counts.append(counts)
@@ -193,7 +221,7 @@ def paths(found: DataFrame, left: DataFrame, depth: int = DEPTH) -> DataFrame:
                     part = order.slice(at, 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), type=pa.string()), phrases.take(part), n.take(part)], names=["lang", "phrase", "n"])
 
-    return found.select("shard", "lang", "own", "words", "ids").join(left, "shard").mapInArrow(walk, "lang string, phrase string, n long")
+    return found.join(left, "shard", "left").mapInArrow(walk, "lang string, phrase string, n long")
 
 
 def merged(runs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -262,10 +290,8 @@ def top(candidates: DataFrame, most: int = TOP) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int = SHARD) -> DataFrame:
     """``lang, phrase, a, l, r, n, score`` of all candidates that are not superfluous."""
     found = materialise(shards(docs, size, depth), "zstd")
-    counts = materialise(digest_counts(found), "zstd")
-    often = counts.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("digest")
-    left = counts.select("shard", "digest").join(often, "digest").groupBy("shard").agg(F.collect_list("digest").alias("digests"))  # its own words and pairs: no more than the shard holds
-    nodes = merged(paths(found, left, depth), least)
+    some = materialise(pruned(found, still_left(digest_counts(found, False), least)), "zstd")
+    nodes = merged(paths(some, still_left(digest_counts(some, True), least), depth), least)
     totals = found.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return scored(nodes, totals)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, collocations, contamination, language_id, mixing, packing, pitman_yor, quality, sharding, simhash, toxicity, training_order
+from . import chat_format, collocations, contamination, conversation_repair, language_id, mixing, packing, pitman_yor, quality, sharding, simhash, toxicity, training_order
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_positional_index_decontamination": contamination.query,
         "op9_positional_index_proximity": contamination.near_query,
         "op10_training_order": training_order.query,
+        "op11_conversation_repair": conversation_repair.query,
         "op12_best_fit_packing": packing.query,
         "op13_phrase_collocations": collocations.query,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": chat_format.SQL,
         "op8_source_mixing": mixing.SQL,
+        "op11_conversation_repair": conversation_repair.SQL,
         "op9_positional_index_decontamination": contamination.SQL,
     }
