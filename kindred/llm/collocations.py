@@ -135,7 +135,7 @@ def _pairs(ids: np.ndarray, own: int, digests: np.ndarray) -> tuple[np.ndarray,
 
 
 def digest_counts(found: DataFrame, pairs: bool) -> DataFrame:
-    """``shard, digest, n``: how often the words, or pairs of them, with a digest begin in the shard."""
+    """``shard, digest, n``: how often the words, or pairs of them, with a digest begin in the shard; 0 if only behind its own words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +144,10 @@ def digest_counts(found: DataFrame, pairs: bool) -> DataFrame:
                 ids, digests = np.frombuffer(ids, "<i4"), _digests(words, lang)
                 if pairs:
                     there, mixed, mine = _pairs(ids, own, digests)
-                    key, n = np.unique(mixed[there & mine], return_counts=True)
+                    key, at = np.unique(mixed[there], return_inverse=True)
+                    n = np.bincount(at[mine[there]], minlength=len(key))
                 else:
-                    n = np.bincount(ids[:own], minlength=len(words))
-                    n[0] = 0
-                    key, n = digests[n > 0], n[n > 0]
+                    key, n = digests[1:], np.bincount(ids[:own], minlength=len(words))[1:]
                 for at in range(0, len(key), 100_000):
                     part = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), shard)), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int32))], names=["shard", "digest", "n"])
