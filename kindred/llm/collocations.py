@@ -5,11 +5,10 @@ suffix links right parts.
 
 1. A shard is ``SHARD`` words of one language, in scan order, as word numbers with its own vocabulary (``DEPTH`` - 1 words more where phrases begin that end
    behind it). Shards are written: 4 bytes a word.
-2. Each shard counts the digests of its words; counts are summed by digest. A phrase that occurs often enough consists of words that do, so each shard gets back which of
-   its own are left, and others become breaks. The same goes for pairs. Digests that collide only let more through; nothing that counts is lost, and no
-   task holds more than its shard has.
-3. Each shard builds its trie over what is left: a node is a pair of its parent's number and a word, all nodes of a depth are numbered by one sort, and
-   the paths leave the shard in order with exact counts.
+2. A shard's trie is built a depth at a time. A path of a depth exists where its first and its last words but one are left from the depth before; the shard counts the digests of its
+   paths, the counts of all shards are summed by digest, and each shard gets back which of its own occur often enough in all. A phrase that does consists of
+   phrases that do, and digests that collide only let more through, so nothing that counts is lost; no task holds more than its shard has.
+3. What is left of a depth leaves the shard as paths in order with exact counts. The shard goes on with the words that lie in them.
 4. These runs are written, dealt by ranges of (language, path) and sorted, so a task merges the runs of all shards for its prefix range. Paths that are too rare go.
 5. A walk of a range keeps the counts on the way from the root: those are the left parts. The ways that lead to a range's first path are joined first, so
    ranges may begin anywhere, inside the subtree of a very common first word too.
@@ -24,6 +23,7 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from ..storage import materialise
 DEPTH = 5
 LEAST = 100
 TOP = 2000
-SHARD = 1 << 20
+SHARD = 1 << 21
 BREAK = b"\xff"  # no byte of UTF-8
 
 
@@ -123,36 +123,72 @@ def _digests(words: list[bytes], lang: str) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
 
 
-def _pairs(ids: np.ndarray, own: int, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether a pair begins there, its digest; for each of ``ids`` but the last), and whether it is own."""
-    first, second = ids[:-1], ids[1:]
-    there = (first > 0) & (second > 0)
-    with np.errstate(over="ignore"):
-        mixed = (digests[first] * np.uint64(0x9E3779B97F4A7C15)) ^ (digests[second] + np.uint64(0x632BE59BD9B4E019))
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return there, mixed, np.arange(len(first)) < own
-
-
-def digest_counts(found: DataFrame, pairs: bool) -> DataFrame:
-    """``shard, digest, n``: how often the words, or pairs of them, with a digest begin in the shard; 0 if only behind its own words."""
+class _Level:
+    """A shard on its way to the paths of ``depth`` words: ``starts``, the places where the paths of the depth before that are left begin, of which the first ``own`` are its own."""
+
+    def __init__(self, row: dict, depth: int) -> None:
+        self.ids, self.words, self.lang = np.frombuffer(row["ids"], "<i4"), row["words"], row["lang"]
+        self.starts = np.frombuffer(row["starts"], "<i4") if depth > 1 else np.flatnonzero(self.ids)
+        if depth > 1:
+            follows = np.zeros(len(self.ids) + 1, dtype=bool)
+            follows[self.starts] = True
+            self.starts = self.starts[follows[self.starts + 1]]
+        self.own, self.depth = self.starts < row["own"], depth
+
+    def digests(self) -> np.ndarray:
+        """Of the path at each start."""
+        of, out = _digests(self.words, self.lang), np.zeros(len(self.starts), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for d in range(self.depth):
+                out = (out ^ of[self.ids[self.starts + d]]) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+        return out
+
+    def keep(self, left: np.ndarray) -> None:
+        on = np.isin(self.digests(), left)
+        self.starts, self.own = self.starts[on], self.own[on]
+
+    def paths(self) -> tuple[list[str], np.ndarray]:
+        """The paths at the shard's own starts, in order, and their counts: nodes of a depth are numbered by their parent's number and a word."""
+        starts = self.starts[self.own]
+        node, texts, size = np.zeros(len(starts), dtype=np.int64), [""], len(self.words)
+        for d in range(self.depth):
+            key, node, counts = np.unique(node * size + self.ids[starts + d], return_inverse=True, return_counts=True)
+            texts = [f"{texts[k // size]} {self.words[k % size].decode()}" if d else self.words[k].decode() for k in key.tolist()]
+        order = sorted(range(len(texts)), key=lambda k: texts[k].encode()) if len(starts) else []
+        return [texts[k] for k in order], counts[order] if len(starts) else np.zeros(0, dtype=np.int64)
+
+    def rest(self, own: int) -> tuple[list[bytes], bytes, int, bytes]:
+        """(words, ids, own, starts) of the shard without the words that lie in no path, of which one break stays between others."""
+        inside = np.zeros(len(self.ids) + self.depth, dtype=bool)
+        for d in range(self.depth):
+            inside[self.starts + d] = True
+        inside = inside[: len(self.ids)]
+        ids = np.where(inside, self.ids, 0)
+        kept = inside | np.concatenate([[False], inside[:-1]])  # a break behind each run
+        place = np.cumsum(kept) - 1
+        used, small = np.unique(np.concatenate([[0], ids[kept]]), return_inverse=True)
+        return [self.words[u] for u in used], small[1:].astype("<i4").tobytes(), int(kept[:own].sum()), place[self.starts].astype("<i4").tobytes()
+
+
+STATE = "shard long, lang string, own long, words array<binary>, ids binary, starts binary"
+
+
+def digest_counts(found: DataFrame, depth: int) -> DataFrame:
+    """``shard, digest, n``: how often the paths with a digest begin in the shard; 0 if only behind its own words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                shard, lang, own, words, ids = (batch.column(c)[r].as_py() for c in ("shard", "lang", "own", "words", "ids"))
-                ids, digests = np.frombuffer(ids, "<i4"), _digests(words, lang)
-                if pairs:
-                    there, mixed, mine = _pairs(ids, own, digests)
-                    key, at = np.unique(mixed[there], return_inverse=True)
-                    n = np.bincount(at[mine[there]], minlength=len(key))
-                else:
-                    key, n = digests[1:], np.bincount(ids[:own], minlength=len(words))[1:]
+                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                level = _Level(row, depth)
+                key, at = np.unique(level.digests(), return_inverse=True)
+                n = np.bincount(at[level.own], minlength=len(key))
                 for at in range(0, len(key), 100_000):
                     part = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), shard)), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int32))], names=["shard", "digest", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), row["shard"])), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int32))], names=["shard", "digest", "n"])
 
-    return found.select("shard", "lang", "own", "words", "ids").mapInArrow(count, "shard long, digest long, n int")
+    return found.mapInArrow(count, "shard long, digest long, n int")
 
 
 def still_left(counts: DataFrame, least: int) -> DataFrame:
@@ -161,73 +197,44 @@ def still_left(counts: DataFrame, least: int) -> DataFrame:
     return counts.withColumn("total", total).filter(F.col("total") >= least).groupBy("shard").agg(F.collect_list("digest").alias("digests"))
 
 
-def pruned(found: DataFrame, left: DataFrame) -> DataFrame:
-    """``found`` with breaks for the words that are not ``left``; a shard without any goes."""
+def grown(found: DataFrame, left: DataFrame, depth: int) -> DataFrame:
+    """The shards with the paths of ``depth`` words that are ``left``, and rows ``lang, phrase, n`` of those paths; a shard without any goes."""
+    types = {"shard": pa.int64(), "lang": pa.string(), "own": pa.int64(), "words": pa.list_(pa.binary()), "ids": pa.binary(), "starts": pa.binary(), "phrase": pa.string(), "n": pa.int64()}
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                shard, lang, own, words, ids, digests = (batch.column(c)[r].as_py() for c in ("shard", "lang", "own", "words", "ids", "digests"))
-                alive = np.isin(_digests(words, lang), np.array(digests, dtype=np.int64).view(np.uint64))
-                alive[0] = False
-                number = np.where(alive, np.cumsum(alive), 0).astype("<i4")
-                values = [shard, lang, own, [BREAK, *(w for w, on in zip(words, alive.tolist(), strict=True) if on)], number[np.frombuffer(ids, "<i4")].tobytes()]
-                types = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, types, strict=True)], names=["shard", "lang", "own", "words", "ids"])
+    def batch(**columns) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], type=t) if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
 
-    return found.select("shard", "lang", "own", "words", "ids").join(left, "shard").mapInArrow(prune, "shard long, lang string, own long, words array<binary>, ids binary")
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for r in range(some.num_rows):
+                row = {c: some.column(c)[r].as_py() for c in some.schema.names}
+                level = _Level(row, depth)
+                level.keep(np.array(row["digests"], dtype=np.int64).view(np.uint64))
+                phrases, n = level.paths()
+                for at in range(0, len(phrases), 100_000):
+                    part = phrases[at : at + 100_000]
+                    yield batch(lang=[row["lang"]] * len(part), phrase=part, n=n[at : at + 100_000])
+                words, ids, own, starts = level.rest(row["own"])
+                yield batch(shard=[row["shard"]], lang=[row["lang"]], own=[own], words=[words], ids=[ids], starts=[starts])
 
+    return found.join(left, "shard").mapInArrow(grow, STATE + ", phrase string, n long")
 
-def trie(ids: np.ndarray, own: int, joined: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(parents, words, counts) of the nodes of each depth; a parent is a place among the nodes of the depth before.
 
-    ``joined`` tells of each position but the last whether the pair that begins there is left.
-    """
-    size = int(ids.max(initial=0)) + 1
-    at = np.flatnonzero(ids[:own])
-    words, node, counts = np.unique(ids[at], return_inverse=True, return_counts=True)
-    yield np.zeros(len(words), dtype=np.int64), words, counts
-    for d in range(1, depth):
-        on = at + d < len(ids)
-        at, node = at[on], node[on]
-        on = joined[at + d - 1]
-        at, node = at[on], node[on]
-        key, node, counts = np.unique(node.astype(np.int64) * size + ids[at + d], return_inverse=True, return_counts=True)
-        yield key // size, key % size, counts
-
-
-def paths(found: DataFrame, left: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``lang, phrase, n``: the nodes of each shard's trie over its words and the pairs that are ``left`` (``shard, digests``), in order."""
+def runs(found: DataFrame, least: int, depth: int) -> DataFrame:
+    """``lang, phrase, n``: the paths of all depths that are left, per shard in order."""
+    state = found.select("shard", "lang", "own", "words", "ids", F.lit(None).cast("binary").alias("starts"))
+    levels = []
+    for d in range(1, depth + 1):
+        levels.append(materialise(grown(state, still_left(digest_counts(state, d), least), d), "zstd"))
+        state = levels[-1].filter("shard IS NOT NULL").select(*state.columns)
+    return reduce(DataFrame.union, [x.filter("phrase IS NOT NULL").select("lang", "phrase", "n") for x in levels])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                lang, own, words, ids, digests = (batch.column(c)[r].as_py() for c in ("lang", "own", "words", "ids", "digests"))
-                ids = np.frombuffer(ids, "<i4")
-                there, mixed, _ = _pairs(ids, own, _digests(words, lang))
-                joined = there & np.isin(mixed, np.array(digests or [], dtype=np.int64).view(np.uint64))
-                texts: list[str] = []
-                all_texts, all_counts = [], []
-                for parents, last, counts in trie(ids, own, joined, depth):
-                    texts = [f"{texts[p]} {words[w].decode()}" if texts else words[w].decode() for p, w in zip(parents.tolist(), last.tolist(), strict=True)]
-                    all_texts += texts
-                    all_counts.append(counts)
-                    if not texts:
-                        break
-                phrases, n = pa.array(all_texts, type=pa.string()), pa.array(np.concatenate(all_counts), type=pa.int64())
-                order = pa.compute.sort_indices(phrases.cast(pa.binary()))
-                for at in range(0, len(order), 100_000):
-                    part = order.slice(at, 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), type=pa.string()), phrases.take(part), n.take(part)], names=["lang", "phrase", "n"])
-
-    return found.join(left, "shard", "left").mapInArrow(walk, "lang string, phrase string, n long")
-
-
-def merged(runs: DataFrame, least: int = LEAST) -> DataFrame:
+
+def merged(paths: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, w, f, range``: the runs of all shards merged by ranges of (lang, path), without what is too rare. Paths are arrays, which sort word by word."""
-    written = materialise(runs.select("lang", F.split("phrase", " ").alias("w"), "n"), "zstd")
-    ranged = written.repartitionByRange("lang", "w").sortWithinPartitions("lang", "w")  # a range holds all rows of a path, so the sum needs no shuffle
-    summed = ranged.groupBy("lang", "w").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    ranged = paths.select("lang", F.split("phrase", " ").alias("w"), "n").repartitionByRange("lang", "w").sortWithinPartitions("lang", "w")
+    summed = ranged.groupBy("lang", "w").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)  # a range holds all rows of a path, so the sum needs no shuffle
     return materialise(summed.withColumn("range", F.spark_partition_id()))
 
 
@@ -289,8 +296,7 @@ def top(candidates: DataFrame, most: int = TOP) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int = SHARD) -> DataFrame:
     """``lang, phrase, a, l, r, n, score`` of all candidates that are not superfluous."""
     found = materialise(shards(docs, size, depth), "zstd")
-    some = materialise(pruned(found, still_left(digest_counts(found, False), least)), "zstd")
-    nodes = merged(paths(some, still_left(digest_counts(some, True), least), depth), least)
+    nodes = merged(runs(found, least, depth), least)
     totals = found.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return scored(nodes, totals)
 
