@@ -23,7 +23,7 @@ very many documents share makes one hot rarest term: its postings join the phras
 adaptive execution splits or broadcasts; the second join is keyed by (row, position) and never hot.
 
 Defined cases: null text and text without words have no words and are clean; an item without words
-has no phrase; repeated items count as several items; repeated rows are judged one by one; an empty
+has no phrase; items count by their id, those without one as one item with an empty id; repeated rows are judged one by one; an empty
 benchmark leaves all documents clean; empty documents give an empty result. Extra columns pass
 through ``remove`` untouched: internal columns carry the prefix ``_con_``.
 """
@@ -284,7 +284,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataF
     hits = matches.groupBy("row").agg(merged.alias("n_hit"))
     items = (
         matches.select("row", "phrase").distinct().join(wanted, "phrase")
-        .groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+        .groupBy("row").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("ids"))
         .select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
     return indexes[0], hits.join(items, "row", "left")
@@ -341,7 +341,7 @@ WITH bi AS (
 ), m AS (SELECT r, s, dw.k, item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.k = bw.k
 ), h AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + k - 1)) AS pos FROM m) GROUP BY r
 ), i AS (
-  SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r
+  SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS id FROM m) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

@@ -25,6 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+from .common import unit_draw
+from .mixing import numbered
+
 WINDOW = 128
 HIDDEN = 8
 DOCS_PER_LANGUAGE = 300
@@ -172,13 +176,9 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(docs: DataFrame) -> Network | None:
     """The network from the training documents of ``docs`` (``doc_id, text, lang, held_out``); None without any."""
     usable = docs.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = sorted((r.lang, r["count"]) for r in usable.groupBy("lang").count().collect())
-    if not counts:
+    rates = materialise(usable.groupBy("lang").agg((DOCS_PER_LANGUAGE / F.count("*")).alias("rate")))
+    if rates.isEmpty():
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(0.0)
-    for lang, n in counts:
-        rate = F.when(F.col("lang") == lang, DOCS_PER_LANGUAGE / n).otherwise(rate)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +193,9 @@ def train(docs: DataFrame) -> Network | None:
                     found.append(data[at : at + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(found, type=pa.binary())], names=["lang", "bytes"])
 
-    sample = usable.withColumn("draw", draw).filter(F.col("draw") < rate).select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
+    # a draw depends on a row's id and its number among equal rows, not on where it lies
+    seeded = numbered(usable.select("doc_id", "text", "lang", F.col("lang").alias("source"))).join(rates, "lang")
+    sample = seeded.filter(unit_draw(F.col("_mix_seed"), "language") < F.col("rate")).select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
     rows = sorted((r.lang, bytes(r.bytes)) for r in sample.collect())  # bounded: languages x documents x windows
     languages = sorted({lang for lang, _ in rows})
     if not languages:

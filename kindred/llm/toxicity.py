@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .common import unit_draw
+from .mixing import numbered
 
 SAMPLE = 4000
 FEATURES = 1500
@@ -102,23 +104,21 @@ def fit(x: np.ndarray, grade: np.ndarray, ridge: float = RIDGE, rounds: int = RO
     return theta[: x.shape[1]], theta[x.shape[1]] + np.concatenate([[0.0], np.cumsum(np.exp(theta[x.shape[1] + 1 :]))])
 
 
-def _draw(*columns: str) -> Column:
-    """A number in [0, 1) per row: equal rows draw apart."""
-    return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id(), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """``toxic, text`` of about ``bound`` rows per class at most; the labels that are drawn are bounded too, so they are broadcast."""
-    graded = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
+    """``toxic, text`` of about ``bound`` rows per class at most; the labels that are drawn are bounded too, so they are broadcast.
+
+    Draws depend on ids, verdicts and a row's number among equal rows, not on where rows lie.
+    """
+    graded = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).alias("toxic")).distinct()
 
     def rate(rows: DataFrame) -> Column:
         n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         return F.when(F.col("toxic"), bound / max(n.get(True, 1), 1)).otherwise(bound / max(n.get(False, 1), 1))
 
-    drawn = materialise(graded.withColumn("draw", _draw("doc_id", "toxic")).filter(F.col("draw") < rate(graded)).drop("draw"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    drawn = materialise(graded.filter(unit_draw(F.concat_ws("|", "doc_id", "toxic"), "toxicity label") < rate(graded)))
+    rows = numbered(docs.select("doc_id", "text", F.lit(None).cast("string").alias("source")).join(F.broadcast(drawn), "doc_id"))
     by_row = rate(docs.select("doc_id").join(F.broadcast(drawn), "doc_id"))
-    return rows.withColumn("draw", _draw("doc_id")).filter(F.col("draw") < by_row).select("toxic", "text")
+    return rows.filter(unit_draw(F.col("_mix_seed"), "toxicity") < by_row).select("toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Ordinal:

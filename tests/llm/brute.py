@@ -109,7 +109,7 @@ def contamination(texts, items):
     for item, text in items:
         words = ALNUM.findall(low(text))
         for i in range(max(len(words) - 12, 1 if words else 0)):
-            windows.setdefault(tuple(words[i : i + 13]), set()).add(str(item))
+            windows.setdefault(tuple(words[i : i + 13]), set()).add("" if item is None else str(item))
     out = []
     for text in texts:
         words, hit, ids = ALNUM.findall(low(text)), set(), set()

@@ -1,5 +1,6 @@
 """Quality, contamination, mixing and sharding against plain Python, with odd rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -66,9 +67,10 @@ def test_contamination(spark, monkeypatch, bounds):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("phrase", F.lit("clash"))
     plain = docs.select("doc_id", "text")
     index, verdicts = contamination.judge(plain, bench, ["doc_id"])
-    got = {r.doc_id: (r._con_n, r._con_hit, r._con_items, r._con_bad) for r in contamination._verdict(index, verdicts).collect()}
-    want = brute.contamination(texts, [(i, t) for i, t in items if i is not None] + [("", "w2 w2 w2")])
-    assert {i: (n, h, bad) for i, (n, h, _, bad) in got.items()} == {i: (n, h, bad) for i, (n, h, _, bad) in enumerate(want)}
+    got = {r.doc_id: (r._con_n, r._con_hit, r._con_items, r._con_sha, r._con_bad) for r in contamination._verdict(index, verdicts).collect()}
+    want = brute.contamination(texts, items)
+    assert got == {i: (n, h, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad) for i, (n, h, ids, bad) in enumerate(want)}
+    assert any("" in ids for _, _, ids, _ in want)
     if bounds == (40, 5):
         assert len(contamination._slices(bench)) > 2
         return
