@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cases
 from .functions import credits as C
 from .functions import display as D
 from .functions import similarity as S
@@ -19,7 +17,7 @@ from .options import DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule,
 from .plans.normalise import normalise
 from .schema import EXTENSIONS, extension, format_of
 from .sources import scan
-from .sources.views import document_tracks, part_tracks, table, whole_document_tracks
+from .sources.views import document_tracks, part_tracks, table
 from .storage import materialise
 
 ASCII = r"^[\x00-\x7F]*$"
@@ -44,22 +42,21 @@ def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _D = """SELECT p_partkey AS id,
   CASE p_partkey % 7 WHEN 0 THEN '01 - ' WHEN 1 THEN 'The ' ELSE '' END || p_name || [' (Original Mix)', ' (Club Mix)', ' - Radio Edit', ' [2011 Remaster]', ' feat. Someone', ' (feat. Someone) (Extended Mix)', ' (Part 2)', ' - Live', '', ' (Love (Theme)) x'][(p_partkey % 10 + 1)::INT] AS title,
   CASE p_partkey % 3 WHEN 0 THEN p_brand || ' & The Others' WHEN 1 THEN 'The ' || p_brand ELSE p_brand || ' ft. Guest' END AS artist, p_brand, p_name FROM part"""
-_DOC = """SELECT doc_id AS id, coalesce(substr(text, 1, 60), '') AS title, coalesce(lang, '') AS artist, coalesce(source, '') AS album, n_chars::DOUBLE AS duration,
+_DOC = """SELECT doc_id AS id, coalesce(text, '') AS title, coalesce(lang, '') AS artist, coalesce(source, '') AS album, n_chars::DOUBLE AS duration,
   ['mp3', 'aac', 'alac', 'flac', 'aiff', 'wav'][(doc_id % 6 + 1)::INT] AS format, (doc_id * 1009 % 5000000) AS file_size, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 320 END AS bitrate,
   '/lib/' || coalesce(source, '') || '/' || doc_id || '.' || ['mp3', 'aac', 'alac', 'flac', 'aiff', 'wav'][(doc_id % 6 + 1)::INT] AS path FROM documents"""
-# The same with the whole text as title.
-_WHOLE_DOC = _DOC.replace("substr(text, 1, 60)", "text")
 _FOLD = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 
 def _text(expression, source=_decorated, column="title"):
-    return lambda spark, sf, source=source: source(spark, sf).select("id", expression(F.col(column)).alias("result"))
+    return lambda spark, sf: source(spark, sf).select("id", expression(F.col(column)).alias("result"))
 
 
-def document_groups(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+def document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with equal folded title and artist, as views and keepers want them: anchor first, confidence by size."""
-    t = source(spark, sf_dir)
-    keyed = t.select("id", X.fold(F.col("title"), STANDARD.normalisation).alias("t"), "artist").filter("t <> ''")
+    t = document_tracks(spark, sf_dir)
+    folded = X.fold(F.col("title"), STANDARD.normalisation)
+    keyed = t.select("id", "artist", folded.alias("t")).filter("t <> ''").select("id", "artist", F.unhex(F.md5("t")).alias("t"))  # digests are shuffled, not texts
     lists = keyed.groupBy("t", "artist").agg(F.array_sort(F.collect_list("id")).alias("track_ids")).filter(F.size("track_ids") > 1)
     return lists.select(
         F.get("track_ids", F.lit(0)).alias("id"), "track_ids", F.round(1 - 1 / F.size("track_ids"), 3).alias("confidence"),
@@ -72,12 +69,12 @@ _G = f"""g AS (SELECT min(id) AS gid, list_sort(list(id)) AS track_ids, round(1
 m AS (SELECT gid, unnest(track_ids) AS tid, generate_subscripts(track_ids, 1) - 1 AS pos FROM g)"""
 
 
-def _views(spark: SparkSession, sf_dir: str, source=document_tracks) -> tuple[DataFrame, DataFrame]:
-    return materialise(document_groups(spark, sf_dir, source)), source(spark, sf_dir)
+def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return materialise(document_groups(spark, sf_dir)), document_tracks(spark, sf_dir)
 
 
 def _pairs(criteria, source, keep=None):
-    def run(spark: SparkSession, sf_dir: str, source=source) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = source(spark, sf_dir)
         prepared = materialise(engine.prepare(t.filter(keep) if keep is not None else t, criteria))
         return engine.edges(prepared, criteria).select("i", "j", F.round("score", 6).alias("score"), F.array_join(F.transform("reasons", lambda r: r.cast("string")), ",").alias("reasons"))
@@ -85,14 +82,14 @@ def _pairs(criteria, source, keep=None):
 
 
 def _match(criteria, source, max_bucket=blocking.MAX_BUCKET, flat=True):
-    def run(spark: SparkSession, sf_dir: str, source=source) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = engine.match(source(spark, sf_dir), criteria, max_bucket)
         return out.select("id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"), F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons")) if flat else out
     return run
 
 
-def _components(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    prepared = materialise(engine.prepare(source(spark, sf_dir), STANDARD))
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = materialise(engine.prepare(document_tracks(spark, sf_dir), STANDARD))
     return components(engine.edges(prepared, STANDARD).select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
@@ -102,26 +99,26 @@ def _bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arranged(order, ascending=True):
-    def run(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-        groups, tracks = _views(spark, sf_dir, source)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        groups, tracks = _views(spark, sf_dir)
         out = views.arrange(groups, tracks, order, ascending)
         return out.select("rank", "id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
     return run
 
 
-def _filtered(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir, source)
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir)
     return views.filter_groups(groups, tracks, " SRC1 ", 0.5).select("id", "confidence")
 
 
-def _differences(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir, source)
+def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir)
     return views.differing_cells(groups, tracks, "album")
 
 
 def _keepers(rules):
-    def run(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-        groups, tracks = _views(spark, sf_dir, source)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        groups, tracks = _views(spark, sf_dir)
         return keepers.choices(groups, tracks, rules).select("group_id", "keeper", F.size("others").alias("n_others"))
     return run
 
@@ -129,17 +126,17 @@ def _keepers(rules):
 _PATH_RULES = tuple(keepers.KeeperRule(*r) for r in (("path_contains", "SRC1"), ("prefer_lossless",), ("higher_bitrate",), ("larger_file",)))
 
 
-def _auto_select(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    return keepers.auto_select(*_views(spark, sf_dir, source), _PATH_RULES)
+def _auto_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keepers.auto_select(*_views(spark, sf_dir), _PATH_RULES)
 
 
-def _marked(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir, source)
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir)
     return views.marked_summary(groups, tracks, tracks.filter("id % 3 = 0").select("id"))
 
 
-def _dropped(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir, source)
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir)
     return views.drop_copies(groups, tracks.filter("id % 5 = 0").select("id")).select("id", F.size("track_ids").alias("n"))
 
 
@@ -147,14 +144,14 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal.plan(document_tracks(spark, sf_dir), "/removed")
 
 
-def _selected_plan(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+def _selected_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for the copies that ``auto_select`` marks."""
-    groups, tracks = _views(spark, sf_dir, source)
+    groups, tracks = _views(spark, sf_dir)
     return removal.plan(tracks.join(keepers.auto_select(groups, tracks, _PATH_RULES), "id", "left_semi"), "/removed")
 
 
-def _inside_selected(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    return removal.moves_into_folders(_selected_plan(spark, sf_dir, source), ["/elsewhere", "/removed/lib/src1"]).select("track_id", "destination")
+def _inside_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal.moves_into_folders(_selected_plan(spark, sf_dir), ["/elsewhere", "/removed/lib/src1"]).select("track_id", "destination")
 
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,9 +172,9 @@ def _tag_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "pos", "key", "name", F.array_join("source", "|").alias("source"), F.array_join("destination", "|").alias("destination"), "can_copy", "fills_gap")
 
 
-def _snapshots(spark: SparkSession, sf_dir: str, source=document_tracks) -> tuple[DataFrame, DataFrame]:
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files now and the cache before: a tenth changed in size, an eighth new, some gone."""
-    t = source(spark, sf_dir)
+    t = document_tracks(spark, sf_dir)
     files = t.filter("id % 9 <> 0").select("path", "scan_root", F.when(F.col("id") % 10 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("size"), "modified")
     return files, t.filter("id % 8 <> 0").drop("id")
 
@@ -196,8 +193,8 @@ def _cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.evict(cache, ["/lib/src1", "/lib/src2"], files).select("path")
 
 
-def _scan(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    files, cache = _snapshots(spark, sf_dir, source)
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, cache = _snapshots(spark, sf_dir)
     def read(missing: DataFrame) -> DataFrame:
         p = F.map_from_arrays(F.array(F.lit("TITLE"), F.lit("TRACKNUMBER"), F.lit("DATE")), F.array(F.array(F.lit("read"), F.lit("again")), F.array(F.lit("03/12")), F.array(F.lit("05/01/2011"))))
         meta = missing.select("path", p.alias("properties"), F.lit(None).cast("struct<format:string,bitrate:int,sample_rate:int,bit_depth:int,channels:int>").alias("stream"), F.lit(None).cast("struct<duration:double,format:string,sample_rate:int,channels:int>").alias("decoded"), F.expr("cast(array() as array<string>)").alias("problems"))
@@ -225,15 +222,11 @@ def _normalised(options):
 
 
 def _token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_sort_pairs(table(spark, sf_dir, "part"))
-
-
-def _token_sort_pairs(parts: DataFrame) -> DataFrame:
-    """Every pair of parts whose names begin alike."""
-    p = parts.select("p_partkey", "p_name")
-    q = p.select(F.col("p_partkey").alias("q_partkey"), F.col("p_name").alias("q_name"))
-    both = p.join(q, F.substring("p_name", 1, 1) == F.substring("q_name", 1, 1)).filter("p_partkey < q_partkey")
-    return both.select("p_partkey", "q_partkey", F.round(S.token_sort_ratio(F.col("p_name"), F.col("q_name")), 6).alias("ratio"))
+    """Pairs of parts of one brand and size whose names are alike whatever the order of their words."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name")
+    q = p.withColumnsRenamed({"p_partkey": "q_partkey", "p_name": "q_name"})
+    ratio = S.token_sort_ratio(F.col("p_name"), F.col("q_name"), 0.5)
+    return p.join(q, ["p_brand", "p_size"]).filter("p_partkey < q_partkey").select("p_partkey", "q_partkey", F.round(ratio, 6).alias("ratio")).filter("ratio IS NOT NULL")
 
 
 def _jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +234,8 @@ def _jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.round(S.jaro_winkler(F.col("title"), F.reverse("title")), 6).alias("jw"), F.round(S.fuzzy_ratio(F.col("title"), F.col("artist")), 6).alias("fuzzy"))
 
 
-def _display(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    t = source(spark, sf_dir)
+def _display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = document_tracks(spark, sf_dir)
     return t.select("id", D.text_of("duration").alias("duration"), D.text_of("bitrate").alias("bitrate"), D.text_of("format").alias("format"), D.text_of("fileName").alias("file_name"), D.display_name(F.col("title"), F.col("artist"), F.col("path")).alias("name"))
 
 
@@ -261,35 +254,26 @@ def _natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.number_rows(o, [X.natural_key(F.col("x")), F.col("id")], "rank")
 
 
-# The queries whose results depend on the documents' titles: each has a second one, _whole, on whole texts.
-_ON_TITLES = (
-    "scan_tracks", "txt_collapse", "txt_fold_diacritics", "txt_display", "match_pairs_standard", "match_components", "match_groups_anchored", "match_groups_components",
-    "arrange_confidence", "arrange_copies", "arrange_column", "filter_groups", "diff_cells", "keepers_default", "keepers_path", "auto_select", "marked_summary", "drop_copies",
-    "removal_plan_selected", "removal_collisions_selected",
-    "marks_chosen", "marks_valid", "filled_tags", "group_headings",
-)
-
-
 def _swapped_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part tracks of which every fifth has title and artist the wrong way round."""
     t, wrong = part_tracks(spark, sf_dir), F.col("id") % 5 == 0
     return t.withColumns({"title": F.when(wrong, F.col("artist")).otherwise(F.col("title")), "artist": F.when(wrong, F.col("title")).otherwise(F.col("artist"))})
 
 
-def _marks(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of every third track, then the keepers' choices, then every seventh switched over, with whether they are in a group."""
-    groups, tracks = _views(spark, sf_dir, source)
+    groups, tracks = _views(spark, sf_dir)
     marks = keepers.apply_choices(tracks.filter("id % 3 = 0"), keepers.choices(groups, tracks, _PATH_RULES))
     return views.marked_choices(groups, keepers.toggle_marks(marks, tracks.filter("id % 7 = 0")))
 
 
-def _valid_marks(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    groups, tracks = _views(spark, sf_dir, source)
+def _valid_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, tracks = _views(spark, sf_dir)
     return keepers.valid_marks(tracks.filter("id % 3 = 0"), groups)
 
 
-def _filled(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    return source(spark, sf_dir).select("id", keepers.filled_tags().alias("filled"))
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tracks(spark, sf_dir).select("id", keepers.filled_tags().alias("filled"))
 
 
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,22 +282,11 @@ def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
 
 
-def _described(spark: SparkSession, sf_dir: str, source=document_tracks) -> DataFrame:
-    return views.describe(*_views(spark, sf_dir, source))
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.describe(*_views(spark, sf_dir))
 
 
 def queries() -> dict:
-    found = _queries() | cases.queries()
-    return found | {f"{name}_whole": partial(found[name], source=whole_document_tracks) for name in _ON_TITLES}
-
-
-def oracle_sql() -> dict[str, str]:
-    found = _oracle_sql() | cases.oracle_sql()
-    found["similarity_token_sort_all"] = found["similarity_token_sort"]
-    return found | {f"{name}_whole": found[name].replace(_DOC, _WHOLE_DOC) for name in _ON_TITLES if name in found}
-
-
-def _queries() -> dict:
     dash = lambda c: F.array_join(X.split_spaced_dash(c), "|")
     return {
         "scan_tracks": _scan, "scan_supported_formats": _supported, "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_evict": _cache_evict,
@@ -325,7 +298,7 @@ def _queries() -> dict:
         "txt_brackets": _text(lambda c: F.array_join(F.transform(C.bracket_segments(c), lambda x: C.segment_text(c, x)), "|")),
         "txt_fold_diacritics": _text(X.fold_diacritics, document_tracks), "txt_natural_order": _natural, "txt_display": _display, "txt_sizes": _sizes,
         "normalise_dj": _normalised(DJ_LIBRARY), "normalise_aggressive": _normalised(LOOSE.normalisation),
-        "similarity_token_sort": _token_sort, "similarity_token_sort_all": _token_sort, "similarity_jaro_winkler": _jaro_winkler,
+        "similarity_token_sort": _token_sort, "similarity_jaro_winkler": _jaro_winkler,
         "match_pairs_standard": _pairs(STANDARD, document_tracks),
         "match_pairs_similar": _pairs(MatchCriteria(title=FieldRule("similar", 0.6), artist=FieldRule("same"), duration_tolerance=None), part_tracks),
         "match_pairs_constraints": _pairs(MatchCriteria(track_number="different", album="same", format="any", duration_tolerance=50.0, extra_fields=(ExtraFieldRule("year", FieldRule("ignore")),)), part_tracks),
@@ -417,7 +390,7 @@ _JARO = """WITH w AS (SELECT id, x, y, greatest(0, greatest(length(x), length(y)
 _SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda q: q <> '')), ' ')"
 
 
-def _oracle_sql() -> dict[str, str]:
+def oracle_sql() -> dict[str, str]:
     d = lambda e: f"SELECT id, {e} AS result FROM ({_D})"
     return {
         "scan_supported_formats": """SELECT p_partkey AS id, ['mp3', 'aac', 'flac', 'unknown', 'wav', 'aiff'][(p_partkey % 6 + 1)::INT] AS format, p_partkey % 6 <> 3 AS supported FROM part""",
@@ -455,8 +428,8 @@ def _oracle_sql() -> dict[str, str]:
             SELECT id, CASE WHEN n < 1000 THEN n || ' bytes' WHEN n / 1e3::DOUBLE < 1000 THEN round(n / 1e3::DOUBLE)::BIGINT || ' KB' WHEN n / 1e3::DOUBLE / 1e3 < 1000 THEN printf('%.1f', n / 1e3::DOUBLE / 1e3) || ' MB'
               WHEN n / 1e3::DOUBLE / 1e3 / 1e3 < 1000 THEN printf('%.2f', n / 1e3::DOUBLE / 1e3 / 1e3) || ' GB' ELSE printf('%.2f', n / 1e3::DOUBLE / 1e3 / 1e3 / 1e3) || ' TB' END AS size,
             CASE WHEN t >= 3600 THEN (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') ELSE (t // 60)::VARCHAR END || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS duration FROM t""",
-        "similarity_token_sort": """WITH p AS (SELECT p_partkey, p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS s FROM part)
-            SELECT a.p_partkey, b.p_partkey AS q_partkey, round(1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)), 6) AS ratio FROM p a JOIN p b ON substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND a.p_partkey < b.p_partkey""",
+        "similarity_token_sort": """WITH p AS (SELECT p_brand, p_size, p_partkey, p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS s FROM part)
+            SELECT a.p_partkey, b.p_partkey AS q_partkey, round(1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)), 6) AS ratio FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)) >= 0.5""",
         "match_pairs_standard": f"{_T}, {_F}, {_EDGES} SELECT i, j, round(score, 6) AS score, reasons FROM e",
         "match_pairs_similar": """WITH r AS (SELECT a.p_partkey AS i, b.p_partkey AS j, a.p_name AS x, b.p_name AS y, 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS s
               FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM part) a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND (a.n <= 400 OR substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3)))

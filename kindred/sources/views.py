@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import conform
@@ -13,22 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as tracks: the first 60 characters as title, the language as artist, the source as album, the length as duration."""
-    return _documents(spark, sf_dir, F.substring("text", 1, 60))
-
-
-def whole_document_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``document_tracks`` with the whole text as title."""
-    return _documents(spark, sf_dir, F.col("text"))
-
-
-def _documents(spark: SparkSession, sf_dir: str, title: Column) -> DataFrame:
+    """Documents as tracks: the text as title, the language as artist, the source as album, the length as duration."""
     d = table(spark, sf_dir, "documents")
     fmt = F.element_at(F.array(*[F.lit(f) for f in ("mp3", "aac", "alac", "flac", "aiff", "wav")]), (F.col("doc_id") % 6 + 1).cast("int"))
     empty = F.lit("")
     return conform(d.select(
         F.col("doc_id").alias("id"), F.concat(F.lit("/lib/"), F.coalesce("source", empty), F.lit("/"), F.col("doc_id"), F.lit("."), fmt).alias("path"),
-        F.lit("/lib").alias("scan_root"), F.coalesce(title, empty).alias("title"), F.coalesce("lang", empty).alias("artist"),
+        F.lit("/lib").alias("scan_root"), F.coalesce("text", empty).alias("title"), F.coalesce("lang", empty).alias("artist"),
         F.coalesce("source", empty).alias("album"), F.col("n_chars").cast("double").alias("duration"), fmt.alias("format"),
         (F.col("doc_id") * 1009 % 5_000_000).alias("file_size"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 320).alias("bitrate"),
         F.map_from_arrays(F.array(F.lit("LANG"), F.lit("SOURCE")), F.array(F.coalesce("lang", empty), F.coalesce("source", empty))).alias("tags"),

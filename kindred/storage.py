@@ -25,16 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0].name}"
 
 
+def new_table(spark: SparkSession) -> str:
+    """The folder of a table that is not written yet."""
+    path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(_at_exit, spark)
+    _TABLES.append(path)
+    return path
+
+
 def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Lineage ends there, so a lost executor costs a reread and not a recomputation, and later joins know the table's true
     size (Spark then broadcasts it only below its own threshold).
     """
-    path = f"{shared_folder(df.sparkSession)}/kindred-{uuid.uuid4().hex}"
-    if not _TABLES:
-        atexit.register(_at_exit, df.sparkSession)
-    _TABLES.append(path)
+    path = new_table(df.sparkSession)
     writer = df.write.option("compression", compression) if compression else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

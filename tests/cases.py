@@ -1,4 +1,4 @@
-"""Queries over small literal tables: an operator beside the results that its rules ask for, written out."""
+"""Cases over small literal tables: an operator beside the results that its rules ask for, written out."""
 
 from __future__ import annotations
 
@@ -10,14 +10,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import credits as C
-from .functions import display as D
-from .functions import similarity as S
-from .functions import text as X
-from .operators import keepers, removal, tags
-from .options import AGGRESSIVE, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, TIDY, ExtraFieldRule, FieldRule, MatchCriteria, NormalisationOptions, Settings, parse_order, recognise_preset, save_preset
-from .plans.normalise import normalise
-from .sources import scan
+from kindred.functions import credits as C
+from kindred.functions import display as D
+from kindred.functions import similarity as S
+from kindred.functions import text as X
+from kindred.operators import keepers, removal, tags
+from kindred.options import AGGRESSIVE, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, TIDY, ExtraFieldRule, FieldRule, MatchCriteria, NormalisationOptions, Settings, parse_order, recognise_preset, save_preset
+from kindred.plans.normalise import normalise
+from kindred.sources import scan
 
 
 @dataclass(frozen=True)
@@ -267,7 +267,7 @@ _TAG_WRITES = (("/a", "MOOD=m,TITLE=old / MOOD=,TITLE=new;two / ok"), ("/b", "GE
 
 def _waveforms(spark: SparkSession, _: str) -> DataFrame:
     """A cache of two files, of which one has changed since."""
-    from .operators import waveform
+    from kindred.operators import waveform
 
     files = spark.createDataFrame([("/a", 10, 5), ("/b", 20, 5)], "path string, size long, t long").withColumn("modified", F.timestamp_seconds("t")).drop("t")
     empty = spark.createDataFrame([], "key string, version int, peaks array<double>, levels array<double>")
@@ -283,7 +283,7 @@ _WAVEFORMS = (("/a", "255,128 / 0,64"), ("/b", "missing"), ("cache", "entry"), (
 
 
 def _keepers(spark: SparkSession, _: str) -> DataFrame:
-    from .schema import conform
+    from kindred.schema import conform
 
     tracks = conform(spark.createDataFrame([(i, *c) for i, c in enumerate(_COPIES)], "id long, format string, bitrate int, duration double, file_size long, path string"))
     groups = spark.createDataFrame([(0, list(range(len(_COPIES))), 0.9, ["sameTitle"])], "id long, track_ids array<long>, confidence double, reasons array<string>")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from kindred import cases
+from . import cases
 
 SQL = cases.oracle_sql()
 

@@ -75,7 +75,7 @@ def test_large_components_split_like_small_ones(spark):
     rng = random.Random(9)
     links = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(260)})
     edges = spark.createDataFrame([(i, j, 1.0, [1]) for i, j in links], "i long, j long, score double, reasons array<int>")
-    small, large = (sorted(map(tuple, grouping.anchored_members(edges, limit).collect())) for limit in (10**6, 0))
+    small, large = (sorted(map(tuple, grouping.anchored_members(edges, small=limit).collect())) for limit in (10**6, 0))
     assert small == large and small
     assert {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(150)], "a long, b long")).collect()} == {i: 0 for i in range(151)}
 
