@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def shards(docs: DataFrame, size: int = SHARD, depth: int = DEPTH) -> DataFrame:
         words = [vocabulary[u] for u in used]
         if words[0] != BREAK:  # 0 stays the break
             words, small = [BREAK, *words], small + 1
-        values = [next(names), lang, own, int((small[:own] > 0).sum()), words, small.astype("<i4").tobytes()]
+        values = [next(names), lang, own, int((small[:own] > 0).sum()), words, packed(small)]
         schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("own", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.binary())), ("ids", pa.binary())])
         return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, values, strict=True)}, schema=schema)
 
@@ -111,6 +112,15 @@ def shards(docs: DataFrame, size: int = SHARD, depth: int = DEPTH) -> DataFrame:
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(cut, SHARDS)
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Word numbers as they are written and shuffled: compressed, since common words have small entropy."""
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<i4").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
+
+
 def _numbers() -> dict:
     numbers: dict = defaultdict()
     numbers.default_factory = numbers.__len__
@@ -124,11 +134,11 @@ def _digests(words: list[bytes], lang: str) -> np.ndarray:
 
 
 class _Level:
-    """A shard on its way to the paths of ``depth`` words: ``starts``, the places where the paths of the depth before that are left begin, of which the first ``own`` are its own."""
+    """A shard on its way to the paths of ``depth`` words: ``starts``, the places where the paths of the depth before that are left begin, of which the first ``own`` are its own. Written, they are a bit per word."""
 
     def __init__(self, row: dict, depth: int) -> None:
-        self.ids, self.words, self.lang = np.frombuffer(row["ids"], "<i4"), row["words"], row["lang"]
-        self.starts = np.frombuffer(row["starts"], "<i4") if depth > 1 else np.flatnonzero(self.ids)
+        self.ids, self.words, self.lang = unpacked(row["ids"]), row["words"], row["lang"]
+        self.starts = np.flatnonzero(np.unpackbits(np.frombuffer(row["starts"], np.uint8), count=len(self.ids))) if depth > 1 else np.flatnonzero(self.ids)
         if depth > 1:
             follows = np.zeros(len(self.ids) + 1, dtype=bool)
             follows[self.starts] = True
@@ -166,9 +176,10 @@ class _Level:
         inside = inside[: len(self.ids)]
         ids = np.where(inside, self.ids, 0)
         kept = inside | np.concatenate([[False], inside[:-1]])  # a break behind each run
-        place = np.cumsum(kept) - 1
+        begins = np.zeros(len(ids), dtype=bool)
+        begins[self.starts] = True
         used, small = np.unique(np.concatenate([[0], ids[kept]]), return_inverse=True)
-        return [self.words[u] for u in used], small[1:].astype("<i4").tobytes(), int(kept[:own].sum()), place[self.starts].astype("<i4").tobytes()
+        return [self.words[u] for u in used], packed(small[1:]), int(kept[:own].sum()), np.packbits(begins[kept]).tobytes()
 
 
 STATE = "shard long, lang string, own long, words array<binary>, ids binary, starts binary"
