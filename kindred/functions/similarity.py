@@ -37,7 +37,7 @@ def token_sort_ratio(a: Column, b: Column, at_least: float | None = None) -> Col
 
 def characters(s: Column) -> Column:
     """The code points of a text, none for an empty one."""
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.regexp_extract_all(s, F.lit("(?s)(.)"), F.lit(1))
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:

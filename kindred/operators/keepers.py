@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FORMAT_NAMES, is_lossless
@@ -67,40 +70,72 @@ def filled_tags() -> Column:
     return sum([*texts, *numbers], F.lit(0)) + F.size(F.map_filter("tags", lambda k, v: v != ""))
 
 
-def better(x: Column, best: Column, rules: tuple[KeeperRule, ...]) -> Column:
-    """Whether the copy x beats the best one so far: the first rule that tells them apart decides."""
-    out = F.lit(False)
-    for i, rule in reversed(list(enumerate(rules))):
-        a, b = x["ranks"][i], best["ranks"][i]
-        close = a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= rule.tolerance, F.lit(False))
-        out = F.when(close, out).otherwise(F.when(a.isNull(), False).when(b.isNull(), True).otherwise(a > b))
-    return out
+def best_copies(copies: DataFrame, rules: tuple[KeeperRule, ...] = DEFAULT_RULES) -> DataFrame:
+    """``group_id, keeper`` of copies (``group_id, pos`` and the tracks' columns), as a fold in order that holds no group.
+
+    Up to the first rule with a tolerance the rules are an order, and only copies that come first in it can be kept: a maximum per group, summed in part. Without such a rule
+    that is all. A tolerance makes "better" no order (of 1.0, 1.4 and 1.8 seconds none beats the one before it, but the last beats the first), so what is left is
+    folded in order: copies of equal ranks count once, a task reads its groups sorted by place and carries the best copy so far. A group of any size takes one row of memory.
+    """
+    exact = next((k for k, r in enumerate(rules) if r.tolerance), len(rules))
+    names = [f"r{k}" for k in range(len(rules))]
+    ranked = copies.select("group_id", "pos", F.col("id").alias("track_id"), *[r.rank().cast("double").alias(n) for n, r in zip(names, rules, strict=True)])
+    first = F.struct(*names[:exact], (-F.col("pos")).alias("place"), "track_id")  # nulls are smallest
+    top = ranked.groupBy("group_id").agg(F.max(first).alias("top"))
+    if exact == len(rules):
+        return top.select("group_id", F.col("top.track_id").alias("keeper"))
+    if exact:
+        of = top.select(F.col("group_id").alias("of"), *[F.col(f"top.{n}").alias(f"t{n}") for n in names[:exact]])
+        ranked = ranked.join(of, (F.col("group_id") == F.col("of")) & reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"t{n}")) for n in names[:exact]]), "left_semi")
+    rest = names[exact:]
+    distinct = ranked.groupBy("group_id", *rest).agg(F.min(F.struct("pos", "track_id")).alias("first")).select("group_id", "first.pos", "first.track_id", *rest)
+    tolerances = [r.tolerance for r in rules[exact:]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = keeper = best = None
+        for batch in batches:
+            done = []
+            for g, track, *ranks in zip(*(batch.column(c).to_pylist() for c in ("group_id", "track_id", *rest)), strict=True):
+                if g != group:
+                    if best is not None:
+                        done.append((group, keeper))
+                    group, keeper, best = g, track, ranks
+                elif beats(ranks, best, tolerances):
+                    keeper, best = track, ranks
+            yield _pairs(done)
+        if best is not None:
+            yield _pairs([(group, keeper)])
+
+    return distinct.repartition("group_id").sortWithinPartitions("group_id", "pos").mapInArrow(fold, "group_id long, keeper long")
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=pa.int64()) for k in (0, 1)], names=["group_id", "keeper"])
+
+
+def beats(ranks: list[float | None], best: list[float | None], tolerances: list[float]) -> bool:
+    """Whether a copy beats the best one so far: the first rule that tells them apart decides."""
+    for a, b, tolerance in zip(ranks, best, tolerances, strict=True):
+        if a is None or b is None:
+            if a is not b:
+                return b is None
+        elif abs(a - b) > tolerance:
+            return a > b
+    return False
 
 
 def choices(groups: DataFrame, tracks: DataFrame, rules: tuple[KeeperRule, ...] = DEFAULT_RULES) -> DataFrame:
-    """``group_id, keeper, others``. The copies are folded in order, since a tolerance makes "better" no order to sort by."""
-    ranks = F.array(*[r.rank() for r in rules]) if rules else F.expr("cast(array() as array<double>)")
-    copies = members(groups, tracks).select("group_id", F.struct("pos", F.col("id").alias("track_id"), ranks.alias("ranks")).alias("copy"))
-    lists = copies.groupBy("group_id").agg(F.array_sort(F.collect_list("copy")).alias("c"))
-    c = F.col("c")
-    best = F.aggregate(F.slice(c, F.lit(2), F.size(c)), c[0], lambda acc, x: F.when(better(x, acc, rules), x).otherwise(acc))["track_id"] if rules else c[0]["track_id"]
-    return lists.select("group_id", best.alias("keeper"), "c").select(
-        "group_id", "keeper", F.filter(F.transform("c", lambda x: x["track_id"]), lambda t: t != F.col("keeper")).alias("others")
-    )
-
-
-def choices_by_order(groups: DataFrame, tracks: DataFrame, rules: tuple[KeeperRule, ...]) -> DataFrame:
-    """``group_id, keeper`` for rules without a tolerance: then the fold is a sort."""
-    if any(r.tolerance for r in rules):
-        raise ValueError("a rule with a tolerance is not an order")
-    by = Window.partitionBy("group_id").orderBy(*[F.desc_nulls_last(f"r{i}") for i in range(len(rules))], "pos")
-    ranked = members(groups, tracks).select("group_id", "pos", F.col("id").alias("keeper"), *[r.rank().alias(f"r{i}") for i, r in enumerate(rules)])
-    return ranked.withColumn("n", F.row_number().over(by)).filter("n = 1").select("group_id", "keeper")
+    """``group_id, keeper, others``: the best copy of each group and the rest as an array, in order."""
+    copies = members(groups, tracks)
+    best = best_copies(copies, rules)
+    others = copies.select("group_id", "pos", "id").join(best, "group_id").groupBy("group_id", "keeper").agg(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("keeper"), F.struct("pos", "id")))).alias("o"))
+    return others.select("group_id", "keeper", F.transform("o", lambda x: x["id"]).alias("others"))
 
 
 def auto_select(groups: DataFrame, tracks: DataFrame, rules: tuple[KeeperRule, ...] = DEFAULT_RULES) -> DataFrame:
     """``id`` of every copy that is not kept."""
-    return choices(groups, tracks, rules).select(F.explode("others").alias("id")).distinct()
+    copies = members(groups, tracks)
+    return copies.select("group_id", "id").join(best_copies(copies, rules), "group_id").filter("id <> keeper").select("id").distinct()
 
 
 def apply_choices(marks: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions.text import search_fold
+from .search import SearchIndex, search
 
 
 def members(groups: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -19,12 +20,15 @@ def search_text(tracks: DataFrame) -> DataFrame:
     return tracks.select("id", search_fold(F.concat_ws("\n", "title", "artist", "album", "album_artist", "path")).alias("search_text"))
 
 
-def filter_groups(groups: DataFrame, tracks: DataFrame, text: str = "", minimum_confidence: float = 0.0) -> DataFrame:
-    """Groups of at least the confidence of which some copy contains the text, whatever its case and accents."""
+def filter_groups(groups: DataFrame, tracks: DataFrame | SearchIndex, text: str = "", minimum_confidence: float = 0.0) -> DataFrame:
+    """Groups of at least the confidence of which some copy contains the text, whatever its case and accents. A search index in place of the tracks is used and not built."""
     kept = groups.filter(F.col("confidence") >= minimum_confidence)
     if not (needle := text.strip()):
         return kept
-    hits = search_text(tracks).filter(F.contains("search_text", search_fold(F.lit(needle)))).select(F.col("id").alias("track_id"))
+    if isinstance(tracks, SearchIndex):
+        hits = search(tracks, needle).select(F.col("id").alias("track_id"))
+    else:
+        hits = search_text(tracks).filter(F.contains("search_text", search_fold(F.lit(needle)))).select(F.col("id").alias("track_id"))
     found = kept.select("id", F.explode("track_ids").alias("track_id")).join(hits, "track_id", "left_semi").select("id").distinct()
     return kept.join(found, "id", "left_semi")
 

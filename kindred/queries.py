@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import credits as C
 from .functions import display as D
 from .functions import similarity as S
 from .functions import text as X
-from .operators import blocking, compare, engine, grouping, keepers, removal, tags, views, waveform
+from .operators import blocking, compare, engine, grouping, keepers, removal, search, tags, views, waveform
 from .operators.components import components
 from .options import DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria
 from .plans.normalise import normalise
@@ -111,6 +111,23 @@ def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.filter_groups(groups, tracks, " SRC1 ", 0.5).select("id", "confidence")
 
 
+def _searched(needle: str):
+    """Through an index of all documents, from which every seventh track was removed afterwards."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        groups, tracks = _views(spark, sf_dir)
+        index = search.without(search.build(views.search_text(tracks)), tracks.filter("id % 7 = 0").select("id"))
+        return views.filter_groups(groups, index, needle, 0.5).select("id", "confidence")
+    return run
+
+
+def _tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one brand and size as copies whose lengths lie a fifth of a second apart."""
+    t = part_tracks(spark, sf_dir).withColumn("duration", F.when(F.col("id") % 11 != 0, (F.col("id") * 7 % 40) * F.lit(0.2)))
+    copies = t.select(F.dense_rank().over(Window.partitionBy("artist").orderBy("track_number")).alias("n"), "*")
+    copies = copies.select((F.regexp_extract("artist", "([0-9]+)", 1).cast("long") * 1000 + F.col("n")).alias("group_id"), F.col("id").alias("pos"), *t.columns)
+    return keepers.best_copies(copies, (keepers.KeeperRule("prefer_lossless"), keepers.KeeperRule("longer_duration"), keepers.KeeperRule("larger_file")))
+
+
 def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, tracks = _views(spark, sf_dir)
     return views.differing_cells(groups, tracks, "album")
@@ -306,7 +323,7 @@ def queries() -> dict:
         "match_groups_anchored": _match(STANDARD, document_tracks, flat=False), "match_groups_exact": _match(CLASSES, part_tracks, None),
         "match_groups_dj": _match(DJ, _decorated), "match_groups_loose": _match(LOOSE, _decorated),
         "match_groups_components": _match(replace(STANDARD, require_anchor_match=False), document_tracks),
-        "arrange_confidence": _arranged("confidence"), "arrange_copies": _arranged("copies"), "arrange_column": _arranged("bitrate", False), "filter_groups": _filtered, "diff_cells": _differences,
+        "arrange_confidence": _arranged("confidence"), "arrange_copies": _arranged("copies"), "arrange_column": _arranged("bitrate", False), "filter_groups": _filtered, "search_index_path": _searched(" SRC1 "), "search_index_text": _searched("Tion"), "search_index_short": _searched("2."), "keepers_tolerance": _tolerance, "diff_cells": _differences,
         "keepers_default": _keepers(keepers.DEFAULT_RULES), "keepers_path": _keepers(_PATH_RULES), "auto_select": _auto_select,
         "marked_summary": _marked, "drop_copies": _dropped, "removal_plan": _plan, "removal_collisions": _inside, "removal_plan_selected": _selected_plan, "removal_collisions_selected": _inside_selected, "tag_compare": _tag_compare,
         "waveform_rms": _waveform, "waveform_resample": _resample,
@@ -447,6 +464,12 @@ def oracle_sql() -> dict[str, str]:
         "arrange_column": f"""{_T}, {_G}, o AS (SELECT gid, string_agg(tid::VARCHAR, ',' ORDER BY bitrate DESC NULLS LAST, pos) AS track_ids, max(bitrate) AS top FROM m JOIN tracks ON tid = id GROUP BY gid)
             SELECT row_number() OVER (ORDER BY top DESC NULLS LAST, gid) - 1 AS rank, gid AS id, track_ids FROM o""",
         "filter_groups": f"""{_T}, {_G} SELECT gid AS id, confidence FROM g WHERE confidence >= 0.5 AND gid IN (SELECT gid FROM m JOIN tracks ON tid = id WHERE contains(lower(title || chr(10) || artist || chr(10) || album || chr(10) || chr(10) || path), 'src1'))""",
+        **{f"search_index_{n}": f"""{_T}, {_G} SELECT gid AS id, confidence FROM g WHERE confidence >= 0.5 AND gid IN (SELECT gid FROM m JOIN tracks ON tid = id WHERE id % 7 <> 0 AND contains(lower(strip_accents(title || chr(10) || artist || chr(10) || album || chr(10) || chr(10) || path)), '{needle}'))"""
+           for n, needle in (("path", "src1"), ("text", "tion"), ("short", "2."))},
+        "keepers_tolerance": """WITH p AS (SELECT p_partkey AS id, p_brand, p_size, CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey * 7 % 40) * 0.2::DOUBLE END AS d, CASE WHEN p_partkey % 3 > 0 THEN 1 ELSE 0 END AS l, p_partkey * 1000 + p_size AS f FROM part),
+            s AS (SELECT *, regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT * 1000 + dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS group_id FROM p), c AS (SELECT group_id, list({'id': id, 'l': l, 'd': d, 'f': f} ORDER BY id) AS c FROM s GROUP BY group_id)
+            SELECT group_id, list_reduce(c, lambda b, x: CASE WHEN x.l <> b.l THEN CASE WHEN x.l > b.l THEN x ELSE b END WHEN (x.d IS NULL) <> (b.d IS NULL) THEN CASE WHEN b.d IS NULL THEN x ELSE b END
+              WHEN x.d IS NOT NULL AND abs(x.d - b.d) > 0.5 THEN CASE WHEN x.d > b.d THEN x ELSE b END WHEN x.f > b.f THEN x ELSE b END).id AS keeper FROM c""",
         "diff_cells": f"""{_T}, {_G}, v AS (SELECT gid, tid, album FROM m JOIN tracks ON tid = id), c AS (SELECT gid, album, count(*) AS n FROM v GROUP BY 1, 2), x AS (SELECT gid, max(n) AS most, count(*) AS k FROM c GROUP BY 1),
             y AS (SELECT c.gid, count(*) AS tied, min(c.album) AS album FROM c JOIN x ON c.gid = x.gid AND c.n = x.most WHERE k > 1 GROUP BY 1)
             SELECT v.gid AS group_id, tid AS track_id FROM v JOIN y ON v.gid = y.gid WHERE tied > 1 OR v.album <> y.album""",

@@ -1,9 +1,11 @@
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from kindred.operators import keepers, removal, tags, views, waveform
+from kindred.functions.text import search_fold
+from kindred.operators import keepers, removal, search, tags, views, waveform
 from kindred.schema import TRACK, conform
 from kindred.sources import scan
 from kindred.streaming.cache_stream import follow
@@ -31,8 +33,7 @@ def test_keepers(spark):
     assert pick(K("prefer_lossless"), K("longer_duration")) == [1, 4]
     assert pick(K("higher_bitrate")) == [1, 4] and pick(K("path_does_not_contain", "/B/")) == [0, 3] and pick(K("prefer_format", "mp3")) == [0, 3] and pick(K("larger_file")) == [1, 4]
     rules = (K("prefer_lossless"), K("larger_file"))
-    by_sort = sorted(map(tuple, keepers.choices_by_order(groups(spark), tracks(spark), rules).collect()))
-    assert by_sort == [(0, 1), (1, 4)]
+    assert pick(*rules) == [1, 4]
     assert sorted(r.id for r in keepers.auto_select(groups(spark), tracks(spark), rules).collect()) == [0, 2, 3]
     marks = spark.createDataFrame([(1,), (9,)], "id long")
     assert sorted(r.id for r in keepers.apply_choices(marks, keepers.choices(groups(spark), tracks(spark), rules)).collect()) == [0, 2, 3, 9]
@@ -41,6 +42,39 @@ def test_keepers(spark):
     assert K("path_contains", "x").description == "Path contains “x”"
 
 
+def test_keeper_fold_equals_a_plain_loop(spark):
+    """Groups of many copies, ranks that are missing or equal, lengths around the tolerance."""
+    rng = random.Random(5)
+    rows = [(g, p, g * 1000 + p, rng.choice(["mp3", "flac"]), rng.choice([None, 100.0, 100.3, 100.5, 100.6, 101.1]), rng.choice([None, 1, 2])) for g in range(40) for p in range(rng.choice([2, 5, 120]))]
+    copies = conform(spark.createDataFrame([(i, f, d, b) for _, _, i, f, d, b in rows], "id long, format string, duration double, bitrate int"))
+    copies = copies.join(spark.createDataFrame([(i, g, p) for g, p, i, *_ in rows], "id long, group_id long, pos long"), "id").repartition(5)
+    for rules in ((K("longer_duration"), K("higher_bitrate")), (K("prefer_lossless"), K("longer_duration"), K("higher_bitrate")), (K("higher_bitrate"), K("prefer_lossless"))):
+        value = {"longer_duration": lambda r: r[4], "higher_bitrate": lambda r: r[5], "prefer_lossless": lambda r: float(r[3] == "flac")}
+        want = {}
+        for r in sorted(rows):
+            ranks = [value[k.kind](r) for k in rules]
+            if r[0] not in want or keepers.beats(ranks, want[r[0]][1], [k.tolerance for k in rules]):
+                want[r[0]] = (r[2], ranks)
+        assert {r.group_id: r.keeper for r in keepers.best_copies(copies, rules).collect()} == {g: i for g, (i, _) in want.items()}
+    assert keepers.best_copies(copies.limit(0)).count() == 0
+
+
+def test_search_index(spark):
+    texts = [(0, "Blue Möon\nx"), (1, ""), (2, None), (3, "blue moons"), (4, "oo"), (5, "漢字 blue"), (6, "a\u0301b")]
+    folded = spark.createDataFrame(texts, "id long, t string").select("id", search_fold(F.col("t")).alias("search_text"))
+    index = search.build(folded)
+    plain = {i: s or "" for i, s in folded.collect()}
+    for needle in ("", "blue", "MOON", "mö", "oo", "o", "字", "n\nx", "moons", "nothing", "  blue  ", "ab"):
+        wanted = {i for i, s in plain.items() if spark.range(1).select(search_fold(F.lit(needle.strip()))).first()[0] in s}
+        assert {r.id for r in search.search(index, needle).collect()} == wanted
+    less = search.without(search.without(index, spark.createDataFrame([(0,)], "id long")), spark.createDataFrame([(5,), (77,)], "id long"))
+    assert {r.id for r in search.search(less, "blue").collect()} == {3} == {r.id for r in search.search(search.compacted(less), "blue").collect()}
+    more = search.with_texts(less, spark.createDataFrame([(3, "gone"), (9, "blue again")], "id long, search_text string"))
+    assert {r.id for r in search.search(more, "blue").collect()} == {9} and {r.id for r in search.search(more, "gone").collect()} == {3}
+    plan = search.search(index, "moon")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "In(gram" in plan
+
+
 def test_views(spark):
     g, t = groups(spark), tracks(spark)
     ids = lambda out: [(r.id, r.track_ids) for r in out.orderBy("rank").collect()]

@@ -8,6 +8,7 @@ from kindred.operators import blocking, engine, grouping
 from kindred.operators.components import components
 from kindred.options import AGGRESSIVE, DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria, recognise_preset, save_preset
 from kindred.schema import conform
+from kindred.storage import materialise
 
 from . import model
 
@@ -80,6 +81,70 @@ def test_large_components_split_like_small_ones(spark):
     assert {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(150)], "a long, b long")).collect()} == {i: 0 for i in range(151)}
 
 
+def plain_stars(links, weight):
+    """The sequential split of nodes that stand for several, each copy written out."""
+    near = {}
+    for i, j in links:
+        for x, y in ((i, j), (j, i)):
+            near.setdefault(x, set()).add(y)
+    left, out = set(near), []
+    while left:
+        anchor = min(left, key=lambda n: (-sum(weight.get(m, 1) for m in near[n] & left) - weight.get(n, 1) + 1, n))
+        members = sorted(near[anchor] & left)
+        left -= {anchor, *members}
+        out += [(anchor, m) for m in [anchor, *members]] if members else []
+    return sorted(out)
+
+
+def test_queue_split_equals_the_plain_one():
+    for seed in range(60):
+        rng = random.Random(seed)
+        links = [tuple(sorted(rng.sample(range(30), 2))) for _ in range(rng.randint(0, 90))]
+        weight = {n: rng.randint(2, 9) for n in rng.sample(range(30), rng.choice([0, 5, 20]))}
+        assert sorted(grouping.greedy_stars(links, weight)) == plain_stars(links, weight)
+    chain = [(i, i + 1) for i in range(200_000)]
+    assert grouping.greedy_stars(chain)[:6] == [(1, 1), (1, 0), (1, 2), (4, 4), (4, 3), (4, 5)]
+
+
+def test_chain_in_order(spark):
+    """200,000 links whose ids are in order: contracted where they lie and split in one task."""
+    n = 200_000
+    edges = spark.range(n).selectExpr("id AS i", "id + 1 AS j", "1.0D AS score", "array(1) AS reasons")
+    found = components(edges.selectExpr("i AS a", "j AS b"))
+    assert found.filter("component <> 0").isEmpty() and found.count() == n + 1
+    sizes = {(r.anchor % 3, r["count"]) for r in grouping.anchored_members(edges).groupBy("anchor").count().collect()}
+    assert sizes == {(1, 3)} or sizes == {(1, 3), (1, 2)}
+
+
+@pytest.mark.parametrize("name", ["standard", "dj", "loose", "artist only", "title only", "constraints", "identical"])
+def test_large_cells_dealt_in_blocks(spark, name):
+    criteria = CASES[name]
+    prepared = materialise(engine.prepare(library(spark, 3), criteria))
+    whole, dealt = (sorted(map(tuple, blocking.candidate_pairs(prepared, criteria, 400, block).distinct().collect())) for block in (10**6, 3))
+    assert whole == dealt and whole
+    once = blocking.candidate_pairs(prepared, criteria, 400, 3).groupBy("i", "j").count().filter("count > 1 OR i >= j")
+    assert once.isEmpty()
+    kept = {tuple(r)[:2] for r in engine.edges(prepared, criteria).collect()}
+    assert kept <= set(whole)
+
+
+def test_a_third_of_all_rows_in_one_cell(spark):
+    """One title on a third of the tracks: units of its pairs are dealt evenly, and copies of one track form no pairs."""
+    rows = [(i, "Intro" if i % 3 == 0 else f"t {i}", f"a{i % 7}", float(i % 900)) for i in range(6000)]
+    tracks = conform(spark.createDataFrame(rows, "id long, title string, artist string, duration double"))
+    criteria = MatchCriteria(artist=FieldRule("similar"), duration_tolerance=3.0)
+    prepared = materialise(engine.prepare(tracks, criteria))
+    units = engine.edges(prepared, criteria, None)
+    assert units.count() == sum(abs(a[3] - b[3]) <= 3.0 and a[2] == b[2] for k, a in enumerate(r for r in rows if r[1] == "Intro") for b in [r for r in rows if r[1] == "Intro"][k + 1 :])
+    same = conform(spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'Intro' ELSE concat('t ', id) END AS title", "'a' AS artist", "10.0D AS duration"))
+    ready = materialise(engine.prepare(same, STANDARD))
+    rows, of, classes = engine.copies(ready, STANDARD)
+    assert rows.count() == 20_001 and of.count() == 10_000 == classes.first().weight
+    assert engine.edges(rows, STANDARD).isEmpty()
+    group = engine.match(same, STANDARD).collect()
+    assert len(group) == 1 and list(group[0].track_ids) == list(range(0, 30_000, 3)) and group[0].confidence == 1.0 and group[0].reasons == ["sameTitle", "sameArtist", "durationWithinTolerance"]
+
+
 def test_number_rows_is_global(spark):
     out = grouping.number_rows(spark.range(1000).repartition(7), [F.col("id").desc()], "n").collect()
     assert sorted((r.n, r.id) for r in out) == [(i, 999 - i) for i in range(1000)]
