@@ -11,7 +11,7 @@ from .functions import credits as C
 from .functions import display as D
 from .functions import similarity as S
 from .functions import text as X
-from .operators import blocking, compare, engine, grouping, keepers, removal, search, tags, views, waveform
+from .operators import blocking, compare, engine, grouping, incremental, keepers, removal, search, tags, views, waveform
 from .operators.components import components
 from .options import DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria
 from .plans.normalise import normalise
@@ -299,6 +299,20 @@ def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
 
 
+def _rematched(criteria, source):
+    """A kept matching through a removal, a restoration in part and an addition."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = source(spark, sf_dir)
+        last = t.agg(F.max("id")).first()[0] or 0
+        kept = incremental.build(t.filter(F.col("id") <= last * 0.9), criteria)
+        kept = incremental.remove(kept, t.filter("id % 5 = 0").filter(F.col("id") <= last * 0.9))
+        kept = incremental.restore(kept, t.filter("id % 10 = 0"))
+        kept = incremental.add(kept, t.filter(F.col("id") > last * 0.9))
+        out = incremental.groups_of(kept)
+        return out.select("id", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"), F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+    return run
+
+
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.describe(*_views(spark, sf_dir))
 
@@ -331,7 +345,7 @@ def queries() -> dict:
         "match_pairs_format": _pairs(replace(CLASSES, format="same"), part_tracks),
         "match_pairs_swapped": _pairs(replace(CLASSES, detect_swapped_fields=True), _swapped_tracks),
         "match_pairs_extra": _pairs(replace(CLASSES, extra_fields=(ExtraFieldRule("year", FieldRule("similar", 0.7)), ExtraFieldRule("album", FieldRule("same")))), part_tracks),
-        "marks_chosen": _marks, "marks_valid": _valid_marks, "filled_tags": _filled, "restore_groups": _restored, "group_headings": _described,
+        "marks_chosen": _marks, "marks_valid": _valid_marks, "filled_tags": _filled, "restore_groups": _restored, "rematch_standard": _rematched(replace(STANDARD, duration_tolerance=50.0), part_tracks), "group_headings": _described,
     }
 
 
@@ -500,6 +514,9 @@ def oracle_sql() -> dict[str, str]:
         "filled_tags": f"{_T} SELECT id, ((title <> '')::INT + (artist <> '')::INT * 2 + (album <> '')::INT * 2)::INT AS filled FROM tracks",
         "restore_groups": f"""WITH g AS (SELECT lower(p_name) AS t, lower(p_brand) AS a, list_sort(list(p_partkey)) AS ids FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 10 = 0 GROUP BY 1, 2 HAVING count(*) > 1)
             SELECT row_number() OVER (ORDER BY a, t) - 1 AS id, {_LIST.format('ids')} AS track_ids FROM g""",
+        "rematch_standard": "WITH RECURSIVE f AS (SELECT p_partkey AS id, lower(p_name) AS t, lower(p_brand) AS a, p_retailprice AS d FROM part, (SELECT max(p_partkey) AS last FROM part) WHERE p_partkey % 10 <> 5 OR p_partkey > last * 0.9), "
+            "e AS (SELECT x.id AS i, y.id AS j, 0.85::DOUBLE + 0.15::DOUBLE * (1 - 0.5::DOUBLE * abs(x.d - y.d) / 50) AS score, '1,5,11' AS reasons FROM f x JOIN f y ON x.t = y.t AND x.a = y.a AND x.id < y.id AND abs(x.d - y.d) <= 50), "
+            + _flat(_groups(True)),
         "group_headings": f"""{_T}, {_G} SELECT gid AS group_id, CASE WHEN artist <> '' THEN artist || ' – ' || title ELSE title END AS title,
             len(track_ids) || ' copies · ' || round(confidence * 100)::INT || '% · Same title · Same artist' AS detail FROM g JOIN tracks ON gid = id""",
         "removal_plan": f"{_T} SELECT id AS track_id, path AS source, '/removed' || path AS destination FROM tracks",

@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocking, engine, grouping
+from kindred.operators import blocking, engine, grouping, incremental
 from kindred.operators.components import components
 from kindred.options import AGGRESSIVE, DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria, recognise_preset, save_preset
 from kindred.schema import conform
@@ -81,6 +81,30 @@ def test_large_components_split_like_small_ones(spark):
     assert {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(150)], "a long, b long")).collect()} == {i: 0 for i in range(151)}
 
 
+@pytest.mark.parametrize("name", ["standard", "dj"])
+def test_kept_matching_equals_a_full_match(spark, name):
+    criteria = CASES[name]
+    tracks = materialise(library(spark, 8, 90))
+    flat = lambda out: [(g.track_ids, round(g.confidence, 9), g.reasons) for g in out.orderBy("id").collect()]
+    full = lambda rows: flat(engine.match(rows, criteria, None))
+    kept = incremental.build(tracks.filter("id < 80"), criteria)
+    assert flat(incremental.groups_of(kept)) == full(tracks.filter("id < 80"))
+    kept = incremental.remove(kept, tracks.filter("id % 3 = 0 AND id < 80"))
+    kept = incremental.restore(kept, tracks.filter("id % 6 = 0"))
+    assert flat(incremental.groups_of(kept)) == full(tracks.filter("id < 80 AND id % 6 <> 3"))
+    kept = incremental.add(kept, tracks.filter("id >= 80"))
+    assert flat(incremental.groups_of(kept)) == full(tracks.filter("id % 6 <> 3 OR id >= 80"))
+    kept = incremental.restore(kept, tracks)
+    assert flat(incremental.groups_of(kept)) == full(tracks)
+
+
+def test_a_change_reads_the_folders_that_it_touches(spark):
+    kept = incremental.build(conform(spark.range(2000).selectExpr("id", "concat('t', id div 2) AS title", "'a' AS artist")), STANDARD)
+    some = incremental._of(kept.links, "component", spark.createDataFrame([(10,)], "component long"))
+    plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [" in plan and plan.split("PartitionFilters: [")[1].split("]")[0].strip() and some.count() == 1
+
+
 def plain_stars(links, weight):
     """The sequential split of nodes that stand for several, each copy written out."""
     near = {}
