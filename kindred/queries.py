@@ -193,7 +193,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files now and the cache before: a tenth changed in size, an eighth new, some gone."""
     t = document_tracks(spark, sf_dir)
     files = t.filter("id % 9 <> 0").select("path", "scan_root", F.when(F.col("id") % 10 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("size"), "modified")
-    return files, t.filter("id % 8 <> 0").drop("id")
+    return files, scan.bucketed(t.filter("id % 8 <> 0").drop("id"), buckets=8)
 
 
 def _cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +205,21 @@ def _cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.to_read(*_snapshots(spark, sf_dir)).select("path", "size")
 
 
+def _cache_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.compared(*_snapshots(spark, sf_dir)).select("path", "status")
+
+
+def _cache_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after a scan of two roots in which every fourth file that had to be read has a problem."""
+    files, cache = _snapshots(spark, sf_dir)
+    both = materialise(scan.compared(files, cache))
+    number = F.regexp_extract("path", "([0-9]+)[.]", 1).cast("long")
+    fresh = scan.misses_of(both).select("path", "scan_root", F.col("size").alias("file_size"), "modified", F.when(number % 4 == 0, F.array(F.lit("bad"))).otherwise(F.expr("cast(array() as array<string>)")).alias("problems"), F.lit("new").alias("title"))
+    kept = [f for f in cache.columns if f not in ("path", "scan_root", "file_size", "modified", "title")]
+    fresh = fresh.withColumns({c: F.lit(None).cast(cache.schema[c].dataType) for c in kept})
+    return scan.updated(both, fresh, ["/lib/src1", "/lib/src2"]).select("path", "file_size", (F.col("title") == "new").alias("fresh"))
+
+
 def _cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, cache = _snapshots(spark, sf_dir)
     return scan.evict(cache, ["/lib/src1", "/lib/src2"], files).select("path")
@@ -320,7 +335,7 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     dash = lambda c: F.array_join(X.split_spaced_dash(c), "|")
     return {
-        "scan_tracks": _scan, "scan_supported_formats": _supported, "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_evict": _cache_evict,
+        "scan_tracks": _scan, "scan_supported_formats": _supported, "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_evict": _cache_evict, "cache_status": _cache_status, "cache_updated": _cache_updated,
         "format_counts": lambda s, d: views.format_counts(document_tracks(s, d)), "tag_keys": lambda s, d: views.tag_keys(document_tracks(s, d)),
         "txt_collapse": _text(X.collapse, document_tracks), "txt_unify_punctuation": _text(lambda c: X.unify_punctuation(F.concat(c, F.lit(" – ‘x’ “y”")))),
         "txt_strip_punctuation": _text(X.strip_punctuation), "txt_the": _text(X.remove_the), "txt_ampersand": _text(X.ampersand_to_and, column="artist"),
@@ -431,6 +446,10 @@ def oracle_sql() -> dict[str, str]:
             FROM files f JOIN tracks t ON t.path = f.path LEFT JOIN hit h ON h.path = f.path""",
         "cache_hits": f"{_FILES} SELECT f.path, file_size FROM files f JOIN cache c ON f.path = c.path AND f.size = c.file_size",
         "cache_misses": f"{_FILES} SELECT path, size FROM files f WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE f.path = c.path AND f.size = c.file_size)",
+        "cache_status": f"{_FILES} SELECT coalesce(f.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'gone' WHEN f.size = c.file_size THEN 'hit' ELSE 'stale' END AS status FROM files f FULL JOIN cache c ON f.path = c.path",
+        "cache_updated": f"""{_FILES}, s AS (SELECT coalesce(f.path, c.path) AS path, f.path IS NULL AS gone, c.path IS NOT NULL AS had, coalesce(f.size = c.file_size, false) AS hit, f.size, c.file_size, regexp_extract(coalesce(f.path, c.path), '([0-9]+)[.]', 1)::BIGINT % 4 <> 0 AS good FROM files f FULL JOIN cache c ON f.path = c.path)
+            SELECT path, CASE WHEN NOT gone AND NOT hit AND good THEN size ELSE file_size END AS file_size, NOT gone AND NOT hit AND good AS fresh FROM s
+            WHERE (NOT gone AND NOT hit AND good) OR (had AND NOT (gone AND (path LIKE '/lib/src1/%' OR path LIKE '/lib/src2/%')))""",
         "cache_evict": f"{_FILES} SELECT path FROM cache WHERE NOT ((path LIKE '/lib/src1/%' OR path LIKE '/lib/src2/%') AND path NOT IN (SELECT path FROM files))",
         "format_counts": f"{_T} SELECT format, count(*) AS n, list_position(['mp3', 'aac', 'alac', 'flac', 'aiff', 'wav'], format) - 1 AS pos FROM tracks GROUP BY format",
         "tag_keys": "SELECT unnest(['LANG', 'SOURCE']) AS key",

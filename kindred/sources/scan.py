@@ -21,10 +21,11 @@ from ..functions.text import leading_number, year
 from ..operators.grouping import number_rows
 from ..operators.removal import in_folder
 from ..schema import EXTENSIONS, extension, format_of
-from ..storage import materialise
+from ..storage import materialise, new_table
 
 VALUE_SEPARATOR = "; "
 CACHE_VERSION = 1
+BUCKETS = 64
 SIMPLE = (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.TimestampType)
 
 
@@ -152,14 +153,56 @@ def issues(tracks: DataFrame) -> DataFrame:
     return tracks.select("path", F.explode("problems").alias("message"))
 
 
+def bucketed(cache: DataFrame, folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The cache as a table in ``buckets`` files by path, so that joins by path shuffle the files alone; ``folder`` must not exist yet."""
+    spark = cache.sparkSession
+    name, folder = f"kindred_cache_{uuid.uuid4().hex}", folder or new_table(spark)
+    cache.repartition(buckets, "path").write.bucketBy(buckets, "path").sortBy("path").option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
+def compared(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """One outer join by path: ``path, status, file, cached`` (structs, null where there is none).
+
+    status: ``hit`` (size and time are equal), ``stale`` (they are not), ``new`` (not cached) or ``gone`` (not found).
+    """
+    f = files.select("path", F.struct(*[c for c in files.columns if c != "path"]).alias("file"))
+    c = cache.select("path", F.struct(*[c for c in cache.columns if c != "path"]).alias("cached"))
+    both = f.join(c, "path", "full_outer")
+    equal = (F.col("file.size") == F.col("cached.file_size")) & (F.col("file.modified") == F.col("cached.modified"))
+    status = F.when(F.col("cached").isNull(), "new").when(F.col("file").isNull(), "gone").when(equal, "hit").otherwise("stale")
+    return both.select("path", status.alias("status"), "file", "cached")
+
+
+def hits_of(both: DataFrame) -> DataFrame:
+    """The cached rows that still hold, with the root of the file."""
+    names = both.schema["cached"].dataType.fieldNames()
+    return both.filter("status = 'hit'").select("path", *[F.col("file.scan_root" if c == "scan_root" else f"cached.{c}").alias(c) for c in names])
+
+
+def misses_of(both: DataFrame) -> DataFrame:
+    """The files that have to be read."""
+    return both.filter("status IN ('new', 'stale')").select("path", "file.*")
+
+
 def cache_hits(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Cached rows whose path, size and time all equal those of a file; the file's root is attached."""
-    cached = cache.withColumnsRenamed({"file_size": "size"})
-    return files.join(cached.drop("scan_root"), ["path", "size", "modified"]).withColumnRenamed("size", "file_size")
+    return hits_of(compared(files, cache))
 
 
 def to_read(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return files.join(cache.select("path", F.col("file_size").alias("size"), "modified"), ["path", "size", "modified"], "left_anti")
+    return misses_of(compared(files, cache))
+
+
+def updated(both: DataFrame, read: DataFrame, roots: list[str]) -> DataFrame:
+    """The cache after a scan: without entries below the scanned roots that were not found, with newly read rows in place of older ones. Rows with problems are not cached, and what was cached of them stays."""
+    names = both.schema["cached"].dataType.fieldNames()
+    left = both.filter(F.col("cached").isNotNull() & ~((F.col("status") == "gone") & _below(roots))).select("path", *[F.col(f"cached.{c}").alias(c) for c in names])
+    return upsert(left, read)
+
+
+def _below(roots: list[str]) -> Column:
+    return reduce(lambda a, r: a | in_folder(F.col("path"), F.lit(r)), roots, F.lit(False))
 
 
 def upsert(cache: DataFrame, read: DataFrame) -> DataFrame:
@@ -170,11 +213,8 @@ def upsert(cache: DataFrame, read: DataFrame) -> DataFrame:
 
 def evict(cache: DataFrame, roots: list[str], files: DataFrame) -> DataFrame:
     """The cache without entries below the scanned roots that were not found; others stay."""
-    below = F.lit(False)
-    for r in roots:
-        below = below | in_folder(F.col("path"), F.lit(r))
-    gone = cache.filter(below).join(files.select("path"), "path", "left_anti").select("path")
-    return cache.join(gone, "path", "left_anti")
+    found = files.select("path", F.lit(True).alias("_found")).distinct()
+    return cache.join(found, "path", "left").filter(F.col("_found").isNotNull() | ~_below(roots)).select(*cache.columns)
 
 
 def save_cache(cache: DataFrame, path: str) -> None:
@@ -206,9 +246,10 @@ def is_changed(before: DataFrame, after: DataFrame) -> bool:
     return not before.select(*key).exceptAll(after.select(*key)).isEmpty() or not after.select(*key).exceptAll(before.select(*key)).isEmpty()
 
 
-def scan(files: DataFrame, cache: DataFrame, read) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tracks, issues, new cache). read: a function from the files that are not cached to ``build_tracks`` rows."""
-    fresh = materialise(read(to_read(files, cache)))
-    hits = cache_hits(files, cache)
+def scan(files: DataFrame, cache: DataFrame, read, roots: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tracks, issues, new cache). read: a function from the files that are not cached to ``build_tracks`` rows. Files and cache are joined once."""
+    both = materialise(compared(files, cache))
+    fresh = materialise(read(misses_of(both)))
+    hits = hits_of(both)
     tracks = assemble(hits.unionByName(fresh.drop("problems").select(*hits.columns)))
-    return tracks, issues(fresh), upsert(cache, fresh)
+    return tracks, issues(fresh), updated(both, fresh, list(roots)).select(*cache.columns)
