@@ -19,6 +19,7 @@ from .schema import EXTENSIONS, extension, format_of
 from .sources import scan
 from .sources.views import document_tracks, part_tracks, table
 from .storage import materialise
+from .streaming import cache_state
 
 ASCII = r"^[\x00-\x7F]*$"
 PARTS = MatchCriteria(duration_tolerance=3.0)
@@ -220,6 +221,19 @@ def _cache_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.updated(both, fresh, ["/lib/src1", "/lib/src2"]).select("path", "file_size", (F.col("title") == "new").alias("fresh"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sightings of files, read as a stream: a path per user and type, the value as size."""
+    events = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(events if _is_folder(spark, events) else f"{sf_dir}/events.parque[t]")
+    seen = stream.select(F.concat(F.lit("/lib/"), "user_id", F.lit("/"), "event_type").alias("path"), F.floor("value").cast("long").alias("size"), F.col("ts").cast("timestamp").alias("modified"))
+    return cache_state.changes_now(seen).select("path", "version", "size")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def _cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, cache = _snapshots(spark, sf_dir)
     return scan.evict(cache, ["/lib/src1", "/lib/src2"], files).select("path")
@@ -335,7 +349,7 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     dash = lambda c: F.array_join(X.split_spaced_dash(c), "|")
     return {
-        "scan_tracks": _scan, "scan_supported_formats": _supported, "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_evict": _cache_evict, "cache_status": _cache_status, "cache_updated": _cache_updated,
+        "scan_tracks": _scan, "scan_supported_formats": _supported, "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_evict": _cache_evict, "cache_status": _cache_status, "cache_updated": _cache_updated, "cache_versions": _versions,
         "format_counts": lambda s, d: views.format_counts(document_tracks(s, d)), "tag_keys": lambda s, d: views.tag_keys(document_tracks(s, d)),
         "txt_collapse": _text(X.collapse, document_tracks), "txt_unify_punctuation": _text(lambda c: X.unify_punctuation(F.concat(c, F.lit(" – ‘x’ “y”")))),
         "txt_strip_punctuation": _text(X.strip_punctuation), "txt_the": _text(X.remove_the), "txt_ampersand": _text(X.ampersand_to_and, column="artist"),
@@ -450,6 +464,8 @@ def oracle_sql() -> dict[str, str]:
         "cache_updated": f"""{_FILES}, s AS (SELECT coalesce(f.path, c.path) AS path, f.path IS NULL AS gone, c.path IS NOT NULL AS had, coalesce(f.size = c.file_size, false) AS hit, f.size, c.file_size, regexp_extract(coalesce(f.path, c.path), '([0-9]+)[.]', 1)::BIGINT % 4 <> 0 AS good FROM files f FULL JOIN cache c ON f.path = c.path)
             SELECT path, CASE WHEN NOT gone AND NOT hit AND good THEN size ELSE file_size END AS file_size, NOT gone AND NOT hit AND good AS fresh FROM s
             WHERE (NOT gone AND NOT hit AND good) OR (had AND NOT (gone AND (path LIKE '/lib/src1/%' OR path LIKE '/lib/src2/%')))""",
+        "cache_versions": """WITH s AS (SELECT '/lib/' || user_id || '/' || event_type AS path, floor(value)::BIGINT AS size, ts FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, size) AS rn, lag(size) OVER (PARTITION BY path ORDER BY ts, size) AS prior FROM s)
+            SELECT path, row_number() OVER (PARTITION BY path ORDER BY rn) AS version, size FROM o WHERE prior IS NULL OR prior <> size""",
         "cache_evict": f"{_FILES} SELECT path FROM cache WHERE NOT ((path LIKE '/lib/src1/%' OR path LIKE '/lib/src2/%') AND path NOT IN (SELECT path FROM files))",
         "format_counts": f"{_T} SELECT format, count(*) AS n, list_position(['mp3', 'aac', 'alac', 'flac', 'aiff', 'wav'], format) - 1 AS pos FROM tracks GROUP BY format",
         "tag_keys": "SELECT unnest(['LANG', 'SOURCE']) AS key",

@@ -8,6 +8,7 @@ from kindred.functions.text import search_fold
 from kindred.operators import keepers, removal, search, tags, views, waveform
 from kindred.schema import TRACK, conform
 from kindred.sources import scan
+from kindred.streaming import cache_state
 from kindred.streaming.cache_stream import follow
 
 K = keepers.KeeperRule
@@ -205,3 +206,33 @@ def test_scan(spark, tmp_path):
     fresh.write.parquet(inbox)
     follow(spark, inbox, fresh.schema, str(tmp_path / "streamed"), str(tmp_path / "progress")).awaitTermination()
     assert scan.load_cache(spark, str(tmp_path / "streamed"), type(TRACK)([f for f in fresh.schema.fields if f.name != "problems"])).count() == 1
+
+
+def test_versions_go_on_after_a_restart(spark, tmp_path):
+    """Two runs over files that arrive one after the other give what one run over both gives."""
+    schema = "path string, size long, modified timestamp"
+    rows = [[("a", 1, "2024-01-01 00:00:01"), ("a", 1, "2024-01-01 00:00:02"), ("b", 5, "2024-01-01 00:00:01"), (None, 1, "2024-01-01 00:00:01")], [("a", 1, "2024-01-01 00:00:03"), ("a", 2, "2024-01-01 00:00:04"), ("a", 9, "2024-01-01 00:00:01"), ("b", 6, "2024-01-01 00:00:09")]]
+    frames = [spark.createDataFrame(r, "path string, size long, m string").selectExpr("path", "size", "CAST(m AS timestamp) AS modified") for r in rows]
+    stream = lambda at: spark.readStream.schema(schema).parquet(f"{tmp_path}/{at}")
+    for at, parts in (("both", [frames[0].union(frames[1].filter("size <> 9"))]), ("steps", frames)):
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{at}")
+            cache_state.follow_changes(stream(at), f"{tmp_path}/{at}-out", f"{tmp_path}/{at}-state")
+    both, steps = (sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{at}-out").select("path", "version", "size").collect())) for at in ("both", "steps"))
+    assert both == steps == [("a", 1, 1), ("a", 2, 2), ("b", 1, 5), ("b", 2, 6)]
+
+
+def test_cache_side_is_not_shuffled(spark):
+    cache = conform(spark.range(50).selectExpr("id", "concat('/lib/', id, '.mp3') AS path", "id AS file_size", "timestamp '2024-01-01' AS modified")).drop("id")
+    files = cache.filter("file_size < 40").select("path", "scan_root", (F.col("file_size") + F.when(F.col("file_size") % 10 == 0, 1).otherwise(0)).alias("size"), "modified")
+    table = scan.bucketed(cache, buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, n in ((scan.cache_hits(files, table), 36), (scan.to_read(files, table), 4), (scan.evict(table, ["/lib"], files), 40), (scan.compared(files, table), 50)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == n and "Bucketed: true" in plan
+            table_side = [line for line in plan.splitlines() if "Exchange" in line]
+            assert table_side and all("kindred_cache" not in line for line in table_side) and len(table_side) == 1 + ("distinct" in plan or "Aggregate" in plan), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
