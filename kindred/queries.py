@@ -16,7 +16,7 @@ from .operators.components import components
 from .options import DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria
 from .plans.normalise import normalise
 from .schema import EXTENSIONS, extension, format_of
-from .sources import scan
+from .sources import frames, scan
 from .sources.views import document_tracks, part_tracks, table
 from .storage import materialise
 from .streaming import cache_state
@@ -254,6 +254,14 @@ def _waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waveform.measure_arrays(e, "embedding", 16).select("id", "slice", F.round("peak", 5).alias("peak"), F.round("level", 5).alias("level"))
 
 
+def _metered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as one recording per 64 vectors, written as PCM and read in ranges of frames."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 64).cast("long").alias("id"), "vec_id", "embedding")
+    long = e.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("samples"))
+    read = frames.read_frames(spark, frames.write_frames(long, "samples"), range_bytes=4096)
+    return waveform.measure(read, 16).select("id", "slice", F.round("peak", 4).alias("peak"), F.round("level", 4).alias("level"))
+
+
 def _resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     values = F.transform("embedding", lambda x: waveform.quantise(x.cast("double")))
@@ -369,7 +377,7 @@ def queries() -> dict:
         "arrange_confidence": _arranged("confidence"), "arrange_copies": _arranged("copies"), "arrange_column": _arranged("bitrate", False), "filter_groups": _filtered, "search_index_path": _searched(" SRC1 "), "search_index_text": _searched("Tion"), "search_index_short": _searched("2."), "keepers_tolerance": _tolerance, "diff_cells": _differences,
         "keepers_default": _keepers(keepers.DEFAULT_RULES), "keepers_path": _keepers(_PATH_RULES), "auto_select": _auto_select,
         "marked_summary": _marked, "drop_copies": _dropped, "removal_plan": _plan, "removal_collisions": _inside, "removal_plan_selected": _selected_plan, "removal_collisions_selected": _inside_selected, "tag_compare": _tag_compare,
-        "waveform_rms": _waveform, "waveform_resample": _resample,
+        "waveform_rms": _waveform, "waveform_frames": _metered, "waveform_resample": _resample,
         "txt_featured_credit": _text(lambda c: F.coalesce(C.split_featured(c)["featured"], F.lit("-"))),
         "match_pairs_format": _pairs(replace(CLASSES, format="same"), part_tracks),
         "match_pairs_swapped": _pairs(replace(CLASSES, detect_swapped_fields=True), _swapped_tracks),
@@ -564,6 +572,9 @@ def oracle_sql() -> dict[str, str]:
         "removal_collisions_selected": f"{_KEEP} SELECT tid AS track_id, '/removed' || path AS destination FROM k JOIN tracks ON tid = id WHERE rn > 1 AND path LIKE '/lib/src1/%' ORDER BY tid LIMIT 1",
         "waveform_rms": """WITH s AS (SELECT vec_id AS id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS f, len(embedding) AS n FROM embeddings)
             SELECT id, least(f * least(16, n) // n, least(16, n) - 1) AS slice, round(max(abs(x)), 5) AS peak, round(sqrt(avg(x::DOUBLE * x)), 5) AS level FROM s GROUP BY 1, 2""",
+        "waveform_frames": """WITH v AS (SELECT vec_id // 64 AS id, vec_id, embedding FROM embeddings), s AS (SELECT id, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS f FROM v),
+            o AS (SELECT id, (round_even(greatest(least(x::DOUBLE, 1), -1) * 32767, 0)::FLOAT / 32767::FLOAT)::FLOAT AS x, row_number() OVER (PARTITION BY id ORDER BY vec_id, f) - 1 AS f, count(*) OVER (PARTITION BY id) AS n FROM s)
+            SELECT id, least(f * least(16, n) // n, least(16, n) - 1) AS slice, round(max(abs(x)), 4) AS peak, round(sqrt(avg(x::DOUBLE * x)), 4) AS level FROM o GROUP BY 1, 2""",
         "waveform_resample": """WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(greatest(least(x::DOUBLE, 1), 0) * 255) / 255) AS v FROM embeddings), i AS (SELECT id, v, unnest(range(10)) AS slice FROM s)
             SELECT id, slice, round(list_max(v[(slice * len(v) // 10 + 1):greatest(slice * len(v) // 10 + 1, (slice + 1) * len(v) // 10)]), 6) AS value FROM i""",
     }

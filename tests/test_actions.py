@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import search_fold
 from kindred.operators import keepers, removal, search, tags, views, waveform
 from kindred.schema import TRACK, conform
-from kindred.sources import scan
+from kindred.sources import frames, scan
 from kindred.streaming import cache_state
 from kindred.streaming.cache_stream import follow
 
@@ -236,3 +236,18 @@ def test_cache_side_is_not_shuffled(spark):
             assert table_side and all("kindred_cache" not in line for line in table_side) and len(table_side) == 1 + ("distinct" in plan or "Aggregate" in plan), plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_frames_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    sounds = {1: [rng.uniform(-1.2, 1.2) for _ in range(5000)], 2: [0.5], 3: [], 4: None}
+    folder = frames.write_frames(spark.createDataFrame(list(sounds.items()), "id long, samples array<double>"), "samples", f"file://{tmp_path}/pcm")
+    read = frames.read_frames(spark, folder, range_bytes=512)
+    assert read.filter("id = 1").select(F.spark_partition_id()).distinct().count() == 20
+    got = {(r.id, r.frame): r.samples[0] for r in read.collect()}
+    stored = lambda x: round(max(-1, min(1, x)) * 32767) / 32767
+    assert len(got) == 5001 and all(abs(got[i, k] - stored(x)) < 1e-6 for i, s in sounds.items() for k, x in enumerate(s or []))
+    two = frames.read_frames(spark, folder, channels=2).filter("id = 1")
+    assert two.count() == 2500 and all(len(r.samples) == 2 and abs(r.samples[1] - stored(sounds[1][2 * r.frame + 1])) < 1e-6 for r in two.collect())
+    whole, parts = (sorted(map(tuple, waveform.measure(x, 7).collect())) for x in (frames.read_frames(spark, folder), read))
+    assert [w[:3] for w in whole] == [p[:3] for p in parts]
