@@ -78,17 +78,24 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return F.greatest(jaro_winkler(a, b), token_sort_ratio(a, b))
 
 
-def letter_bags(s: Column) -> list[Column]:
-    """How many characters of each kind a text has, as two longs; null if the text is too long for them."""
-    length = F.length(s)
-    counts = [length - F.length(F.translate(s, k, "")) for k in KINDS]
-    counts.append(length - sum(counts[1:], counts[0]))
-    fits = (length <= LONGEST) & (F.greatest(*counts) <= MOST)
-    longs = []
-    for own in (counts[:LANES], counts[LANES:]):
-        terms = [F.shiftleft(n.cast("long"), BITS * k) for k, n in enumerate(own)]
-        longs.append(F.when(fits, sum(terms[1:], terms[0])))
-    return longs
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def letter_bags(s: Column) -> Column:
+    """``struct<b0, b1>``: how many characters of each kind a text has, as two longs; null if the text is too long for them."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    known = F.transform(kinds, lambda k: F.length(s) - F.length(F.call_function("translate", s, k, F.lit(""))))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    shifts = F.array(*[F.lit(1 << (BITS * k)) for k in range(LANES)])
+    pack = lambda c, first: add(F.zip_with(F.slice(c, first + 1, LANES), shifts, lambda n, by: n * by))
+
+    def packed(c: Column) -> Column:
+        fits = (F.length(s) <= LONGEST) & (F.array_max(c) <= MOST)
+        return F.struct(F.when(fits, pack(c, 0)).alias("b0"), F.when(fits, pack(c, LANES)).alias("b1"))
+
+    return bound(bound(known, lambda c: F.concat(c, F.array((F.length(s) - add(c)).cast("int")))), packed)
 
 
 def most_in_common(x: list[Column], y: list[Column]) -> Column:
@@ -109,8 +116,7 @@ def most_in_common(x: list[Column], y: list[Column]) -> Column:
 
 def outline(s: Column) -> Column:
     """What the bounds look at: ``struct<hash, b0, b1, n, words, first>``; words is the length of the text with its words sorted."""
-    b0, b1 = letter_bags(s)
-    return F.struct(F.xxhash64(s).alias("hash"), b0.alias("b0"), b1.alias("b1"), F.length(s).alias("n"), F.length(sorted_words(s)).alias("words"), F.left(s, F.lit(1)).alias("first"))
+    return bound(letter_bags(s), lambda b: F.struct(F.xxhash64(s).alias("hash"), b["b0"].alias("b0"), b["b1"].alias("b1"), F.length(s).alias("n"), F.length(sorted_words(s)).alias("words"), F.left(s, F.lit(1)).alias("first")))
 
 
 def may_reach(x: Column, y: Column, level: str, at_least: float) -> Column:
