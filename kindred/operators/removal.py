@@ -194,6 +194,7 @@ def _files(n: int) -> str:
     return f"{n:,} {'file' if n == 1 else 'files'}"
 
 
+# The texts of the two summaries.
 def summary(operation: Operation, planned: int | None = None, folder: str | None = None) -> str:
     """What was moved where, and what went wrong. planned: how many files the plan had, if it may have been stopped."""
     moved, bad = len(operation.records), len(operation.failures)
