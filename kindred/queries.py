@@ -13,7 +13,7 @@ from .functions import similarity as S
 from .functions import text as X
 from .operators import blocking, compare, engine, grouping, incremental, keepers, removal, search, tags, views, waveform
 from .operators.components import components
-from .options import DJ, DJ_LIBRARY, LOOSE, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria
+from .options import DJ, DJ_LIBRARY, LOOSE, MINIMAL, STANDARD, ExtraFieldRule, FieldRule, MatchCriteria
 from .plans.normalise import normalise
 from .schema import EXTENSIONS, extension, format_of
 from .sources import frames, scan
@@ -96,7 +96,8 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = engine.prepare(part_tracks(spark, sf_dir), STANDARD)
-    return blocking.cells(prepared, STANDARD, 20).groupBy("key", "sub_key").agg(F.count("*").alias("n"))
+    cells = blocking.cells(prepared, STANDARD, 20, digests=False).groupBy("key", "sub_key").agg(F.count("*").alias("n"))
+    return cells.withColumn("of", F.sum("n").over(Window.partitionBy("key"))).filter("of >= 2").drop("of")
 
 
 def _arranged(order, ascending=True):
@@ -350,6 +351,48 @@ def _rematched(criteria, source):
     return run
 
 
+def _split_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose titles hold the artist, are empty (the file's name has both), or hold another artist."""
+    k, name, brand = F.col("id") % 4, F.col("title"), F.col("artist")
+    both = F.concat(brand, F.lit(" - "), name)
+    t = part_tracks(spark, sf_dir).withColumns({
+        "title": F.when(k < 2, both).when(k == 2, "").otherwise(F.concat(F.lit("Other - "), name)), "artist": F.when(k % 2 == 0, "").otherwise(brand),
+        "path": F.concat(F.lit("/lib/07 - "), both, F.lit(".mp3")),
+    })
+    out = normalise(t, replace(MINIMAL, split_artist_from_title=True, filename_fallback=True, strip_track_number_prefix=True), stem=D.file_stem(F.col("path")))
+    return out.select("id", F.col("n.title").alias("title"), F.col("n.artist").alias("artist"))
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), D.format_date(ts).alias("utc"), D.format_date(ts, "Asia/Tokyo").alias("tokyo"))
+
+
+def _sample_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 977 * 50 + 8000).cast("int").alias("rate"))
+    return o.select("id", D.format_sample_rate(F.col("rate")).alias("result"))
+
+
+def _version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    version = F.concat_ws(".", (k % 3).cast("string"), (k % 13).cast("string"), F.when(k % 4 == 1, "0").when(k % 4 == 2, (k % 7).cast("string")))
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), version.alias("version"))
+    return grouping.number_rows(c, [D.version_key(F.col("version")), F.col("id")], "rank")
+
+
+def _name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    return o.select("id", D.name_list(F.transform("keys", lambda x: x.cast("string"))).alias("result"))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What container, codec and bits say of a file, by part."""
+    k = F.col("p_partkey")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    fmt = scan.codec_format(pick(("MP4", "m4a", "mpeg", "FLAC", "wav", "ogg", "aiff"), k), pick(("ALAC", "aac", "opus"), F.floor(k / 7)))
+    return table(spark, sf_dir, "part").select(k.alias("id"), fmt.alias("format"), scan.bit_depth_of(fmt, (k % 3 * 8).cast("int")).alias("bits"), scan.decoded_duration(k * 441, (k % 4 * 11025).cast("int")).alias("seconds"))
+
+
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.describe(*_views(spark, sf_dir))
 
@@ -365,7 +408,8 @@ def queries() -> dict:
         "txt_version_class": _text(C.version_class), "txt_featured": _text(lambda c: C.split_featured(c)["main"]), "txt_collaborators": _text(lambda c: F.array_join(C.split_collaborators(c), "|"), column="artist"),
         "txt_brackets": _text(lambda c: F.array_join(F.transform(C.bracket_segments(c), lambda x: C.segment_text(c, x)), "|")),
         "txt_fold_diacritics": _text(X.fold_diacritics, document_tracks), "txt_natural_order": _natural, "txt_display": _display, "txt_sizes": _sizes,
-        "normalise_dj": _normalised(DJ_LIBRARY), "normalise_aggressive": _normalised(LOOSE.normalisation),
+        "normalise_split": _split_titles, "txt_tokens": _text(lambda c: F.array_join(F.array_sort(X.tokens(c)), "|")), "txt_dates": _dates, "txt_sample_rates": _sample_rates,
+        "txt_version_order": _version_order, "txt_name_lists": _name_lists, "scan_streams": _streams, "normalise_dj": _normalised(DJ_LIBRARY), "normalise_aggressive": _normalised(LOOSE.normalisation),
         "similarity_token_sort": _token_sort, "similarity_jaro_winkler": _jaro_winkler,
         "match_pairs_standard": _pairs(STANDARD, document_tracks),
         "match_pairs_similar": _pairs(MatchCriteria(title=FieldRule("similar", 0.6), artist=FieldRule("same"), duration_tolerance=None), part_tracks),
@@ -484,6 +528,17 @@ def oracle_sql() -> dict[str, str]:
         "txt_ampersand": f"SELECT id, replace(artist, ' & ', ' and ') AS result FROM ({_D})",
         "txt_spaced_dash": d("replace(title, ' - ', '|')"),
         "txt_leading_number": d("nullif(try_cast(regexp_extract(title, '^\\s*([0-9]+)', 1) AS INT), 0)"),
+        "normalise_split": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 3 THEN 'other - ' ELSE '' END || lower(p_name) AS title, lower(p_brand) AS artist FROM part",
+        "txt_tokens": d("array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(title), '[.'']', '', 'g'), '[^a-z0-9]', ' ', 'g'), ' '), lambda x: x <> ''))), '|')"),
+        "txt_dates": "SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M') AS utc, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS tokyo FROM events",
+        "txt_sample_rates": "SELECT id, CASE WHEN rate % 1000 = 0 THEN (rate // 1000)::VARCHAR ELSE printf('%.1f', rate / 1000.0::DOUBLE) END || ' kHz' AS result FROM (SELECT o_orderkey AS id, o_orderkey % 977 * 50 + 8000 AS rate FROM orders)",
+        "txt_version_order": """WITH c AS (SELECT c_custkey AS id, c_custkey % 3 AS x, c_custkey % 13 AS y, CASE c_custkey % 4 WHEN 1 THEN 0 WHEN 2 THEN c_custkey % 7 END AS z FROM customer)
+            SELECT id, concat_ws('.', x, y, z) AS version, row_number() OVER (ORDER BY x, y, coalesce(z, 0), id) - 1 AS rank FROM c""",
+        "txt_name_lists": """WITH o AS (SELECT o_custkey AS id, list_transform(list_sort(list(o_orderkey)), lambda x: '“' || x || '”') AS k FROM orders GROUP BY 1)
+            SELECT id, CASE len(k) WHEN 1 THEN k[1] WHEN 2 THEN k[1] || ' and ' || k[2] WHEN 3 THEN k[1] || ', ' || k[2] || ' and ' || k[3] ELSE k[1] || ', ' || k[2] || ', ' || k[3] || ' and ' || (len(k) - 3) || ' more' END AS result FROM o""",
+        "scan_streams": """WITH p AS (SELECT p_partkey AS k, ['mp4', 'm4a', 'mpeg', 'flac', 'wav', 'ogg', 'aiff'][(p_partkey % 7 + 1)::INT] AS c, ['alac', 'aac', 'opus'][(p_partkey // 7 % 3 + 1)::INT] AS d FROM part),
+            f AS (SELECT k, CASE WHEN c IN ('mp4', 'm4a') THEN CASE WHEN d = 'opus' THEN 'unknown' ELSE d END WHEN c = 'mpeg' THEN 'mp3' WHEN c = 'ogg' THEN 'unknown' ELSE c END AS format FROM p)
+            SELECT k AS id, format, CASE WHEN format IN ('alac', 'flac', 'aiff', 'wav') AND k % 3 > 0 THEN (k % 3 * 8)::INT END AS bits, CASE WHEN k % 4 > 0 THEN k * 441::DOUBLE / (k % 4 * 11025) END AS seconds FROM f""",
         "txt_year": d("try_cast(substr(regexp_extract(title, '[0-9]{4,}'), 1, 4) AS INT)"),
         "txt_track_prefix": d("regexp_replace(title, '^01 - ', '')"),
         "txt_version_class": f"""SELECT id, CASE WHEN len(w) = 0 THEN 'not_a_version' WHEN list_has_any(w, {_DISTINCT}) THEN 'distinct'

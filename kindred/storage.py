@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: list[str] = []
+#: Tables that are not released, each with the thread that wrote it: queries that run at once in one session keep apart.
+_TABLES: list[tuple[int, str]] = []
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
@@ -30,7 +32,7 @@ def new_table(spark: SparkSession) -> str:
     path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
     if not _TABLES:
         atexit.register(_at_exit, spark)
-    _TABLES.append(path)
+    _TABLES.append((threading.get_ident(), path))
     return path
 
 
@@ -54,8 +56,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def tables() -> list[str]:
-    """The folders of the tables that this process has written and not released."""
-    return list(_TABLES)
+    """The folders of the tables that this thread has written and not released."""
+    return [path for thread, path in _TABLES if thread == threading.get_ident()]
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
@@ -63,10 +65,9 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     for path in tables() if paths is None else paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in _TABLES:
-            _TABLES.remove(path)
+        _TABLES[:] = [x for x in _TABLES if x[1] != path]
 
 
 def _at_exit(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):  # the session may be gone by now
-        release(spark)
+        release(spark, [path for _, path in _TABLES])
