@@ -49,10 +49,11 @@ def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it has fewer partitions than there are: for small tables whose rows cost more than their shuffle."""
+    """``df`` dealt over all cores if a scan of its size has fewer partitions than there are: for small tables whose rows cost more than their shuffle. Decided from the plan's estimate, no job runs."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 def tables() -> list[str]:
