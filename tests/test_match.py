@@ -152,6 +152,12 @@ def test_large_cells_dealt_in_blocks(spark, name):
     assert kept <= set(whole)
 
 
+def test_pairs_are_found_and_compared_without_python(spark):
+    prepared = materialise(engine.prepare(library(spark, 2, 20), LOOSE))
+    plan = engine.edges(prepared, LOOSE)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert not any(word in plan for word in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "pythonUDF"))
+
+
 def test_a_third_of_all_rows_in_one_cell(spark):
     """One title on a third of the tracks: units of its pairs are dealt evenly, and copies of one track form no pairs."""
     rows = [(i, "Intro" if i % 3 == 0 else f"t {i}", f"a{i % 7}", float(i % 900)) for i in range(6000)]
