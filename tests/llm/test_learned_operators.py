@@ -320,3 +320,11 @@ def test_large_dishes_get_as_many_tables_as_when_seated_one_by_one(monkeypatch):
         monkeypatch.undo()
         error = abs(fast.mean() - slow.mean()) / slow.mean()
         assert error < 0.01 + 4 * slow.std() / slow.mean() * (2 / size) ** 0.5 and 0.7 < fast.std() / max(slow.std(), 1e-9) < 1.4
+
+
+def test_samples_do_not_depend_on_where_rows_lie(spark):
+    """The same table on 2 and on 5 partitions gives the same rows to learn from."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 700) AS text").union(spark.range(300).selectExpr("7", "'same'"))
+    marks = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
+    drawn = [sorted(map(tuple, toxicity.labelled_sample(docs.repartition(n), marks.repartition(n), 150).collect())) for n in (2, 5)]
+    assert drawn[0] == drawn[1] and 200 < len(drawn[0]) < 400
