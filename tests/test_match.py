@@ -152,6 +152,26 @@ def test_large_cells_dealt_in_blocks(spark, name):
     assert kept <= set(whole)
 
 
+@pytest.mark.parametrize("name", ["standard", "constraints", "artist only", "extra"])
+def test_links_of_classes_stand_for_all_links(spark, name):
+    """With copies in the library, the links of classes, written out, are the links of tracks; copies of one track add none."""
+    criteria = {**CASES, "extra": MatchCriteria(duration_tolerance=None, extra_fields=(ExtraFieldRule("year", FieldRule("similar", 0.7)),))}[name]
+    some = library(spark, 4, 40)
+    tracks = some.union(some.filter("id % 3 = 0").withColumn("id", F.col("id") + 100)).union(some.filter("id % 9 = 0").withColumn("id", F.col("id") + 200))
+    for cap in (400, 4):
+        prepared = materialise(engine.prepare(tracks, criteria))
+        want = {(r.i, r.j): (round(r.score, 9), tuple(r.reasons)) for r in engine.edges(prepared, criteria, cap).collect()}
+        links, of = (x.collect() for x in engine.class_edges(prepared, criteria, cap))
+        members = {}
+        for r in of:
+            members.setdefault(r.rep, []).append(r.idx)
+        got = {(x, y): (round(r.score, 9), tuple(r.reasons)) for r in links for x in members[r.i] for y in members[r.j] if x < y}
+        assert got == want and want and len(of) == tracks.count() and all(min(m) == k for k, m in members.items())
+    many = conform(spark.range(3000).selectExpr("id", "'t' AS title", "'a' AS artist", "id % 2 * 1.0D AS duration"))
+    links, _ = engine.class_edges(materialise(engine.prepare(many, STANDARD)), STANDARD)
+    assert sorted((r.i, r.j) for r in links.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]  # not 4,498,500
+
+
 def test_pairs_are_found_and_compared_without_python(spark):
     prepared = materialise(engine.prepare(library(spark, 2, 20), LOOSE))
     plan = engine.edges(prepared, LOOSE)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
