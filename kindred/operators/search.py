@@ -3,8 +3,8 @@
 A text contains a needle only if it contains all of the needle's grams, so a search reads the postings of these grams alone, counts them per track, and looks into
 the texts of the tracks that have them all. Texts are padded, so that every character begins a gram: a needle shorter than a gram is the beginning of one.
 
-Postings are sorted by gram in ranges, so a scan skips the row groups of other grams. Removed tracks are a table of ids that searches leave out; ``compacted``
-writes the postings without them.
+Postings are segments: each task sorts those of its own texts by gram, so nothing is shuffled and a scan skips the row groups and pages of other grams in every
+segment. Removed tracks are a table of ids that searches leave out; ``compacted`` writes the postings without them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_fold
-from ..storage import materialise
+from ..storage import materialise, spread
 
 GRAM = 3
 PAD = "\u0001" * (GRAM - 1)
@@ -40,7 +40,7 @@ def build(texts: DataFrame) -> SearchIndex:
 
 
 def _postings(texts: DataFrame) -> DataFrame:
-    return materialise(texts.select(F.explode(grams(F.col("search_text"))).alias("gram"), "id").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id"), "zstd")
+    return materialise(spread(texts).select(F.explode(grams(F.col("search_text"))).alias("gram"), "id").sortWithinPartitions("gram", "id"), "zstd")
 
 
 def without(index: SearchIndex, ids: DataFrame) -> SearchIndex:

@@ -251,3 +251,12 @@ def test_frames_of_one_file_are_read_by_many_tasks(spark, tmp_path):
     assert two.count() == 2500 and all(len(r.samples) == 2 and abs(r.samples[1] - stored(sounds[1][2 * r.frame + 1])) < 1e-6 for r in two.collect())
     whole, parts = (sorted(map(tuple, waveform.measure(x, 7).collect())) for x in (frames.read_frames(spark, folder), read))
     assert [w[:3] for w in whole] == [p[:3] for p in parts]
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    """Each task sorts the postings of its own texts; a small table is dealt over all cores first."""
+    texts = spark.range(200).selectExpr("id", "concat('blue moon ', id) AS search_text")
+    index = search.build(texts)
+    read = index.postings.withColumn("file", F.input_file_name())
+    assert read.filter("gram = 'moo'").select("file").distinct().count() > 1  # segments, not ranges
+    assert {r.id for r in search.search(index, "moon 19").collect()} == {19, *range(190, 200)}
