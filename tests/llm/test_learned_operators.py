@@ -328,3 +328,12 @@ def test_samples_do_not_depend_on_where_rows_lie(spark):
     marks = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
     drawn = [sorted(map(tuple, toxicity.labelled_sample(docs.repartition(n), marks.repartition(n), 150).collect())) for n in (2, 5)]
     assert drawn[0] == drawn[1] and 200 < len(drawn[0]) < 400
+
+
+def test_words_that_are_not_broadcast_are_looked_up_without_a_row_each(spark, monkeypatch):
+    """Occurrences travel packed, as at most a row per bucket and block of documents; none is exploded and joined."""
+    monkeypatch.setattr(pitman_yor, "ROOM", 0)
+    docs = spark.createDataFrame(corpus(60), "doc_id long, text string")
+    out = pitman_yor.score(docs, *pitman_yor.gather(docs))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and out.count() == 60
