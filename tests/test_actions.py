@@ -260,3 +260,16 @@ def test_postings_are_made_without_a_shuffle(spark):
     read = index.postings.withColumn("file", F.input_file_name())
     assert read.filter("gram = 'moo'").select("file").distinct().count() > 1  # segments, not ranges
     assert {r.id for r in search.search(index, "moon 19").collect()} == {19, *range(190, 200)}
+
+
+def test_versions_are_numbered_without_a_python_call_per_path(spark, tmp_path):
+    """A batch is one window over its paths; two sizes at one time are two versions, and a repeated batch of sightings is none."""
+    seen = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 2, 5), ("b", 3, 1), (None, 1, 1)], "path string, size long, m long").selectExpr("path", "size", "timestamp_seconds(m) AS modified")
+    out = cache_state.changes(seen)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.path, r.version, r.size) for r in out.collect() if r.changed) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3)]
+    stream = lambda: spark.readStream.schema(seen.schema).parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        seen.write.mode("append").parquet(f"{tmp_path}/in")
+        cache_state.follow_changes(stream(), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3)]
