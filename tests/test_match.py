@@ -105,6 +105,16 @@ def test_a_change_reads_the_folders_that_it_touches(spark):
     assert "PartitionFilters: [" in plan and plan.split("PartitionFilters: [")[1].split("]")[0].strip() and some.count() == 1
 
 
+def test_kept_matching_keeps_no_link_per_pair_of_copies(spark):
+    """Copies are one class with one link to itself, through removals of its lowest track and additions too."""
+    copied = conform(spark.range(300).selectExpr("id", "concat('t', id % 3) AS title", "'a' AS artist"))
+    kept = incremental.build(copied.filter("id < 200"), STANDARD)
+    kept = incremental.add(incremental.remove(kept, copied.filter("id = 0")), copied.filter("id >= 200"))
+    assert kept.links.count() == 3
+    assert [len(g.track_ids) for g in incremental.groups_of(kept).orderBy("id").collect()] == [99, 100, 100]
+    assert [(g.track_ids, g.confidence) for g in incremental.groups_of(kept).orderBy("id").collect()] == [(g.track_ids, g.confidence) for g in engine.match(copied.filter("id > 0"), STANDARD, None).orderBy("id").collect()]
+
+
 def plain_stars(links, weight):
     """The sequential split of nodes that stand for several, each copy written out."""
     near = {}
