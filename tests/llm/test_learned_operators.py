@@ -337,3 +337,20 @@ def test_words_that_are_not_broadcast_are_looked_up_without_a_row_each(spark, mo
     out = pitman_yor.score(docs, *pitman_yor.gather(docs))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and out.count() == 60
+
+
+def test_totals_of_the_restaurants_take_no_row_each_on_the_driver(spark):
+    import tracemalloc
+
+    n = 200_000
+    sums = pitman_yor.Sums(n)
+    sums.customers[:], sums.tables[:], sums.top[:] = 3, 2, (7, 5)
+    row = tuple(c[0].as_py() for c in sums.packed())
+    parts = spark.createDataFrame([row, row], "contexts binary, customers binary, tables binary").cache()
+    parts.count()
+    tracemalloc.start()
+    got = pitman_yor._totals(parts, n, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got.customers == 6).all() and (got.tables == 4).all() and (got.all_customers, got.all_tables) == (14, 10)
+    assert peak < 100 * n
