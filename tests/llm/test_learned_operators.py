@@ -354,3 +354,12 @@ def test_totals_of_the_restaurants_take_no_row_each_on_the_driver(spark):
     tracemalloc.stop()
     assert (got.customers == 6).all() and (got.tables == 4).all() and (got.all_customers, got.all_tables) == (14, 10)
     assert peak < 100 * n
+
+
+def test_more_text_of_the_same_kind_has_the_same_contexts(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SHARE", 100)
+    docs = spark.createDataFrame(corpus(100), "doc_id long, text string")
+    once, n = pitman_yor.choose(docs)
+    more, many = pitman_yor.choose(docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(8)))))
+    assert many == 8 * n and n / pitman_yor.SHARE > pitman_yor.LEAST
+    assert len(once.before) > 2 and (more.before, more.anchors) == (once.before, once.anchors)
