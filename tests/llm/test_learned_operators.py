@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kindred.llm import language_id, pitman_yor, toxicity
@@ -363,3 +364,17 @@ def test_more_text_of_the_same_kind_has_the_same_contexts(spark, monkeypatch):
     more, many = pitman_yor.choose(docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(8)))))
     assert many == 8 * n and n / pitman_yor.SHARE > pitman_yor.LEAST
     assert len(once.before) > 2 and (more.before, more.anchors) == (once.before, once.anchors)
+
+
+def test_words_are_seated_in_blocks_of_which_a_task_takes_few_at_a_time(spark, monkeypatch):
+    """No row per word from counting to scoring, and no batch of a whole partition."""
+    monkeypatch.setattr(pitman_yor, "BLOCK", 40)
+    docs = spark.createDataFrame(corpus(100), "doc_id long, text string")
+    _, words = pitman_yor.gather(docs)
+    rows = words.collect()
+    names = [w for r in rows for w in r.words.split(b"\n")]
+    assert sum(r["size"] for r in rows) == len(names) == len(set(names)) and len(rows) > 3 * pitman_yor.ROWS
+    assert all(len(r.contexts) == 4 * sum(np.frombuffer(r.many, "<i4")) and len(r.many) == 4 * r["size"] for r in rows)
+    assert all(len(r.contexts) <= 4 * 40 or r["size"] == 1 for r in rows) and len(rows) < len(names) / 2
+    sizes = words.coalesce(1).mapInArrow(lambda batches: (b.select(["size"]).slice(0, 1).set_column(0, "size", pa.array([b.num_rows], pa.int32())) for b in batches if b.num_rows), "size int").collect()
+    assert max(r["size"] for r in sizes) <= pitman_yor.ROWS
